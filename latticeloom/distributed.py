@@ -9,13 +9,19 @@ per-task counts (one row per task and group) are summed to find the offsets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latticeloom.session import cut_lineage
 
+# Value counts of at most this many rows are handled on the driver.
+LOCAL_COUNTS = 20_000
 # A lookup table is broadcast only after its row count was seen to be below this.
 BROADCAST_ROWS = 200_000
 
@@ -26,9 +32,15 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 
 def lookup_join(df: DataFrame, dim: DataFrame, on, how: str = "inner",
-                rows: int = BROADCAST_ROWS) -> DataFrame:
+                rows: int = BROADCAST_ROWS, once: bool = False) -> DataFrame:
     """Join with a lookup table: broadcast when proven small, else a shuffle join
-    whose hot keys the adaptive planner splits."""
+    whose hot keys the adaptive planner splits.
+
+    ``once`` is for a lookup table that is costly to form (an aggregate over the
+    rows): it is written out first, so the size check does not compute it again.
+    """
+    if once:
+        dim = cut_lineage(dim)
     return df.join(F.broadcast(dim) if is_small(dim, rows) else dim, on, how)
 
 
@@ -77,17 +89,23 @@ def row_index(df: DataFrame, order: Sequence, group: Sequence[str] = (),
             .drop("_task", "_seq", "_first", "_offset"))
 
 
-def quantiles(df: DataFrame, value: str, probs: Sequence[float],
-              group: Sequence[str] = ()) -> DataFrame:
+def quantiles(df: DataFrame, value: str, probs: Sequence[float], group: Sequence[str] = (),
+              weight: str | None = None, local_counts: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation: ``(*group, prob, quantile)``.
 
-    Equal values are counted before the shuffle, so a value held by a third of
-    the rows is one row; the distinct values are range-sorted and only those
-    around the wanted ranks survive.
+    Equal values are counted before the shuffle (``weight`` gives the count of a
+    row), so a value held by a third of the rows is one row. A short table of counts
+    is finished at once; otherwise the distinct values are range-sorted and only
+    those around the wanted ranks survive.
     """
     group = list(group)
+    amount = F.sum(weight) if weight else F.count(F.lit(1))
     counts = (df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_c")))
+              .agg(amount.alias("_c")))
+    limit = LOCAL_COUNTS if local_counts is None else local_counts
+    few = counts.limit(limit + 1).toPandas() if limit else None
+    if few is not None and len(few) <= limit:
+        return _quantiles_of_counts(df, few, probs, group)
     ranged = _range_sorted(counts, group, ["_v"])
     stats = ranged.groupBy(*group, "_task").agg(F.sum("_c").alias("_n"))
     offsets = _offsets(stats, group, "_n")
@@ -116,6 +134,24 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     .cast("double").alias("quantile")))
 
 
+def _quantiles_of_counts(df: DataFrame, counts: pd.DataFrame, probs: Sequence[float],
+                         group: list[str]) -> DataFrame:
+    rows = []
+    for name, part in (counts.groupby(group) if group else [((), counts)]):
+        if not len(part):
+            continue
+        part = part.sort_values("_v")
+        values, ends = part["_v"].to_numpy(dtype=float), part["_c"].to_numpy(dtype="int64").cumsum()
+        for p in probs:
+            at = (int(ends[-1]) - 1) * float(p)
+            a, b = (values[np.searchsorted(ends, r, side="right")] for r in (math.floor(at), math.ceil(at)))
+            rows.append((*name, float(p), float(a + (b - a) * (at - math.floor(at)))))
+    schema = T.StructType([*[df.schema[g] for g in group], T.StructField("prob", T.DoubleType()),
+                           T.StructField("quantile", T.DoubleType())])
+    plain = [tuple(v.item() if isinstance(v, np.generic) else v for v in r) for r in rows]
+    return df.sparkSession.createDataFrame(plain, schema)
+
+
 def quantile_list(df: DataFrame, value: str, probs: Sequence[float]) -> list[float]:
     """Exact quantiles of one column as Python numbers, one per entry of ``probs``."""
     got = {r["prob"]: r["quantile"] for r in quantiles(df, value, probs).collect()}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticeloom.distributed import lookup_join, quantiles
+from latticeloom.session import cut_lineage
 
 AXES = ("x", "y", "z")
 BOX = ("kz", "iy", "jx")          # box index along z, y, x
@@ -69,7 +70,7 @@ def boxes_of(value: Column, start: Column, n: Column, width: float, stride: floa
 def assign_boxes(atoms: DataFrame, grid: DataFrame, box: Sequence[float], stride: Sequence[float],
                  source: str = "source") -> DataFrame:
     """One row per (atom, box that holds it); boxes may overlap."""
-    placed = lookup_join(atoms, grid, source)
+    placed = lookup_join(atoms, grid, source, once=True)
     for a, w, s in zip(AXES, map(float, box), map(float, stride)):
         placed = placed.withColumn(
             INDEX[a], F.explode(boxes_of(F.col(a), F.col(f"start_{a}"), F.col(f"n_{a}"), w, s)))
@@ -92,7 +93,7 @@ def box_populations(box_atoms: DataFrame, grid: DataFrame, source: str = "source
 
 def populations(atoms: DataFrame, box: Sequence[float], stride: Sequence[float],
                 padding_ratio: Sequence[float] | None = None, source: str = "source") -> DataFrame:
-    grid = box_grid(atoms, box, stride, padding_ratio, source=source)
+    grid = cut_lineage(box_grid(atoms, box, stride, padding_ratio, source=source))
     return box_populations(assign_boxes(atoms, grid, box, stride, source), grid, source)
 
 
@@ -110,10 +111,12 @@ def population_quantiles(pops: DataFrame, probs: Sequence[float], source: str =
 def typical_population(pops: DataFrame, cutoff_percentile: float = 20.0,
                        source: str = "source") -> DataFrame:
     """Median population of the boxes above the cutoff percentile."""
-    low = (quantiles(pops, "n_atoms", [cutoff_percentile / 100.0], [source])
+    # boxes per population: a short table, whatever the number of boxes
+    hist = cut_lineage(pops.groupBy(source, "n_atoms").agg(F.count(F.lit(1)).alias("n")))
+    low = (quantiles(hist, "n_atoms", [cutoff_percentile / 100.0], [source], "n")
            .select(source, F.col("quantile").alias("_cut")))
-    kept = lookup_join(pops, low, source).where(F.col("n_atoms") > F.col("_cut")).select(source, "n_atoms")
-    return quantiles(kept, "n_atoms", [0.5], [source]).select(source, F.col("quantile").alias("n_typical"))
+    kept = lookup_join(hist, low, source).where(F.col("n_atoms") > F.col("_cut"))
+    return quantiles(kept, "n_atoms", [0.5], [source], "n").select(source, F.col("quantile").alias("n_typical"))
 
 
 def optimal_box_size(atoms: DataFrame, start: Sequence[float], target_atoms: int = 128,
@@ -137,6 +140,12 @@ def optimal_box_size(atoms: DataFrame, start: Sequence[float], target_atoms: int
     return size
 
 
+def _deviation(hist: DataFrame) -> float:
+    n, s, q = hist.agg(F.sum("n"), F.sum(F.col("n") * F.col("n_atoms")),
+                       F.sum(F.col("n") * F.col("n_atoms") * F.col("n_atoms"))).first()
+    return (q / n - (s / n) ** 2) ** 0.5
+
+
 def grown_box_size(atoms: DataFrame, min_atoms: int = 100, step: float = 1.0,
                    stride: Sequence[float] = (4.0, 4.0, 4.0), max_iter: int = 1000,
                    source: str = "source") -> tuple[float, float, float]:
@@ -148,10 +157,11 @@ def grown_box_size(atoms: DataFrame, min_atoms: int = 100, step: float = 1.0,
     for _ in range(max_iter):
         size += step
         pops = populations(atoms, [size] * 3, stride, source=source)
-        median = quantiles(pops.where(F.col("n_atoms") > 0), "n_atoms", [0.5], [source]).agg(
+        hist = cut_lineage(pops.groupBy(source, "n_atoms").agg(F.count(F.lit(1)).alias("n")))
+        median = quantiles(hist.where(F.col("n_atoms") > 0), "n_atoms", [0.5], [source], "n").agg(
             F.max("quantile")).first()[0]
         if median is not None and median >= min_atoms:
-            return size, median, pops.agg(F.stddev_pop("n_atoms")).first()[0]
+            return size, median, _deviation(hist)
     raise ValueError(f"no box up to {size} holds {min_atoms} atoms")
 
 

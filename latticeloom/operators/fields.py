@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from latticeloom.distributed import lookup_join
 from latticeloom.operators.neighbors import with_inverse_cell
+from latticeloom.session import cut_lineage
 
 STRUCTURE = "structure_id"
 # X-ray wavelengths in angstrom.
@@ -112,8 +113,9 @@ def powder_pattern(atoms: DataFrame, structures: DataFrame, wavelength: str | fl
     peaks = lookup_join(sums, s, STRUCTURE).withColumn("_sin", sine).where(F.col("_sin") <= 1).select(
         STRUCTURE, "h", "k", "l", (2 * F.degrees(F.asin("_sin"))).alias("two_theta"),
         (F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im")).alias("_i"))
+    peaks = cut_lineage(peaks)
     top = peaks.groupBy(STRUCTURE).agg(F.max("_i").alias("_top"))
-    return lookup_join(peaks, top, STRUCTURE).select(
+    return peaks.join(top, STRUCTURE).select(
         STRUCTURE, "h", "k", "l", "two_theta", (F.col("_i") / F.col("_top") * 100.0).alias("intensity"))
 
 

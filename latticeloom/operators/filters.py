@@ -84,7 +84,7 @@ def drop_rare_species(atoms: DataFrame, min_atoms: int, structure: str = "struct
     """Drop atoms whose species occurs fewer than ``min_atoms`` times in the structure."""
     counts = atoms.groupBy(structure, species).agg(F.count(F.lit(1)).alias("_n"))
     rare = counts.where(F.col("_n") < min_atoms).drop("_n")
-    return lookup_join(atoms, rare, [structure, species], "left_anti")
+    return lookup_join(atoms, rare, [structure, species], "left_anti", once=True)
 
 
 def with_descriptor_or_nan(structures: DataFrame, descriptors: DataFrame, length: int,

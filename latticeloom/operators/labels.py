@@ -78,7 +78,7 @@ def label_classes(df: DataFrame, label: str, code: str = "class_id") -> DataFram
 
 
 def encode_labels(df: DataFrame, label: str, code: str = "class_id") -> DataFrame:
-    return lookup_join(df, label_classes(df, label, code), label, "left")
+    return lookup_join(df, label_classes(df, label, code), label, "left", once=True)
 
 
 # --- discretisation ----------------------------------------------------------
@@ -186,7 +186,7 @@ def split_rows(df: DataFrame, key: str, test_size: float | int, label: str | Non
     quota = (row_index(quota, ["_rest", label], name="_q")
              .select(label, (F.col("_floor") + F.when(F.col("_q") < short, 1).otherwise(0)).alias("_quota")))
     ranked = row_index(df.withColumn("_shuffle", shuffled), ["_shuffle", key], [label], name="_r")
-    return (lookup_join(ranked, quota, label)
+    return (lookup_join(ranked, quota, label, once=True)
             .withColumn("split", F.when(F.col("_r") < F.col("_quota"), "validation").otherwise("train"))
             .drop("_shuffle", "_r", "_quota"))
 

@@ -84,9 +84,9 @@ def images(atoms: DataFrame, structures: DataFrame | None, radius: float) -> Dat
         *[frac[i].alias(f"_f{i}") for i in range(3)])
     for i in range(3):
         n = F.ceil(F.col(f"_r{i}")).cast("int")
-        near = F.filter(F.sequence(-n, n), lambda s, i=i: (
-            (F.col(f"_f{i}") + F.col(f"_w{i}") + s >= -F.col(f"_r{i}") - 1e-9)
-            & (F.col(f"_f{i}") + F.col(f"_w{i}") + s <= 1 + F.col(f"_r{i}") + 1e-9)))
+        at = F.col(f"_f{i}") + F.col(f"_w{i}")
+        reach_i = F.col(f"_r{i}") + 1e-9
+        near = F.filter(F.sequence(-n, n), lambda s: (at + s >= -reach_i) & (at + s <= 1 + reach_i))  # noqa: B023
         joined = joined.withColumn(f"_s{i}", F.explode(
             F.when(F.col("pbc")[i], near).otherwise(F.array(F.lit(0)))))
     shift = [F.col(f"_w{i}") + F.col(f"_s{i}") for i in range(3)]
@@ -304,7 +304,7 @@ def length_histogram(nn: DataFrame, group: Sequence[str], bins: int = 100,
     flat = F.col("_lo") == F.col("_hi")
     ends = ends.select(*group, F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
                        F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"))
-    placed = lookup_join(nn, ends, list(group)).withColumn(
+    placed = lookup_join(nn, ends, list(group), once=True).withColumn(
         "bin", histogram_bin(F.col(distance), F.col("_lo"), F.col("_hi"), bins))
     counts = placed.groupBy(*group, "bin", "_lo", "_hi").agg(F.sum("n_atoms").alias("n"))
     left = F.col("_lo") + F.col("bin") * (F.col("_hi") - F.col("_lo")) / bins
@@ -435,7 +435,7 @@ def weighted_pairs(pairs: DataFrame, consts: DataFrame, ignore_species: bool = F
     if ignore_species:
         z1 = z2 = F.lit(0)
     weight = F.col("_v") / (F.lit(4 * 3.141592653589793) * F.col("_n") * F.col("r") * F.col("r"))
-    return lookup_join(pairs, consts, STRUCTURE).select(
+    return lookup_join(pairs, consts, STRUCTURE, once=True).select(
         STRUCTURE, z1.alias("z1"), z2.alias("z2"), "r", weight.alias("weight"))
 
 
@@ -488,16 +488,15 @@ def common_neighbour_signatures(atoms: DataFrame, radius: float,
     arcs = cut_lineage(ranked.select(
         STRUCTURE, pick("a", "b").alias("u"), pick("b", "a").alias("v"),
         F.struct(pick("db", "da").alias("d"), pick("b", "a").alias("i")).alias("rank_v")))
-    plain = arcs.select(STRUCTURE, "u", "v")
-    p = arcs.withColumnsRenamed({"v": "v", "rank_v": "rv"})
+    named = lambda a, b: arcs.select(STRUCTURE, F.col("u").alias(a), F.col("v").alias(b))
+    p = arcs.withColumnRenamed("rank_v", "rv")
     q = arcs.withColumnsRenamed({"v": "w", "rank_v": "rw"})
     wedges = p.join(q, [STRUCTURE, "u"]).where(F.col("rv") < F.col("rw"))
-    triangles = cut_lineage(wedges.join(plain.withColumnsRenamed({"u": "v", "v": "w"}),
-                                        [STRUCTURE, "v", "w"]).select(STRUCTURE, "u", "v", "w", "rw"))
+    triangles = cut_lineage(wedges.join(named("v", "w"), [STRUCTURE, "v", "w"]).select(STRUCTURE, "u", "v", "w", "rw"))
     # 4-cliques: two triangles over the same first arc whose last corners are bonded
     t2 = triangles.select(STRUCTURE, "u", "v", F.col("w").alias("x"), F.col("rw").alias("rx"))
     cliques = (triangles.join(t2, [STRUCTURE, "u", "v"]).where(F.col("rw") < F.col("rx"))
-               .join(plain.withColumnsRenamed({"u": "w", "v": "x"}), [STRUCTURE, "w", "x"]))
+               .join(named("w", "x"), [STRUCTURE, "w", "x"]))
 
     def per_bond(df: DataFrame, corners: Sequence[str], name: str) -> DataFrame:
         sides = [F.struct(F.least(i, j).alias("a"), F.greatest(i, j).alias("b"))

@@ -155,7 +155,7 @@ def random_rank(atoms: DataFrame, key: str, seed: int, group: Sequence[str] = (S
     shuffled = row_index(atoms.withColumn("_shuffle", pseudo_random_order(F.col(key), seed)),
                          ["_shuffle", key], list(group), name="_rank").drop("_shuffle")
     sizes = atoms.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    return lookup_join(shuffled, sizes, list(group))
+    return lookup_join(shuffled, sizes, list(group), once=True)
 
 
 def random_subset(atoms: DataFrame, ratio: float, key: str, seed: int = 42) -> DataFrame:
@@ -298,7 +298,7 @@ def centre_layers(atoms: DataFrame, structures: DataFrame, height: float) -> tup
     """Give flat structures a cell of fixed height with the layer shifted by the
     distance between its mean and the new cell's middle."""
     mean = atoms.groupBy(STRUCTURE).agg(F.avg("z").alias("_mean"))
-    moved = lookup_join(atoms, mean, STRUCTURE).withColumn(
+    moved = lookup_join(atoms, mean, STRUCTURE, once=True).withColumn(
         "z", F.col("z") + F.abs(F.col("_mean") - height / 2)).drop("_mean")
     tall = F.transform("cell", lambda v, i: F.when(
         i == 2, F.array(v[0], v[1], F.lit(float(height)))).otherwise(v))

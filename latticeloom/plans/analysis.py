@@ -48,16 +48,19 @@ def make_descriptor(name: str, **params) -> Descriptor:
 
 
 class EnvironmentDescriptor:
-    """Averaged power spectrum of local environments, after optional scaling."""
+    """Averaged power spectrum of local environments, after optional scaling.
+
+    A structure without a length scale inside the limits has no descriptor.
+    """
 
     name = "environment_spectrum"
 
     def __init__(self, cutoff: float = 4.0, n_max: int = 9, l_max: int = 6, scaling: str | None = "quantile_nn",
                  scaling_radii: Sequence[float] = (10.0, 20.0, 30.0), extrinsic: float = 1.0, min_atoms: int = 0,
-                 periodic: bool = True):
+                 periodic: bool = True, scale_limits: tuple[float, float] = (0.1, 1500.0)):
         self.params = {"cutoff": cutoff, "n_max": n_max, "l_max": l_max, "scaling": scaling,
                        "scaling_radii": tuple(scaling_radii), "extrinsic": extrinsic, "min_atoms": min_atoms,
-                       "periodic": periodic}
+                       "periodic": periodic, "scale_limits": scale_limits}
         self.length = len(spectrum_index(n_max, l_max))
 
     def __str__(self) -> str:
@@ -69,7 +72,7 @@ class EnvironmentDescriptor:
             atoms = drop_rare_species(atoms, p["min_atoms"])
         cells = structures if p["periodic"] else None
         if p["scaling"]:
-            factors = cut_lineage(scale_factors(atoms, p["scaling_radii"], p["scaling"], cells, extrinsic=p["extrinsic"]))
+            factors = cut_lineage(scale_factors(atoms, p["scaling_radii"], p["scaling"], cells, *p["scale_limits"], p["extrinsic"]))
             atoms = scale_structure(atoms, factors)
             cells = scale_cell(structures, factors) if cells is not None else None
         pairs = neighbour_pairs(atoms, p["cutoff"], cells)
@@ -183,6 +186,7 @@ def per_item(df: DataFrame, function: Callable[[dict], dict], schema: str) -> Da
                     out.append({**function(row), "error": None})
                 except Exception as e:                       # noqa: BLE001 - reported per row
                     out.append({**dict.fromkeys(names), "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(out, columns=[*names, "error"])
+            # nullable column types, so that a missing integer stays an integer column
+            yield pd.DataFrame(out, columns=[*names, "error"]).convert_dtypes()
 
     return df.mapInPandas(run, f"{schema}, error string")

@@ -229,7 +229,7 @@ def _(spark, d):
 
 
 @query("G11_spherical_shells", f"""
-WITH {_VOXELS}, g AS (SELECT s, 0.6 + s * 0.4 AS r, p * 2 * pi() / 19 AS phi, q * pi() / 9 AS theta FROM range(3) t(s), range(20) u(p), range(10) w(q)),
+WITH {_VOXELS}, g AS (SELECT s, 0.5 + s * 0.5 AS r, p * 2 * pi() / 19 AS phi, q * pi() / 9 AS theta FROM range(3) t(s), range(20) u(p), range(10) w(q)),
 k AS (SELECT DISTINCT id, s AS shell, CAST(round_even(cx + r * cos(phi) * sin(theta), 0) AS INTEGER) AS ix, CAST(round_even(cy + r * sin(phi) * sin(theta), 0) AS INTEGER) AS iy,
   CAST(round_even(cz + r * cos(theta), 0) AS INTEGER) AS iz FROM com, g)
 SELECT id, shell, CAST(ix AS BIGINT) AS ix, CAST(iy AS BIGINT) AS iy, CAST(iz AS BIGINT) AS iz, round(v, 6) AS v,
@@ -238,7 +238,7 @@ SELECT id, shell, CAST(ix AS BIGINT) AS ix, CAST(iy AS BIGINT) AS iy, CAST(iz AS
   round(degrees(atan2(iy - 2, ix - 2)), 4) + 0.0 AS phi
 FROM k JOIN voxels USING (id, ix, iy, iz) WHERE ix BETWEEN 0 AND 2 AND iy BETWEEN 0 AND 2 AND iz BETWEEN 0 AND 2""")
 def _(spark, d):
-    out = fields.spherical_shells(_voxels(spark, d), 4, r_min=0.6, r_max=1.4, dr=0.4, phi_bins=20, theta_bins=10)
+    out = fields.spherical_shells(_voxels(spark, d), 4, r_min=0.5, r_max=1.5, dr=0.5, phi_bins=20, theta_bins=10)
     return out.select("id", long("shell").alias("shell"), *[long(c).alias(c) for c in ("ix", "iy", "iz")], rounded("v").alias("v"),
                       rounded("r").alias("r"), rounded("theta", 4).alias("theta"), rounded("phi", 4).alias("phi"))
 
@@ -313,7 +313,9 @@ def _(spark, d):
 
 
 @query("E5_screened_model", f"""
-WITH {_REGRESSION} SELECT CAST(1 AS BIGINT) AS dimension, 'size' AS features, round(var_pop(y) * (1 - pow(corr(a, y), 2)), 4) AS mse FROM r""")
+WITH {_REGRESSION}, m AS (""" + " UNION ALL ".join(
+    f"SELECT '{n}' AS features, var_pop(y) * (1 - pow(corr({i}, y), 2)) AS mse FROM r" for i, n in zip("abcde", FEATURES)) + """)
+SELECT CAST(1 AS BIGINT) AS dimension, arg_min(features, mse) AS features, round(min(mse), 4) AS mse FROM m""")
 def _(spark, d):
     models = sparse_model.fit_by_screening(_regression(spark, d), FEATURES, "price", 1, 2)
     return _model_rows(spark, models).select(long("dimension").alias("dimension"), "features", rounded("mse", 4).alias("mse"))
