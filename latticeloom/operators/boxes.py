@@ -31,13 +31,13 @@ def axis_padding(atoms: DataFrame, box: Sequence[float], padding_ratio: Sequence
 
 def box_grid(atoms: DataFrame, box: Sequence[float], stride: Sequence[float],
              padding_ratio: Sequence[float] | DataFrame | None = None, adapt: bool = True,
-             source: str = "source") -> DataFrame:
+             source: str = "source", ends: DataFrame | None = None) -> DataFrame:
     """One row per source: grid start ``start_a`` and number of boxes ``n_a`` per axis.
 
     With ``adapt`` boxes are added until the last one reaches the end, and half of
-    what then sticks out is taken from the start.
+    what then sticks out is taken from the start. ``ends`` are known ``extents``.
     """
-    grid = extents(atoms, source)
+    grid = extents(atoms, source) if ends is None else ends
     if isinstance(padding_ratio, DataFrame):
         grid = grid.join(padding_ratio, source)
         pads = {a: F.col(f"pad_{a}") * float(w) for a, w in zip(AXES, box)}
@@ -69,8 +69,9 @@ def boxes_of(value: Column, start: Column, n: Column, width: float, stride: floa
 
 def assign_boxes(atoms: DataFrame, grid: DataFrame, box: Sequence[float], stride: Sequence[float],
                  source: str = "source") -> DataFrame:
-    """One row per (atom, box that holds it); boxes may overlap."""
-    placed = lookup_join(atoms, grid, source, once=True)
+    """One row per (atom, box that holds it); boxes may overlap. The grid is read more
+    than once: cut its lineage first when it comes straight from the atoms."""
+    placed = lookup_join(atoms, grid, source)
     for a, w, s in zip(AXES, map(float, box), map(float, stride)):
         placed = placed.withColumn(
             INDEX[a], F.explode(boxes_of(F.col(a), F.col(f"start_{a}"), F.col(f"n_{a}"), w, s)))
@@ -92,8 +93,10 @@ def box_populations(box_atoms: DataFrame, grid: DataFrame, source: str = "source
 
 
 def populations(atoms: DataFrame, box: Sequence[float], stride: Sequence[float],
-                padding_ratio: Sequence[float] | None = None, source: str = "source") -> DataFrame:
-    grid = cut_lineage(box_grid(atoms, box, stride, padding_ratio, source=source))
+                padding_ratio: Sequence[float] | None = None, source: str = "source",
+                ends: DataFrame | None = None) -> DataFrame:
+    ends = cut_lineage(extents(atoms, source)) if ends is None else ends
+    grid = box_grid(atoms, box, stride, padding_ratio, source=source, ends=ends)
     return box_populations(assign_boxes(atoms, grid, box, stride, source), grid, source)
 
 
@@ -128,9 +131,9 @@ def optimal_box_size(atoms: DataFrame, start: Sequence[float], target_atoms: int
 
     Each round is one distributed job; only one number reaches the driver.
     """
-    size = [float(v) for v in start]
+    size, ends = [float(v) for v in start], cut_lineage(extents(atoms, source))
     for _ in range(max_iter):
-        found = typical_population(populations(atoms, size, stride, padding_ratio, source),
+        found = typical_population(populations(atoms, size, stride, padding_ratio, source, ends),
                                    cutoff_percentile, source).agg(F.max("n_typical")).first()[0]
         n = 0.0 if found is None else found
         if n - up_tolerance <= target_atoms <= n + down_tolerance:
@@ -153,10 +156,10 @@ def grown_box_size(atoms: DataFrame, min_atoms: int = 100, step: float = 1.0,
     reaches ``min_atoms``; returns size, median and deviation of all counts."""
     if atoms.count() < min_atoms:
         raise ValueError("the structure has fewer atoms than a box needs")
-    size = 0.0
+    size, ends = 0.0, cut_lineage(extents(atoms, source))
     for _ in range(max_iter):
         size += step
-        pops = populations(atoms, [size] * 3, stride, source=source)
+        pops = populations(atoms, [size] * 3, stride, source=source, ends=ends)
         hist = cut_lineage(pops.groupBy(source, "n_atoms").agg(F.count(F.lit(1)).alias("n")))
         median = quantiles(hist.where(F.col("n_atoms") > 0), "n_atoms", [0.5], [source], "n").agg(
             F.max("quantile")).first()[0]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticeloom.distributed import lookup_join
-from latticeloom.operators.neighbors import with_inverse_cell
+from latticeloom.operators.neighbors import fractional, with_inverse_cell
 from latticeloom.session import cut_lineage
 
 STRUCTURE = "structure_id"
@@ -101,8 +101,7 @@ def powder_pattern(atoms: DataFrame, structures: DataFrame, wavelength: str | fl
     s = with_inverse_cell(structures.select(STRUCTURE, "cell"))
     g = [[F.col(f"_g{i}")[k] for k in range(3)] for i in range(3)]
     rows = lookup_join(atoms.select(STRUCTURE, "number", "x", "y", "z"), s, STRUCTURE)
-    frac = [g[i][0] * F.col("x") + g[i][1] * F.col("y") + g[i][2] * F.col("z") for i in range(3)]
-    rows = rows.select(STRUCTURE, "number", *[f.alias(f"_f{i}") for i, f in enumerate(frac)])
+    rows = rows.select(STRUCTURE, "number", *[fractional(i).alias(f"_f{i}") for i in range(3)])
     for h in "hkl":
         rows = rows.withColumn(h, F.explode(F.sequence(F.lit(-max_index), F.lit(max_index))))
     phase = 2 * math.pi * (F.col("h") * F.col("_f0") + F.col("k") * F.col("_f1") + F.col("l") * F.col("_f2"))
@@ -255,13 +254,13 @@ def convex_hulls(points: DataFrame, label: str, x: str = "x", y: str = "y", grou
             for name, part in pdf.groupby("label", sort=False):
                 kept[name] = _hull(kept.get(name, []) + list(zip(part["x"], part["y"])))
         for name, hull in kept.items():
-            yield pd.DataFrame({label: [name] * len(hull), "x": [p[0] for p in hull], "y": [p[1] for p in hull]})
+            yield pd.DataFrame({label: pd.Series([name] * len(hull), dtype=object), "x": [p[0] for p in hull], "y": [p[1] for p in hull]})
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
         hull = _hull(list(zip(pdf["x"], pdf["y"])))
         if len(hull) < 2:
             hull = []
-        return pd.DataFrame({label: [pdf[label].iloc[0]] * len(hull), "corner": range(len(hull)),
+        return pd.DataFrame({label: pd.Series([pdf[label].iloc[0]] * len(hull), dtype=object), "corner": range(len(hull)),
                              "x": [p[0] for p in hull], "y": [p[1] for p in hull]})
 
     rows = points.select(F.col(label).alias("label"), F.col(x).cast("double").alias("x"),

@@ -52,48 +52,66 @@ def cell_volume(cell: Column) -> Column:
     return F.abs(_dot(a, _cross(b, c)))
 
 
-def with_inverse_cell(structures: DataFrame, cell: str = "cell") -> DataFrame:
-    """Add rows ``_g0.._g2``: fractional coordinate i is the dot product with ``_gi``."""
-    v = cell_vectors(F.col(cell))
+def inverse_rows(cell: Column) -> list[Column]:
+    """Rows g_i of the inverse cell: fractional coordinate i is the dot product with g_i."""
+    v = cell_vectors(cell)
     det = _dot(v[0], _cross(v[1], v[2]))
     rows = [_cross(v[1], v[2]), _cross(v[2], v[0]), _cross(v[0], v[1])]
-    return structures.select("*", *[F.array(*[F.try_divide(c, det) for c in r]).alias(f"_g{i}")
-                                    for i, r in enumerate(rows)])
+    return [F.array(*[F.try_divide(c, det) for c in r]) for r in rows]
+
+
+def with_inverse_cell(structures: DataFrame, cell: str = "cell") -> DataFrame:
+    """Add the rows of the inverse cell as ``_g0`` .. ``_g2``."""
+    return structures.select("*", *[g.alias(f"_g{i}") for i, g in enumerate(inverse_rows(F.col(cell)))])
+
+
+def fractional(i: int) -> Column:
+    """Fractional coordinate ``i`` of a row with ``x, y, z`` and ``_g0`` .. ``_g2``."""
+    g = F.col(f"_g{i}")
+    return F.col("x") * g[0] + F.col("y") * g[1] + F.col("z") * g[2]
 
 
-def images(atoms: DataFrame, structures: DataFrame | None, radius: float) -> DataFrame:
-    """Atoms and their periodic copies that can lie within ``radius`` of the home cell.
+def _placed(atoms: DataFrame, structures: DataFrame, radius: float) -> DataFrame:
+    """Atoms with the lattice shifts ``_lo .. _hi`` per axis that bring them within
+    ``radius`` of the home cell, and the shift ``_home`` that brings them into it.
 
-    Adds ``is_home``. Periodic coordinates are wrapped into the cell first; copies
-    are counted from the height of the cell, not the length of its vectors, and
-    copies too far outside are dropped before any shuffle.
+    Shifts are counted from the height of the cell (one over the length of the
+    inverse row), not from the length of its vectors.
     """
-    if structures is None:
-        return atoms.withColumn("is_home", F.lit(True))
     s = with_inverse_cell(structures.select(STRUCTURE, "cell", "pbc"))
-    joined = lookup_join(atoms, s, STRUCTURE)
-    reach = [F.when(F.col("pbc")[i], F.lit(float(radius)) * F.sqrt(_dot(F.col(f"_g{i}"), F.col(f"_g{i}"))))
-             .otherwise(0.0) for i in range(3)]
-    frac = [sum((F.col(a) * F.col(f"_g{i}")[k] for k, a in list(enumerate(AXES))[1:]),
-                F.col("x") * F.col(f"_g{i}")[0]) for i in range(3)]
+    reach = [F.lit(float(radius)) * F.sqrt(_dot(F.col(f"_g{i}"), F.col(f"_g{i}"))) for i in range(3)]
+    s = s.select("*", *[r.alias(f"_r{i}") for i, r in enumerate(reach)])
+    rows = lookup_join(atoms, s, STRUCTURE).select(
+        *atoms.columns, "cell", "pbc", *[f"_r{i}" for i in range(3)], *[fractional(i).alias(f"_f{i}") for i in range(3)])
+    bounds = []
     for i in range(3):
-        joined = joined.withColumn(f"_r{i}", reach[i])
-    # a hair below 1 counts as 0, so that rounding does not move an atom across the cell
-    joined = joined.select("*", *[
-        F.when(F.col("pbc")[i], -F.floor(frac[i] + 1e-9)).otherwise(0).alias(f"_w{i}") for i in range(3)],
-        *[frac[i].alias(f"_f{i}") for i in range(3)])
+        f, r, periodic = F.col(f"_f{i}"), F.col(f"_r{i}"), F.col("pbc")[i]
+        # a hair below 1 counts as 0, so that rounding does not move an atom across the cell
+        for name, shift in (("_home", -F.floor(f + 1e-9)), ("_lo", F.ceil(-r - f - 1e-9)), ("_hi", F.floor(1 + r - f + 1e-9))):
+            bounds.append(F.when(periodic, shift).otherwise(0).cast("int").alias(f"{name}{i}"))
+    return rows.select(*atoms.columns, "cell", *bounds)
+
+
+def shifted(rows: DataFrame, columns: Sequence[str], shift: Sequence[Column], *extra: Column) -> DataFrame:
+    cell = F.col("cell")
+    moved = [(F.col(a) + shift[0] * cell[0][k] + shift[1] * cell[1][k] + shift[2] * cell[2][k]).alias(a)
+             for k, a in enumerate(AXES)]
+    return rows.select(*[c for c in columns if c not in AXES], *moved, *extra)
+
+
+def homes_and_images(atoms: DataFrame, structures: DataFrame | None,
+                     radius: float) -> tuple[DataFrame, DataFrame]:
+    """Atoms inside their cell, and these with all periodic copies within ``radius`` of
+    the cell (column ``is_home``); without structures both are the atoms."""
+    if structures is None:
+        return atoms, atoms.withColumn("is_home", F.lit(True))
+    placed = _placed(atoms, structures, radius)
+    homes = shifted(placed, atoms.columns, [F.col(f"_home{i}") for i in range(3)])
+    rows = placed
     for i in range(3):
-        n = F.ceil(F.col(f"_r{i}")).cast("int")
-        at = F.col(f"_f{i}") + F.col(f"_w{i}")
-        reach_i = F.col(f"_r{i}") + 1e-9
-        near = F.filter(F.sequence(-n, n), lambda s: (at + s >= -reach_i) & (at + s <= 1 + reach_i))  # noqa: B023
-        joined = joined.withColumn(f"_s{i}", F.explode(
-            F.when(F.col("pbc")[i], near).otherwise(F.array(F.lit(0)))))
-    shift = [F.col(f"_w{i}") + F.col(f"_s{i}") for i in range(3)]
-    moved = [(F.col(a) + sum((shift[i] * F.col("cell")[i][k] for i in (1, 2)),
-                             shift[0] * F.col("cell")[0][k])).alias(a) for k, a in enumerate(AXES)]
-    home = (F.col("_s0") == 0) & (F.col("_s1") == 0) & (F.col("_s2") == 0)
-    return joined.select(*[c for c in atoms.columns if c not in AXES], *moved, home.alias("is_home"))
+        rows = rows.withColumn(f"_s{i}", F.explode(F.sequence(f"_lo{i}", f"_hi{i}")))
+    is_home = (F.col("_s0") == F.col("_home0")) & (F.col("_s1") == F.col("_home1")) & (F.col("_s2") == F.col("_home2"))
+    return homes, shifted(rows, atoms.columns, [F.col(f"_s{i}") for i in range(3)], is_home.alias("is_home"))
 
 
 # --- cells -------------------------------------------------------------------
@@ -109,11 +127,10 @@ def with_cell(points: DataFrame, edge: Column) -> DataFrame:
 def with_cells_around(points: DataFrame, edge: Column, half: bool = False) -> DataFrame:
     """One row per cell around the point; ``half`` keeps 14 of the 27 cells, so that
     each unordered pair of cells is met once."""
-    around = [F.struct(*[(_cell(a, edge) + d).alias(f"_c{a}") for a, d in zip(AXES, (i, j, k))])
-              for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)
-              if not half or (i, j, k) >= (0, 0, 0)]
-    return points.withColumn("_n", F.explode(F.array(*around))).select(
-        *points.columns, *[F.col(f"_n._c{a}").alias(f"_c{a}") for a in AXES])
+    around = ", ".join(f"struct({i} as x, {j} as y, {k} as z)" for i in (-1, 0, 1) for j in (-1, 0, 1)
+                       for k in (-1, 0, 1) if not half or (i, j, k) >= (0, 0, 0))
+    return points.withColumn("_n", F.expr(f"explode(array({around}))")).select(
+        *points.columns, *[(_cell(a, edge) + F.col(f"_n.{a}")).alias(f"_c{a}") for a in AXES])
 
 
 _KEYS = [STRUCTURE, "_cx", "_cy", "_cz"]
@@ -135,8 +152,8 @@ def neighbour_pairs(atoms: DataFrame, radius: float, structures: DataFrame | Non
     """
     edge = F.lit(float(radius))
     base = atoms.select(STRUCTURE, "atom_id", "number", *AXES)
-    targets = with_cell(images(base, structures, radius), edge)
-    homes = images(base, structures, radius).where("is_home").drop("is_home") if structures is not None else base
+    homes, copies = homes_and_images(base, structures, radius)
+    targets = with_cell(copies, edge)
     # without images an unordered pair of cells needs one visit only
     centres = with_cells_around(homes, edge, half and structures is None)
     joined = centres.alias("c").join(targets.alias("t"), _KEYS)
@@ -203,8 +220,7 @@ def nearest_distances(atoms: DataFrame, radius: float, structures: DataFrame | N
     in reach; ``nn_any`` tells whether anything at all is in reach.
     """
     places = _positions(atoms)
-    homes = images(places, structures, radius).where("is_home").drop("is_home") if structures is not None else places
-    targets = images(places, structures, radius)
+    homes, targets = homes_and_images(places, structures, radius)
     depth = _depth(targets, radius)
     if depth:
         targets = cut_lineage(targets)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from latticeloom.distributed import lookup_join, pseudo_random_order, row_index
 from latticeloom.functions.algebra import linspace_value, rotate_x, rotate_y, rotate_z
-from latticeloom.operators.neighbors import AXES, STRUCTURE, with_inverse_cell
+from latticeloom.operators.neighbors import AXES, STRUCTURE, fractional, shifted, with_inverse_cell
 
 HIGHEST_NUMBER = 94          # random substitutes are drawn from 1..94
 
@@ -105,16 +105,11 @@ def supercell(atoms: DataFrame, structures: DataFrame, replicas: DataFrame | Seq
 
 def wrap_atoms(atoms: DataFrame, structures: DataFrame) -> DataFrame:
     """Move atoms into the cell along periodic axes."""
-    s = with_inverse_cell(structures.select(STRUCTURE, "cell", "pbc"))
-    rows = lookup_join(atoms, s, STRUCTURE)
-    frac = [sum((F.col(a) * F.col(f"_g{i}")[k] for k, a in list(enumerate(AXES))[1:]),
-                F.col("x") * F.col(f"_g{i}")[0]) for i in range(3)]
+    rows = lookup_join(atoms, with_inverse_cell(structures.select(STRUCTURE, "cell", "pbc")), STRUCTURE)
     # a hair below 1 counts as 1, so that rounding does not send an atom across the cell
-    back = [F.when(F.col("pbc")[i], F.floor(frac[i] + 1e-7)).otherwise(F.lit(0)) for i in range(3)]
+    back = [F.when(F.col("pbc")[i], -F.floor(fractional(i) + 1e-7)).otherwise(F.lit(0)) for i in range(3)]
     rows = rows.select("*", *[b.alias(f"_b{i}") for i, b in enumerate(back)])
-    moved = [(F.col(a) - sum((F.col(f"_b{i}") * F.col("cell")[i][k] for i in (1, 2)),
-                             F.col("_b0") * F.col("cell")[0][k])).alias(a) for k, a in enumerate(AXES)]
-    return rows.select(*[c for c in atoms.columns if c not in AXES], *moved)
+    return shifted(rows, atoms.columns, [F.col(f"_b{i}") for i in range(3)])
 
 
 def zero_open_cell_vectors(structures: DataFrame) -> DataFrame:

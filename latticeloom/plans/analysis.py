@@ -186,7 +186,7 @@ def per_item(df: DataFrame, function: Callable[[dict], dict], schema: str) -> Da
                     out.append({**function(row), "error": None})
                 except Exception as e:                       # noqa: BLE001 - reported per row
                     out.append({**dict.fromkeys(names), "error": f"{type(e).__name__}: {e}"})
-            # nullable column types, so that a missing integer stays an integer column
-            yield pd.DataFrame(out, columns=[*names, "error"]).convert_dtypes()
+            # plain objects, so that a column of integers may hold gaps
+            yield pd.DataFrame(out, columns=[*names, "error"], dtype=object)
 
     return df.mapInPandas(run, f"{schema}, error string")

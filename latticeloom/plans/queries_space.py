@@ -257,7 +257,7 @@ def _(spark, d):
 @query("J8_atoms_in_boxes", f"WITH {_grid_sql()} SELECT source, kz, iy, jx, atom_id FROM member")
 def _(spark, d):
     p = _sources(spark, d)
-    m = B.assign_boxes(p, B.box_grid(p, BOX, STRIDE, PAD), BOX, STRIDE)
+    m = B.assign_boxes(p, cut_lineage(B.box_grid(p, BOX, STRIDE, PAD)), BOX, STRIDE)
     return m.select("source", *[long(c).alias(c) for c in B.BOX], "atom_id")
 
 
@@ -265,7 +265,7 @@ def _(spark, d):
 WITH {_grid_sql()} SELECT source || '_' || kz || '_' || iy || '_' || jx AS structure_id, 'Fe' AS symbol, count(*) AS n_atoms FROM member GROUP BY ALL""")
 def _(spark, d):
     p = _sources(spark, d)
-    m = B.assign_boxes(p, B.box_grid(p, BOX, STRIDE, PAD), BOX, STRIDE)
+    m = B.assign_boxes(p, cut_lineage(B.box_grid(p, BOX, STRIDE, PAD)), BOX, STRIDE)
     return B.box_structures(m, species="Fe").groupBy("structure_id", "symbol").agg(F.count(F.lit(1)).alias("n_atoms"))
 
 

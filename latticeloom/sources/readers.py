@@ -199,12 +199,11 @@ def explode_atoms(structures: DataFrame) -> DataFrame:
 def read_targets(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Target records, one line each: (first frames as columns, unreadable lines)."""
     schema = T.StructType.fromDDL(TARGET_SCHEMA).add("_bad", T.StringType())
-    raw = (spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").option("mode", "PERMISSIVE")
-           .json(paths))
-    good = raw.where(F.col("_bad").isNull() & F.col("data").isNotNull()).select(F.get("data", F.lit(0)).alias("_d")).select("_d.*")
-    # a corrupt-record column may not be queried alone
-    bad = raw.select("data", "_bad").where(F.col("_bad").isNotNull()).select(F.col("_bad").alias("line"))
-    return good, bad
+    lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).where(F.trim("value") != "")
+    raw = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    good = raw.where(F.col("r._bad").isNull() & F.col("r.data").isNotNull()).select(
+        F.get("r.data", F.lit(0)).alias("_d")).select("_d.*")
+    return good, raw.where(F.col("r._bad").isNotNull()).select(F.col("r._bad").alias("line"))
 
 
 def read_documents(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
