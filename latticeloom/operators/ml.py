@@ -54,7 +54,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
-            both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+                            .alias("_e")).select("_e.a", "_e.b")
         else:
             both = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -82,10 +83,10 @@ def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 50, key: str = "i
     """Density clusters of points in few dimensions: ``(key, cluster, is_core)``, noise -1.
 
     Cells have diagonal ``eps``, so the points of one cell are all neighbours: a cell
-    with ``min_samples`` points needs no pair test to know that all are core, and
-    links inside a cell are one link to its first core point. Coincident points
-    travel as one weighted point. A border point joins the core with the smallest
-    id in reach; a cluster is named by its smallest core id.
+    with ``min_samples`` points needs no pair test to know that all are core, and a
+    cell is one vertex of the cluster graph. Coincident points travel as one weighted
+    point. A border point joins the core with the smallest id in reach; a cluster is
+    named by its smallest core id.
     """
     d = len(dims)
     edge = eps / d ** 0.5 * (1 - 1e-12)
@@ -124,11 +125,8 @@ def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 50, key: str = "i
     core = cut_lineage(placed.join(degree, "pid", "left").withColumn(
         "is_core", (F.col("cell_w") >= min_samples) | (F.col("deg") >= min_samples)).na.fill(False, ["is_core"]))
     cores = core.where("is_core").select("pid", *dims, *cells)
-    heads = cut_lineage(cores.groupBy(*cells).agg(F.min("pid").alias("head")))
-    # links between different cells only; one per pair of cells after the partial distinct
-    linked = (around_cells(cores.join(heads, cells)).alias("a").join(cores.join(heads, cells).alias("b"), cells)
-              .where((F.col("a.head") < F.col("b.head")) & near("a", "b"))
-              .select(F.col("a.head").alias("a"), F.col("b.head").alias("b")).distinct())
+    heads = cut_lineage(cores.groupBy(*cells).agg(F.min("pid").alias("head"), F.count(F.lit(1)).alias("n")))
+    linked = _linked_cells(cores, heads, dims, cells, edge, eps, around_cells, near)
     comps = connected_components(linked).withColumnsRenamed({"id": "head"})
     core_cluster = cut_lineage(cores.join(heads, cells).join(comps, "head", "left").select(
         "pid", *dims, *cells, F.coalesce("component", "head").alias("cluster")))
@@ -143,6 +141,71 @@ def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 50, key: str = "i
         F.col(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
 
 
+DENSE_CELL = 64       # core points; pairs of denser cells are never compared point by point
+
+
+def _linked_cells(cores: DataFrame, heads: DataFrame, dims: Sequence[str], cells: Sequence[str], edge: float,
+                  eps: float, around_cells, near) -> DataFrame:
+    """Pairs of cells ``(a, b)`` (by head) with core points within ``eps`` of each other.
+
+    If one cell of a pair has few points they are compared with the other cell's. Two
+    dense cells are compared by the bounding boxes of ever smaller parts: parts
+    entirely within reach link the cells, parts out of reach are dropped, the rest is
+    split further. Dense neighbours link after one or two rounds.
+    """
+    meet = (around_cells(heads.select("head", "n", *cells)).alias("a").join(heads.alias("b"), list(cells))
+            .where(F.col("a.head") < F.col("b.head"))
+            .select(F.col("a.head").alias("a"), F.col("b.head").alias("b"), F.least("a.n", "b.n").alias("n")))
+    meet = cut_lineage(meet)
+    at = cut_lineage(cores.join(heads.select("head", *cells), list(cells)).select("head", *dims))
+    light = (meet.where(F.col("n") <= DENSE_CELL).alias("m").join(at.alias("a"), F.col("m.a") == F.col("a.head"))
+             .join(at.alias("b"), F.col("m.b") == F.col("b.head")).where(near("a", "b"))
+             .select("m.a", "m.b").distinct())
+    dense = meet.where(F.col("n") > DENSE_CELL).select("a", "b")
+    if dense.limit(1).count() == 0:
+        return light
+    inside = at.join(dense.select(F.explode(F.array("a", "b")).alias("head")).distinct(), "head", "left_semi")
+    inside = cut_lineage(inside)
+
+    def boxes(level: int, side: str) -> DataFrame:
+        size = edge / 2 ** level
+        index = [F.floor(F.col(c) / size).alias(f"{side}k{i}") for i, c in enumerate(dims)]
+        return inside.groupBy(F.col("head").alias(side), *index).agg(
+            *[f(c).alias(f"{side}{n}{i}") for i, c in enumerate(dims) for n, f in (("lo", F.min), ("hi", F.max))])
+
+    def spread(far: bool):
+        total = F.lit(0.0)
+        for i in range(len(dims)):
+            ab, ba = F.col(f"bhi{i}") - F.col(f"alo{i}"), F.col(f"ahi{i}") - F.col(f"blo{i}")
+            gap = F.greatest(ab, ba) if far else F.greatest(-ab, -ba, F.lit(0.0))
+            total = total + gap * gap
+        return F.sqrt(total)
+
+    keys = [f"{s}k{i}" for s in "ab" for i in range(len(dims))]
+    active, linked, level = dense, [light], 0
+    while True:
+        met = active
+        for side in "ab":
+            part = boxes(level, side)
+            if level == 0:
+                met = met.join(part, side)
+            else:
+                up = [F.floor(F.col(f"{side}k{i}") / 2).alias(f"{side}p{i}") for i in range(len(dims))]
+                met = met.join(part.select("*", *up), [side, *[f"{side}p{i}" for i in range(len(dims))]])
+        met = cut_lineage(met.select("a", "b", *keys, spread(True).alias("far"), spread(False).alias("close")))
+        done = met.where(F.col("far") <= eps).select("a", "b").distinct()
+        linked.append(done)
+        left = met.where((F.col("far") > eps) & (F.col("close") <= eps)).join(done, ["a", "b"], "left_anti")
+        if left.limit(1).count() == 0:
+            break
+        active = left.select("a", "b", *[F.col(f"{s}k{i}").alias(f"{s}p{i}") for s in "ab" for i in range(len(dims))])
+        level += 1
+    out = linked[0]
+    for part in linked[1:]:
+        out = out.union(part)
+    return out.distinct()
+
+
 def spectral_clusters(affinity: DataFrame, k: int = 8, max_iter: int = 20) -> DataFrame:
     """Clusters of a sparse affinity table ``(src, dst, weight)`` by power iteration."""
     from pyspark.ml.clustering import PowerIterationClustering
@@ -222,12 +285,12 @@ def train_committee(train: DataFrame, members: int, hidden: Sequence[int], n_cla
 
 def committee_samples(df: DataFrame, models: Sequence, vec: str = "vec", key: str = "id") -> DataFrame:
     """One probability vector per row and model: ``(key, sample, probs)``."""
-    out = None
-    ready = _with_vector(df, vec)
-    for t, model in enumerate(models):
-        part = model.transform(ready).select(key, F.lit(t).alias("sample"), vector_to_array("probability").alias("probs"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows, kept = _with_vector(df.select(key, vec), vec), []
+    for t, model in enumerate(models):              # all models score a row in one pass
+        rows = model.transform(rows).select(key, "features", *kept, vector_to_array("probability").alias(f"_p{t}"))
+        kept.append(f"_p{t}")
+    each = F.array(*[F.struct(F.lit(t).alias("sample"), F.col(p).alias("probs")) for t, p in enumerate(kept)])
+    return rows.select(key, F.explode(each).alias("_s")).select(key, "_s.sample", "_s.probs")
 
 
 def class_names(df: DataFrame, classes: DataFrame, on: str = "class_id") -> DataFrame:

@@ -20,7 +20,9 @@ def get_session(app: str = "latticeloom", cores: str = "*", shuffle_partitions:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -32,7 +34,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     A machine-local folder is only ever chosen in local mode, where the one
     machine is the whole cluster.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     app = spark.sparkContext.applicationId

@@ -315,3 +315,16 @@ def test_zero_divisors_give_null(spark):
     df = spark.createDataFrame([(0.0,)], "a double")
     assert df.select(algebra.BINARY["/"](F.lit(1.0), F.col("a"))).first()[0] is None
     assert df.select(algebra.UNARY["^-2"](F.col("a"))).first()[0] is None
+
+
+def test_dense_cells_link_like_points(spark, monkeypatch):
+    """Dense neighbouring cells are linked by boxes of their parts."""
+    monkeypatch.setattr(ml, "DENSE_CELL", 4)
+    test_dbscan_matches_brute_force(spark, False)
+    rng = np.random.default_rng(3)
+    a = np.column_stack([rng.uniform(0, 3, 400), rng.uniform(0, 0.1, 400), rng.uniform(0, 0.1, 400)])
+    gap = np.vstack([a[(a[:, 0] < 1.2) | (a[:, 0] > 1.56)], [[1.2, 0, 0], [1.56, 0, 0]]])
+    pdf = pd.DataFrame(gap, columns=list("xyz")).assign(id=range(len(gap)))
+    for eps, n in ((0.35, 2), (0.37, 1)):
+        got = ml.dbscan(spark.createDataFrame(pdf), eps, 5).toPandas()
+        assert got["cluster"].nunique() == n and (got["cluster"] >= 0).all()
