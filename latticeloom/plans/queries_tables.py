@@ -328,16 +328,26 @@ def _(spark, d):
     return filters.drop_rare_species(rows, 2, "l_orderkey", "l_returnflag")
 
 
-@query("P9_thin_structures", """
-WITH n AS (SELECT l_orderkey, count(*) AS n_atoms, sum(l_quantity) AS q FROM lineitem GROUP BY 1)
-SELECT l_orderkey, n_atoms, n_atoms <= 2 AS is_nan, CASE WHEN n_atoms > 2 THEN q END AS nan_rule,
-  CASE WHEN n_atoms < 3 THEN 0.0 ELSE q END AS zero_rule FROM n""")
-def _(spark, d):
-    n = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+_THIN = "n AS (SELECT l_orderkey, count(*) AS n_atoms, sum(l_quantity) AS q FROM lineitem GROUP BY 1)"
+
+
+def _order_vectors(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_atoms"), F.array(F.sum("l_quantity")).alias("vec"))
+
+
+@query("P9_nan_if_thin", f"""
+WITH {_THIN} SELECT l_orderkey, n_atoms, n_atoms <= 2 AS is_nan, CASE WHEN n_atoms > 2 THEN q END AS value FROM n""")
+def _(spark, d):
     nans = filters.nan_if_thin(F.col("vec"), F.col("n_atoms"), 2)[0]
-    return n.select("l_orderkey", "n_atoms", F.isnan(nans).alias("is_nan"), F.when(~F.isnan(nans), nans).alias("nan_rule"),
-                    filters.zero_if_thin(F.col("vec"), F.col("n_atoms"), 3, 1)[0].alias("zero_rule"))
+    return _order_vectors(spark, d).select("l_orderkey", "n_atoms", F.isnan(nans).alias("is_nan"),
+                                           F.when(~F.isnan(nans), nans).alias("value"))
+
+
+@query("P10_zero_if_thin", f"WITH {_THIN} SELECT l_orderkey, n_atoms, CASE WHEN n_atoms < 3 THEN 0.0 ELSE q END AS value FROM n")
+def _(spark, d):
+    return _order_vectors(spark, d).select("l_orderkey", "n_atoms", filters.zero_if_thin(
+        F.col("vec"), F.col("n_atoms"), 3, 1)[0].alias("value"))
 
 
 @query("P11_structure_atoms", f"WITH {POINTS} SELECT atom_id, x, y, z FROM points WHERE structure_id = '1'")

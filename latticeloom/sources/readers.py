@@ -123,11 +123,11 @@ def read_geometry(spark: SparkSession, folder: str, suffix: str = ".in", max_fil
     return atoms, structures
 
 
-def read_prototypes(spark: SparkSession, folder: str, datasets: Sequence[str],
-                    periodic: Sequence[bool] = (True,)) -> tuple[DataFrame, DataFrame]:
+def read_prototypes(spark: SparkSession, folder: str, datasets: Sequence[str], periodic: Sequence[bool] = (True,),
+                    suffix: str = ".in") -> tuple[DataFrame, DataFrame]:
     """Catalogue laid out as ``<dataset>/<class>/<file>.in``: one structure per file and
     periodicity flag, with its class; nanotubes only without periodicity."""
-    atoms, s = read_geometry(spark, folder)
+    atoms, s = read_geometry(spark, folder, suffix)
     part = r"([^/]+)/([^/]+)/[^/]+$"
     s = (s.withColumn("dataset", F.regexp_extract(STRUCTURE, part, 1))
          .withColumn("crystal_structure", F.regexp_extract(STRUCTURE, part, 2))
