@@ -52,14 +52,10 @@ def bounded_rows(df: DataFrame, rows: int, what: str) -> list:
     return got
 
 
-def _tasks(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _range_sorted(df: DataFrame, group: Sequence[str], order: Sequence) -> DataFrame:
     keys = [F.col(g) for g in group] + [F.col(o) if isinstance(o, str) else o for o in order]
     return cut_lineage(
-        df.repartitionByRange(_tasks(df), *keys).sortWithinPartitions(*keys)
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys)
         .withColumn("_task", F.spark_partition_id())
         .withColumn("_seq", F.monotonically_increasing_id())
     )
@@ -103,6 +99,7 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], group: Sequence
     counts = (df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v"))
               .agg(amount.alias("_c")))
     limit = LOCAL_COUNTS if local_counts is None else local_counts
+    counts = cut_lineage(counts)
     few = counts.limit(limit + 1).toPandas() if limit else None
     if few is not None and len(few) <= limit:
         return _quantiles_of_counts(df, few, probs, group)

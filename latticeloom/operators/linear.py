@@ -14,20 +14,20 @@ MODES = {"mean-variance": (True, True), "mean": (True, False), "variance": (Fals
 
 
 def dimension(df: DataFrame, vec: str = "vec") -> int:
-    """Common vector length; differing lengths are an error."""
-    lo, hi = df.agg(F.min(F.size(vec)), F.max(F.size(vec))).first()
-    if lo != hi:
-        raise ValueError(f"vector lengths differ: {lo} to {hi}")
-    if hi is None or hi > MAX_DIM:
+    """Vector length of the first row; the passes over all rows check the others."""
+    first = df.select(F.size(vec)).first()
+    if first is None or not 1 <= first[0] <= MAX_DIM:
         raise ValueError(f"vectors must have 1 to {MAX_DIM} components")
-    return hi
+    return first[0]
 
 
 def column_moments(df: DataFrame, vec: str = "vec", dim: int | None = None) -> tuple[list[float], list[float]]:
     """Mean and population deviation per component: two numbers each reach the driver."""
     dim = dim or dimension(df, vec)
-    r = df.agg(*[f(F.col(vec)[i]).alias(f"{n}{i}") for i in range(dim)
+    r = df.agg(F.min(F.size(vec)).alias("lo"), F.max(F.size(vec)).alias("hi"), *[f(F.get(vec, F.lit(i))).alias(f"{n}{i}") for i in range(dim)
                  for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    if (r["lo"], r["hi"]) != (dim, dim):
+        raise ValueError(f"vector lengths differ: {r['lo']} to {r['hi']}")
     return [r[f"m{i}"] for i in range(dim)], [r[f"s{i}"] for i in range(dim)]
 
 
@@ -100,7 +100,8 @@ def pca(df: DataFrame, k: int = 2, mode: str = "mean-variance", vec: str = "vec"
     from pyspark.ml.functions import array_to_vector
 
     ready = standardise(df, mode, vec)
-    mean, _ = column_moments(ready, vec)
+    dim = dimension(ready, vec)
+    mean = [0.0] * dim if MODES[mode][0] else column_moments(ready, vec, dim)[0]
     centred = ready.withColumn("_x", _affine(F.col(vec), mean, [1.0] * len(mean)))
     model = PCA(k=k, inputCol="_v", outputCol="_p").fit(centred.select(array_to_vector("_x").alias("_v")))
     basis = _fixed_sign(model.pc.toArray())

@@ -13,6 +13,7 @@ are counted first and handled as one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -201,13 +202,19 @@ def _positions(atoms: DataFrame) -> DataFrame:
 
 
 def _depth(points: DataFrame, radius: float, deepest: int = 12) -> int:
-    """How many times the cells must shrink until none is crowded."""
-    for depth in range(deepest):
+    """How many times the cells must shrink until none is crowded.
+
+    A crowd of c points spread evenly needs cells smaller by the cube root of
+    c / CROWDED; the guess is checked and deepened where points are clustered.
+    """
+    depth = 0
+    while depth < deepest:
         edge = F.lit(float(radius) / SHRINK ** depth)
         crowd = with_cell(points, edge).groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
         if crowd is None or crowd <= CROWDED:
-            return depth
-    return deepest
+            break
+        depth += max(1, int(math.log(crowd / CROWDED, SHRINK) / 3))
+    return min(depth, deepest)
 
 
 def nearest_distances(atoms: DataFrame, radius: float, structures: DataFrame | None = None,
@@ -219,11 +226,9 @@ def nearest_distances(atoms: DataFrame, radius: float, structures: DataFrame | N
     ``nn`` is the nearest neighbour of the wanted species and NULL if there is none
     in reach; ``nn_any`` tells whether anything at all is in reach.
     """
-    places = _positions(atoms)
+    places = cut_lineage(_positions(atoms))
     homes, targets = homes_and_images(places, structures, radius)
     depth = _depth(targets, radius)
-    if depth:
-        targets = cut_lineage(targets)
     if centre_species is not None:
         homes = homes.where(F.col("number") == centre_species)
     wanted = F.lit(True) if neighbour_species is None else F.col("t.number") == neighbour_species
@@ -266,15 +271,14 @@ def minimum_distance(atoms: DataFrame, structures_with_no_pair: bool = False) ->
     """
     places = _positions(atoms).select(STRUCTURE, *AXES, "n_atoms", "atom_id", "number")
     places = cut_lineage(places)
-    size = places.groupBy(STRUCTURE).agg(
+    size = cut_lineage(places.groupBy(STRUCTURE).agg(
         F.count(F.lit(1)).alias("n"), F.max("n_atoms").alias("twins"),
-        F.greatest(*[F.max(a) - F.min(a) for a in AXES]).alias("extent"))
+        F.greatest(*[F.max(a) - F.min(a) for a in AXES]).alias("extent")))
     single = size.where((F.col("twins") == 1) & (F.col("n") == 1)).select(
         STRUCTURE, F.lit(None).cast("double").alias("min_distance"))
     twins = size.where(F.col("twins") > 1).select(STRUCTURE, F.lit(0.0).alias("min_distance"))
     edge = F.col("extent") / F.greatest(F.floor(F.cbrt(F.col("n") - 1)), F.lit(1))
-    bound = cut_lineage(size.where((F.col("twins") == 1) & (F.col("n") > 1))
-                        .select(STRUCTURE, edge.alias("edge")))
+    bound = size.where((F.col("twins") == 1) & (F.col("n") > 1)).select(STRUCTURE, edge.alias("edge"))
     bounds = [(bound, bound.withColumn("edge", F.col("edge") * F.lit(3.0 ** 0.5)))]
     while True:
         finer = bounds[-1][0].withColumn("edge", F.col("edge") / SHRINK)
@@ -315,6 +319,7 @@ def length_histogram(nn: DataFrame, group: Sequence[str], bins: int = 100,
                      distance: str = "nn") -> DataFrame:
     """Non-empty histogram bins of nearest-neighbour distances with their score
     ``count / left_edge^2``."""
+    nn = cut_lineage(nn.select(*group, distance, "n_atoms"))
     ends = nn.groupBy(*group).agg(F.min(distance).alias("_lo"), F.max(distance).alias("_hi"))
     # equal distances: the range widens by one half to either side
     flat = F.col("_lo") == F.col("_hi")

@@ -236,9 +236,9 @@ def _(spark, d):
 
 @query("D5_user_estimator")
 def _(spark, d):
-    from pyspark.ml.clustering import BisectingKMeans
+    from pyspark.ml.clustering import KMeans
 
-    return ml.cluster(vectors(spark, d), estimator=BisectingKMeans(k=3, seed=1)).select("id", "cluster")
+    return ml.cluster(vectors(spark, d), estimator=KMeans(k=3, seed=1, initMode="random")).select("id", "cluster")
 
 
 @query("D6_user_model_factory")
