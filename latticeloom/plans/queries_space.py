@@ -304,7 +304,20 @@ def _(spark, d):
     return B.population_statistics(B.populations(p, size, (0.2, 0.2, 0.2))).select("source", F.lit(round(size[0], 6)).alias("size"), "n_boxes", "max_atoms")
 
 
-@query("A18_grown_box_size")
+def _grown_axis_sql(a: str) -> str:
+    short = f"max({a}) - (min({a}) + (floor((max({a}) - min({a})) / 0.2)) * 0.2 + w)"
+    n = f"(floor((max({a}) - min({a})) / 0.2) + 1 + CASE WHEN {short} > 0 THEN ceil(({short}) / 0.2) ELSE 0 END)"
+    return f"min({a}) - greatest(min({a}) + ({n} - 1) * 0.2 + w - max({a}), 0) / 2 AS s_{a}, CAST({n} AS BIGINT) AS n_{a}"
+
+
+@query("A18_grown_box_size", f"""
+WITH {POINTS}, sizes AS (SELECT i, i * 0.05::DOUBLE AS w FROM range(1, 13) t(i)),
+g AS (SELECT i, w, {', '.join(_grown_axis_sql(a) for a in 'xyz')} FROM points, sizes GROUP BY i, w),
+b AS (SELECT i, w, s_x + jx * 0.2 AS bx, s_y + iy * 0.2 AS by_, s_z + kz * 0.2 AS bz FROM g, LATERAL (SELECT unnest(range(n_z)) AS kz), LATERAL (SELECT unnest(range(n_y)) AS iy), LATERAL (SELECT unnest(range(n_x)) AS jx)),
+c AS (SELECT b.i, b.w, bx, by_, bz, count(atom_id) AS n FROM b LEFT JOIN points ON x BETWEEN bx AND bx + w AND y BETWEEN by_ AND by_ + w AND z BETWEEN bz AND bz + w GROUP BY ALL),
+m AS (SELECT i, w, quantile_cont(n, 0.5) FILTER (WHERE n > 0) AS median, stddev_pop(n) AS std FROM c GROUP BY i, w)
+SELECT 'all' AS source, (SELECT count(*) FROM points) AS n_atoms, round(w, 6) AS size, CAST(median AS DOUBLE) AS median, round(std, 6) AS std FROM m
+WHERE median >= (SELECT count(*) // 20 FROM points) ORDER BY i LIMIT 1""")
 def _(spark, d):
     p = cut_lineage(_sources(spark, d).withColumn("source", F.lit("all")))
     size, median, std = B.grown_box_size(p, p.count() // 20, 0.05, (0.2, 0.2, 0.2))

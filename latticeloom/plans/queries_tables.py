@@ -673,7 +673,7 @@ def _(spark, d):
 
 @query("J13_parameter_grid", """
 SELECT p_partkey, a, c_a, 'A3_' || a || '_' || c_a || '_' || p_brand || '.aims' AS file_name
-FROM part, (SELECT unnest([3.5, 4.0]) AS a), (SELECT unnest([1.5, 1.6, 1.7]) AS c_a)""")
+FROM part, (SELECT unnest([3.5, 4.0]::DOUBLE[]) AS a), (SELECT unnest([1.5, 1.6, 1.7]::DOUBLE[]) AS c_a)""")
 def _(spark, d):
     base = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("element"))
     return st.parameter_grid(base, F.lit("A3"), {"a": [3.5, 4.0], "c_a": [1.5, 1.6, 1.7]}).select("p_partkey", "a", "c_a", "file_name")
