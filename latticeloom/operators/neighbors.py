@@ -25,7 +25,7 @@ from latticeloom.session import cut_lineage
 STRUCTURE = "structure_id"
 AXES = ("x", "y", "z")
 CROWDED = 64          # points per cell above which the search starts with smaller cells
-SHRINK = 4            # cell edge ratio between two search levels
+SHRINK = 3            # cell edge ratio between two search levels
 LIST_SKIN = 0.1       # skin of neighbour lists built from per-atom radii
 
 
@@ -201,7 +201,7 @@ def _positions(atoms: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_atoms"), F.min("atom_id").alias("atom_id"))
 
 
-def _depth(points: DataFrame, radius: float, deepest: int = 12) -> int:
+def _depth(points: DataFrame, radius: float, deepest: int = 16) -> int:
     """How many times the cells must shrink until none is crowded.
 
     A crowd of c points spread evenly needs cells smaller by the cube root of
@@ -238,13 +238,14 @@ def nearest_distances(atoms: DataFrame, radius: float, structures: DataFrame | N
     for level in range(depth, -1, -1):
         reach = float(radius) / SHRINK ** level
         edge = F.lit(reach)
-        found = (with_cells_around(todo, edge).alias("c")
-                 .join(with_cell(targets, edge).alias("t"), _KEYS, "left")
-                 .withColumn("_r", F.when((F.col("c.atom_id") == F.col("t.atom_id"))
-                                          & F.col("t.is_home"), None).otherwise(_distance("c", "t")))
-                 .groupBy(STRUCTURE, *[F.col(f"c.{k}") for k in ("atom_id", "number", *AXES, "n_atoms")])
-                 .agg(F.min(F.when((F.col("_r") <= reach) & wanted, F.col("_r"))).alias("nn"),
-                      F.min(F.when(F.col("_r") <= reach, F.col("_r"))).alias("nn_any")))
+        itself = (F.col("c.atom_id") == F.col("t.atom_id")) & F.col("t.is_home")
+        # an inner join: the planner may split a crowded cell on either side
+        near = (with_cells_around(todo.select(STRUCTURE, "atom_id", *AXES), edge).alias("c")
+                .join(with_cell(targets, edge).alias("t"), _KEYS)
+                .withColumn("_r", _distance("c", "t")).where((F.col("_r") <= reach) & ~itself)
+                .groupBy(STRUCTURE, F.col("c.atom_id").alias("atom_id"))
+                .agg(F.min(F.when(wanted, F.col("_r"))).alias("nn"), F.min("_r").alias("nn_any")))
+        found = todo.join(near, [STRUCTURE, "atom_id"], "left")
         found = (found.withColumn("nn", F.when(twin, 0.0).otherwise(F.col("nn")))
                  .withColumn("nn_any", F.when(F.col("n_atoms") > 1, 0.0).otherwise(F.col("nn_any"))))
         if level == 0:
