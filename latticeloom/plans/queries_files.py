@@ -115,7 +115,7 @@ def _(spark, d):
         flat(F.array(F.lit("C1"), F.lit("C2"))).alias("atom_labels"),
         F.array(flat(F.array_repeat(F.col("id") % 3 == 0, 3))).alias("configuration_periodic_dimensions"),
         flat(F.transform(F.array(*[F.lit(2.0 if i % 4 == 0 else 0.0) for i in range(9)]), lambda x: x * 1e-10)).alias("simulation_cell")))
-    uri = F.concat(F.lit("nmd://archive/"), F.col("id").cast("string"))
+    uri = F.concat(F.lit("archive://"), F.col("id").cast("string"))
     records = v.select(uri.alias("uri"), doc.alias("json")).withColumn("path", F.explode(F.array(F.lit("0c"), F.lit("1c"))))
     s, _ = R.resolve_records(records, v.select(uri.alias("uri"), F.col("vec")[63].alias("energy_total")))
     return s.select("label", "periodic", F.col("symbols")[0].alias("first_symbol"), rounded(F.col("positions")[0][0]).alias("x"),

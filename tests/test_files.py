@@ -126,9 +126,9 @@ def record(species=None, labels=None, periodic=True):
 
 
 def test_records_fall_back_in_order(spark):
-    rows = [("nmd://x/one", "0c", record(labels=["C1", "C2"])), ("nmd://x/one", "1c", record(species=[6, 6])),
-            ("nmd://x/two", "0c", record(labels=["O", "H"], periodic=False)), ("nmd://x/three", "0c", "{}")]
-    energies = spark.createDataFrame([("nmd://x/one", -5.0)], "uri string, energy_total double")
+    rows = [("archive://x/one", "0c", record(labels=["C1", "C2"])), ("archive://x/one", "1c", record(species=[6, 6])),
+            ("archive://x/two", "0c", record(labels=["O", "H"], periodic=False)), ("archive://x/three", "0c", "{}")]
+    energies = spark.createDataFrame([("archive://x/one", -5.0)], "uri string, energy_total double")
     s, atoms = R.resolve_records(spark.createDataFrame(rows, "uri string, path string, json string"), energies)
     got = {r["label"]: r for r in s.collect()}
     assert set(got) == {"one", "two"} and got["one"]["symbols"] == ["6", "6"] and got["one"]["energy_total"] == -5.0
