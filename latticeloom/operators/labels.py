@@ -202,7 +202,7 @@ def batch_ids(df: DataFrame, key: str, batch_size: int, shuffle: bool = False,
     return ranked.withColumn("batch", F.floor(F.col("_r") / batch_size)).drop("_r")
 
 
-# --- whole label pipeline ----------------------------------------------------
+# --- labels end to end ---------------------------------------------------------
 
 def extract_labels(df: DataFrame, target: str, categorical: bool = True, disc_type: str = "uniform",
                    n_bins: int = 100, new_labels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
