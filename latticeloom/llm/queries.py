@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticeloom.llm import language, quality, simhash
+from latticeloom.llm import language, mixing, packing, quality, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +45,27 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     samples = language.training_samples(docs, fold(5) != 0)
     return language.identify_language(docs, samples).select(
         "doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score", "entropy")
+
+
+@query
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of every document in sequences of at most 4096 tokens."""
+    pieces = packing.pack(table(spark, folder, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+TOPICS = {"licence": ["License", "CC BY", "rights reserved"], "table": [" | "], "marked": ["###", "$$$", "!!"]}
+TARGETS = {"source": 0.7, "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15},
+           "topic": {"prose": 0.8, "table": 0.08, "licence": 0.06, "marked": 0.06}}
+FRACTION = 0.5
+
+
+@query
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents sampled so that half of the tokens stay, raked to source, language and topic targets."""
+    kept = mixing.mix_sources(table(spark, folder, "documents"), TARGETS, mixing.topic_by_markers(TOPICS), FRACTION)
+    return kept.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
+                       F.col("_tokens").alias("n_tokens"), F.round("_probability", 6).alias("probability"))
+
+
+ORACLES["op4_mixing"] = mixing.mixing_sql(TARGETS, TOPICS, FRACTION)
