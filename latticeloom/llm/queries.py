@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticeloom.llm import language, mixing, packing, quality, simhash
+from latticeloom.llm import chat, language, licences, mixing, packing, quality, sharding, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,32 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op4_mixing"] = mixing.mixing_sql(TARGETS, TOPICS, FRACTION)
+
+
+@query
+def op6_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of all formatted conversations, and of one that quotes the template's control strings."""
+    quoted = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", quoted), (-7, 1, "assistant", quoted)],
+                                  "conv_id long, turn long, role string, text string")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_chats(turns))
+
+
+@query
+def op7_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and template matches in every document."""
+    found = licences.scan_licences(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
+                        F.size("blocks").cast("long").alias("n_blocks"))
+
+
+@query
+def op9_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's shard among 40, its place there, and its shard among 41."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    records = table(spark, folder, "documents").select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return sharding.shard(records, 40).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard",
+        "virtual_slot", "slot_bytes")
