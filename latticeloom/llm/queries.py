@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticeloom.llm import chat, language, licences, mixing, packing, quality, sharding, simhash
+from latticeloom.llm import chat, crosspolytope, forest, language, licences, mixing, packing, quality, sharding, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,15 @@ def op9_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(records, 40).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard",
         "virtual_slot", "slot_bytes")
+
+
+@query
+def op8_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    return forest.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op10_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate vectors of one label."""
+    return crosspolytope.near_duplicate_vectors(table(spark, folder, "embeddings"))
