@@ -13,8 +13,8 @@ time, and the power-of-two windows are at most 13 further transitions.
 Packing works within partitions: no shuffle, memory for ``run_tokens`` ids. The last window of a run is reopened and
 carried into the next run, so only the end of a partition can leave a loosely filled sequence.
 
-Tokenizing: white space never lies inside a token, so ASCII-blank-separated pieces of text are tokenized one by one and
-remembered (up to ``CACHE`` pieces in a worker, then it starts anew; this changes nothing but speed).
+Tokenizing: where the vocabulary allows it, blank-separated pieces of text are tokenized one by one and remembered (up to
+``CACHE`` pieces in a worker, then it starts anew; this changes nothing but speed).
 
 Defined cases: a null or empty text is the end id alone. Repeated rows are packed as often as they occur. Every id of every
 document lies in exactly one piece. Columns other than the id and the text are ignored.
@@ -22,10 +22,12 @@ document lies in exactly one piece. Columns other than the id and the text are i
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections import deque
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +38,26 @@ from pyspark.sql import types as T
 
 CAPACITY = 4096
 END_ID = 2
-CACHE = 300_000
-_LOADED: dict = {}
+CACHE = 600_000
+_APART = re.compile(rb"(?<=[a-z])([.,!?;:]+)(?=\s|$)")
+_PLAIN = re.compile(rb"[!-&(-;=-@\[-~]+")                      # printable ASCII without capitals, apostrophe and <
+_RUNS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+#: The normalizer and pre-tokenizer for which white space and such runs separate tokens.
+BY_PIECE = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+                                         {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed",
+         "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}]
 
 
 class Pieces:
-    """Token ids (little-endian uint32 bytes) of texts, remembered by blank-separated piece."""
+    """Token ids (little-endian uint32 bytes) of texts.
+
+    A vocabulary that lowers case and splits text into runs of letters, single digits and runs of other signs is applied to
+    blank-separated pieces, which are remembered; runs of printable ASCII go straight to its merges. Others see whole texts.
+    """
 
     def __init__(self, path: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,20 +72,43 @@ class Pieces:
         ends = [i for t, i in self.tokenizer.get_vocab().items() if re.fullmatch(r"[.!?]+[\"')\]]*(</w>)?", t)]
         self.sentence_end = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
         self.sentence_end[ends] = True
+        told = json.loads(self.tokenizer.to_str())
+        self.by_piece = [told["normalizer"], told["pre_tokenizer"]] == BY_PIECE
+
+    def _plain(self, piece: bytes) -> bytes:
+        return np.array([t.id for run in _RUNS.findall(piece.decode()) for t in self.tokenizer.model.tokenize(run)],
+                        dtype="<u4").tobytes()
+
+    def _full(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = list({p for pieces in split for p in pieces if p not in self.known})
+        if not self.by_piece:
+            return self._full(texts)
+        # signs between a letter and a blank are runs of their own; the names of special ids keep their case
+        split = [(t if b"<|" in t else _APART.sub(rb" \1", t.lower())).split() for t in texts]
+        new = {p for pieces in split for p in pieces if p not in self.known}
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
-            new = list({p for pieces in split for p in pieces})
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)
-            self.known.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(part, found))
+            new = {p for pieces in split for p in pieces}
+        rest = []
+        for p in new:
+            if _PLAIN.fullmatch(p):
+                self.known[p] = self._plain(p)
+            else:
+                rest.append(p)
+        for at in range(0, len(rest), 20_000):
+            self.known.update(zip(rest[at:at + 20_000], self._full(rest[at:at + 20_000])))
         return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
 
 
+@cache
+def loaded(path: str | None) -> Pieces:
+    """One for each worker process. A function of the module, so that tasks do not bring a copy of their own."""
+    return Pieces(path)
+
+
 def choose_cuts(cuts: np.ndarray, penalties: np.ndarray, capacity: int = CAPACITY, sequence_cost: float = 32.0) -> np.ndarray:
     """Ends of the windows of least cost over ``[0, cuts[-1])``.
 
@@ -140,9 +179,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer:
     closing = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _LOADED:
-            _LOADED[tokenizer] = Pieces(tokenizer)
-        coder = _LOADED[tokenizer]
+        coder = loaded(tokenizer)
         first = TaskContext.get().partitionId() << 32
         waiting: list[tuple] = []                           # (id, ids as bytes, ids before them, ids of the document)
         held = 0
