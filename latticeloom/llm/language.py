@@ -21,6 +21,7 @@ With nothing to learn from, every text is ``und``. Repeated rows get equal resul
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,6 @@ UNKNOWN = "und"
 #: Bytes that are parsed together.
 STRIDE = 4_000_000
 _KEPT = bytes(b if chr(b).isalpha() or b >= 0x80 else 0x20 for b in range(256))
-_READY: dict = {}
 
 
 def normalised(text: str | None) -> bytes:
@@ -93,6 +93,12 @@ class Automaton:
         return count
 
 
+@lru_cache(maxsize=1)
+def automata_of(known: tuple[tuple[str, bytes], ...]) -> list[Automaton]:
+    """Built once for each worker process. A function of the module, so that tasks do not bring a copy of their own."""
+    return [Automaton(text) for _, text in known]
+
+
 def phrase_counts(texts: list[bytes], automata: list[Automaton], block: int = BLOCK) -> np.ndarray:
     """Phrases of each text (rows) under each automaton (columns)."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
@@ -176,13 +182,10 @@ def identify_language(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double, entropy double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        key = hash(tuple(known))
-        if key not in _READY:                                  # built once for each worker process
-            _READY.clear()
-            _READY[key] = [Automaton(text) for _, text in known]
+        known = tuple(shared.value)
+        automata = automata_of(known)
         for texts in batches:
-            names, scores, entropy = decide(list(texts), [lang for lang, _ in known], _READY[key])
+            names, scores, entropy = decide(list(texts), [lang for lang, _ in known], automata)
             yield pd.DataFrame({"lang_pred": names, "score": scores, "entropy": entropy})
 
     found = docs.withColumn("_found", predict(F.col("text")))
