@@ -87,9 +87,9 @@ def fit_hinge(docs: list[np.ndarray], good: np.ndarray, ratios: np.ndarray, cost
     y = np.where(good, 1.0, -1.0)
     rows = []
     for found in docs:
-        x = ratios[found]
+        x = ratios[found].astype(np.float32)
         length = np.sqrt(float(x @ x))
-        rows.append(x / length if length > 0 else x)
+        rows.append(x / np.float32(length) if length > 0 else x)
     share = np.array([np.mean(y < 0), np.mean(y > 0)])
     upper = cost * 0.5 / np.maximum(share[(y > 0).astype(int)], 1e-9)      # both classes weigh the same
     square = np.array([float(x @ x) for x in rows]) + 1.0
