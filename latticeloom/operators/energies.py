@@ -71,14 +71,19 @@ def merge_equivalent_phases(phase: Column, pairs: Sequence[tuple]) -> Column:
 
 
 def binary_energy_differences(df: DataFrame, sample: str, phase: str, energy: str,
-                              equivalent: Sequence[tuple]) -> DataFrame:
+                              equivalent: Sequence[tuple], pairs: Sequence[tuple] | None = None) -> DataFrame:
     """Energy per atom pair halved, equivalent phases merged, then the difference
-    between the kept phases joined back to every energy row."""
+    between the kept phases joined back to every energy row.
+
+    ``pairs`` names the phases to compare; without it the kept phases are taken two by two, so there must be an even
+    number of them."""
+    if pairs is None and len(equivalent) % 2:
+        raise ValueError("an odd number of kept phases: name the pairs to compare")
     half = (df.withColumn(energy, F.col(energy) * 0.5)
             .withColumn(phase, merge_equivalent_phases(F.col(phase), equivalent)))
     kept = [a for a, _ in equivalent]
     chosen = select_phase_pairs(phase_differences(half, sample, phase, energy),
-                                list(zip(kept[::2], kept[1::2])), sample)
+                                list(pairs if pairs is not None else zip(kept[::2], kept[1::2])), sample)
     return half.join(chosen, sample)
 
 

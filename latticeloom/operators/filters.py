@@ -60,8 +60,8 @@ def symmetry_report(df: DataFrame, field: str) -> DataFrame:
 
 def keep_allowed_species(atoms: DataFrame, allowed: Sequence, structure: str = "structure_id",
                          species: str = "number") -> DataFrame:
-    """Atoms of those structures that hold allowed species only."""
-    bad = atoms.where(~F.col(species).isin(list(allowed))).select(structure).distinct()
+    """Atoms of those structures that hold allowed species only; an unknown (null) species is not allowed."""
+    bad = atoms.where(~F.coalesce(F.col(species).isin(list(allowed)), F.lit(False))).select(structure).distinct()
     return atoms.join(bad, structure, "left_anti")
 
 

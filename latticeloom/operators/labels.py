@@ -96,22 +96,22 @@ def evenly_spaced(lo: float, hi: float, count: int) -> list[float]:
 
 
 def edges_passed(value: Column, edges: Sequence[float]) -> Column:
-    """How many of the ascending ``edges`` are at or below ``value``."""
+    """How many of the ascending ``edges`` are at or below ``value``; null for null."""
     fixed = F.array(*[F.lit(float(e)) for e in edges])
-    return F.size(F.filter(fixed, lambda e: e <= value))
+    return F.when(value.isNotNull(), F.size(F.filter(fixed, lambda e: e <= value)))
 
 
 def uniform_bin(value: Column, lo: float, hi: float, n_edges: int) -> Column:
     """As ``edges_passed`` for evenly spaced edges, in closed form."""
     if n_edges == 1 or lo == hi:
-        return F.when(value >= hi, F.lit(n_edges)).otherwise(F.lit(0))
+        return F.when(value >= hi, F.lit(n_edges)).when(value.isNotNull(), F.lit(0))
     step = (hi - lo) / (n_edges - 1)
     edge = lambda i: F.lit(lo) + i * F.lit(step)
     guess = F.floor((value - F.lit(lo)) / F.lit(step))
     fixed = (guess - F.when(edge(guess) > value, 1).otherwise(0)
              + F.when(edge(guess + 1) <= value, 1).otherwise(0))
     return (F.when(value >= F.lit(hi), F.lit(n_edges))
-            .otherwise(F.least(F.lit(n_edges - 1), fixed + 1)).cast("int"))
+            .when(value.isNotNull(), F.least(F.lit(n_edges - 1), fixed + 1)).cast("int"))
 
 
 def discretise_uniform(df: DataFrame, value: str, n_bins: int, out: str = "bin") -> DataFrame:
@@ -155,7 +155,8 @@ def adaptive_quantile_bins(df: DataFrame, value: str, most: int = 5) -> tuple[Da
         if len(set(edges)) == len(edges):
             inner = F.array(*[F.lit(e) for e in edges[1:-1]]) if k > 1 else F.array().cast("array<double>")
             # intervals are open on the left, except the first
-            return df.withColumn("color_bin", F.size(F.filter(inner, lambda e: e < F.col(value)))), edges
+            color = F.when(F.col(value).isNotNull(), F.size(F.filter(inner, lambda e: e < F.col(value))))
+            return df.withColumn("color_bin", color), edges
     raise ValueError(f"{value} is constant: no quantile colours")
 
 
