@@ -145,10 +145,23 @@ def _check_ratio(ratio: float) -> None:
         raise ValueError("the ratio must lie between 0 and 1")
 
 
+def draw_key(atoms: DataFrame, key: str) -> Column:
+    """What a random draw hashes: the atom id, in a supercell with the replica, as atoms of many cells share an id.
+
+    A key of the caller's own is taken to tell atoms apart.
+    """
+    return F.concat_ws("/", F.col(key), F.col("replica")) if _copied(atoms, key) else F.col(key)
+
+
+def _copied(atoms: DataFrame, key: str) -> bool:
+    return key == "atom_id" and "replica" in atoms.columns
+
+
 def random_rank(atoms: DataFrame, key: str, seed: int, group: Sequence[str] = (STRUCTURE,)) -> DataFrame:
     """Seeded random rank ``_rank`` and size ``_n`` per structure."""
-    shuffled = row_index(atoms.withColumn("_shuffle", pseudo_random_order(F.col(key), seed)),
-                         ["_shuffle", key], list(group), name="_rank").drop("_shuffle")
+    order = ["_shuffle", key, *(["replica"] if _copied(atoms, key) else [])]
+    shuffled = row_index(atoms.withColumn("_shuffle", pseudo_random_order(draw_key(atoms, key), seed)),
+                         order, list(group), name="_rank").drop("_shuffle")
     sizes = atoms.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     return lookup_join(shuffled, sizes, list(group), once=True)
 
@@ -187,7 +200,7 @@ def substitute_atoms(atoms: DataFrame, ratio: float, pool_size: int = HIGHEST_NU
     pool of ``pool_size`` draws of the numbers 1..94 per structure."""
     _check_ratio(ratio)
     ranked = random_rank(atoms, key, seed)
-    slot = _hash_int(F.col(key), f"#slot{seed}", pool_size)
+    slot = _hash_int(draw_key(atoms, key), f"#slot{seed}", pool_size)
     drawn = 1 + _hash_int(F.concat_ws("/", F.col(STRUCTURE), slot), f"#pool{seed}", HIGHEST_NUMBER)
     return ranked.withColumn(species, F.when(
         F.col("_rank") < F.floor(F.col("_n") * F.lit(ratio)), drawn.cast("int"))
@@ -211,7 +224,7 @@ def displace_atoms(atoms: DataFrame, distribution: str, displacement: float,
         size = size * F.col("length_scale")
 
     def unit(axis: str, part: str) -> Column:
-        return (_hash_int(F.col(key), f"#{axis}{part}{seed}", 2 ** 32) + 0.5) / F.lit(float(2 ** 32))
+        return (_hash_int(draw_key(atoms, key), f"#{axis}{part}{seed}", 2 ** 32) + 0.5) / F.lit(float(2 ** 32))
 
     def noise(axis: str) -> Column:
         if distribution.startswith("uniform"):
