@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from latticeloom.llm import chat, language, licences, mixing, neartexts, packing, quality, queries, sharding, simhash
@@ -155,8 +156,39 @@ def test_many_texts_of_a_key_meet_their_centre():
     r = np.random.default_rng(3)
     centre = r.integers(0, 1 << 62)
     prints = np.array([centre] + [centre ^ (1 << int(a)) ^ (1 << int(b)) for a, b in r.choice(60, (900, 2))], dtype=np.int64)
-    pairs = np.concatenate(list(neartexts.near_in_key(prints)))
-    assert set(prints.tolist()) == set(pairs.ravel().tolist()) and len(pairs) <= 2 * len(prints)
+    one = np.unique(prints.view(np.uint64))
+    pairs, middle = neartexts.near_in_part(one)
+    assert middle == centre and set(one.tolist()) == set(pairs.ravel().tolist()) and len(pairs) <= 2 * len(one)
+
+
+@pytest.mark.parametrize("batch", [1, 7, 5000])
+@pytest.mark.parametrize("part", [2, 16, 4096])
+def test_parts_of_a_key_stay_linked(monkeypatch, part, batch):
+    """Near fingerprints of one key are one component, whatever the parts and batches; other keys stay apart."""
+    monkeypatch.setattr(neartexts.KeyPairs.__init__, "__defaults__", (part,))
+    r = np.random.default_rng(4)
+    rows, groups = [], []
+    for key, n in enumerate([1, 2, 3, 300, 2, 1]):
+        centre = int(r.integers(0, 1 << 62))
+        own = sorted({centre ^ (1 << int(a)) ^ (1 << int(b)) for a, b in r.choice(60, (n, 2))})
+        rows += [(key, p) for p in own for _ in range(2 if n == 300 else 1)]
+        groups.append(set(own))
+    batches = (pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[i:i + batch]], pa.int32()),
+                                           pa.array([p for _, p in rows[i:i + batch]], pa.int64())], names=["key", "print"])
+               for i in range(0, len(rows), batch))
+    pairs = {(x["a"], x["b"]) for b in neartexts._candidates(batches) for x in b.to_pylist()}
+    root = {p: p for g in groups for p in g}
+
+    def top(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+    for a, b in pairs:
+        root[top(a)] = top(b)
+    found = {}
+    for p in root:
+        found.setdefault(top(p), set()).add(p)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups))
 
 
 def test_packing_round_trip(spark, odd):
