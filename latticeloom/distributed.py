@@ -72,15 +72,17 @@ def row_index(df: DataFrame, order: Sequence, group: Sequence[str] = (),
               name: str = "row_index") -> DataFrame:
     """Add the 0-based position of each row in its group under ``order``.
 
-    ``order`` must break all ties (end it with a unique key); group columns
-    must not be null.
+    ``order`` must break all ties (end it with a unique key); null is a group of its own.
     """
     group = list(group)
     sorted_rows = _range_sorted(df, group, order)
     stats = sorted_rows.groupBy(*group, "_task").agg(
         F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
     offsets = _offsets(stats, group, "_n").drop("_n")
-    return (sorted_rows.join(offsets, [*group, "_task"])
+    names = [*group, "_task"]
+    offsets = offsets.select(*[F.col(c).alias(f"_of_{i}") for i, c in enumerate(names)], "_first", "_offset")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(names)]
+    return (sorted_rows.join(offsets, same).drop(*[f"_of_{i}" for i in range(len(names))])
             .withColumn(name, F.col("_seq") - F.col("_first") + F.col("_offset"))
             .drop("_task", "_seq", "_first", "_offset"))
 

@@ -129,18 +129,21 @@ def optimal_box_size(atoms: DataFrame, start: Sequence[float], target_atoms: int
                      source: str = "source") -> list[float]:
     """Grow or shrink the box of one source until its typical population fits.
 
-    Each round is one distributed job; only one number reaches the driver.
+    Each round is one distributed job; only one number reaches the driver. An error tells that no size fits: a step
+    that leads back to the size before would swing for ever, and ``max_iter`` steps were not enough otherwise.
     """
-    size, ends = [float(v) for v in start], cut_lineage(extents(atoms, source))
+    last, size, ends = 0.0, [float(v) for v in start], cut_lineage(extents(atoms, source))
     for _ in range(max_iter):
         found = typical_population(populations(atoms, size, stride, padding_ratio, source, ends),
                                    cutoff_percentile, source).agg(F.max("n_typical")).first()[0]
         n = 0.0 if found is None else found
         if n - up_tolerance <= target_atoms <= n + down_tolerance:
-            break
+            return size
         change = step if n <= target_atoms else -step
-        size = [v + change for v in size]
-    return size
+        if change == -last:
+            raise ValueError(f"no box size fits: a step of {step} leads past the window around {target_atoms} atoms")
+        last, size = change, [v + change for v in size]
+    raise ValueError(f"no box size fits within {max_iter} steps of {step}; the last one was {size}")
 
 
 def _deviation(hist: DataFrame) -> float:

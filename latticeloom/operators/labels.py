@@ -171,7 +171,7 @@ def split_rows(df: DataFrame, key: str, test_size: float | int, label: str | Non
     """Add ``split`` = ``train`` / ``validation``; stratified when ``label`` is given.
 
     A class quota is its share of the held-out rows rounded down; the rows still
-    missing go to the classes with the largest remainders.
+    missing go to the classes with the largest remainders. Rows without a class are a class of their own.
     """
     total = df.count()
     held = _holdout_size(total, test_size)
@@ -181,15 +181,16 @@ def split_rows(df: DataFrame, key: str, test_size: float | int, label: str | Non
         return (ranked.withColumn("split", F.when(F.col("_r") < held, "validation").otherwise("train"))
                 .drop("_shuffle", "_r"))
     exact = F.col("n") * F.lit(held) / F.lit(float(total))
-    quota = (class_populations(df, label).withColumn("_floor", F.floor(exact))
+    # a struct is never null, so rows without a class find their quota too
+    quota = (class_populations(df.withColumn("_class", F.struct(label)), "_class").withColumn("_floor", F.floor(exact))
              .withColumn("_rest", -(exact - F.floor(exact))))
     short = held - (quota.agg(F.sum("_floor")).first()[0] or 0)
-    quota = (row_index(quota, ["_rest", label], name="_q")
-             .select(label, (F.col("_floor") + F.when(F.col("_q") < short, 1).otherwise(0)).alias("_quota")))
+    quota = (row_index(quota, ["_rest", "_class"], name="_q")
+             .select("_class", (F.col("_floor") + F.when(F.col("_q") < short, 1).otherwise(0)).alias("_quota")))
     ranked = row_index(df.withColumn("_shuffle", shuffled), ["_shuffle", key], [label], name="_r")
-    return (lookup_join(ranked, quota, label, once=True)
+    return (lookup_join(ranked.withColumn("_class", F.struct(label)), quota, "_class", once=True)
             .withColumn("split", F.when(F.col("_r") < F.col("_quota"), "validation").otherwise("train"))
-            .drop("_shuffle", "_r", "_quota"))
+            .drop("_shuffle", "_r", "_quota", "_class"))
 
 
 def batch_ids(df: DataFrame, key: str, batch_size: int, shuffle: bool = False,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Estimator, Pipeline
@@ -261,6 +262,16 @@ def score(df: DataFrame, model, vec: str = "vec") -> DataFrame:
             .drop("features", "rawPrediction", "probability", "prediction"))
 
 
+def poisson_steps(mean: float = 1.0) -> list[float]:
+    """Cumulative probabilities of 0, 1, 2, ... events, as far as they differ from 1 in double precision."""
+    steps, term, total = [], math.exp(-mean), 0.0
+    while total + term < 1.0 and total + term > total:
+        total += term
+        steps.append(total)
+        term *= mean / len(steps)
+    return steps
+
+
 def train_committee(train: DataFrame, members: int, hidden: Sequence[int], n_classes: int,
                     label: str = "label", vec: str = "vec", key: str = "id", seed: int = 42,
                     factory: Callable[..., Pipeline] = perceptron, **params) -> list:
@@ -273,10 +284,8 @@ def train_committee(train: DataFrame, members: int, hidden: Sequence[int], n_cla
     ready = cut_lineage(_with_vector(train, vec))
     models = []
     for t in range(members):
-        u = F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(t)), F.lit(2 ** 32)) / F.lit(float(2 ** 32))
-        # cumulative Poisson(1) probabilities; beyond eight copies is under one in a million
-        steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975]
-        copies = sum((F.when(u >= s, 1).otherwise(0) for s in steps[1:]), F.when(u >= steps[0], 1).otherwise(0))
+        u = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed), F.lit(t)), 11) / F.lit(float(2 ** 53))
+        copies = sum((F.when(u >= s, 1).otherwise(0) for s in poisson_steps()), F.lit(0))
         drawn = ready.withColumn("_k", copies).where("_k > 0").withColumn(
             "_k", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_k")
         models.append(factory([dim, *hidden, n_classes], label=label, seed=seed + t, **params).fit(drawn))

@@ -268,10 +268,11 @@ def minimum_distance(atoms: DataFrame, structures_with_no_pair: bool = False) ->
     By the pigeonhole principle some cell of a grid with fewer cells than atoms
     holds two atoms, so its diagonal bounds the answer; the bound shrinks while
     some cell of a finer grid still holds two. With the final bound as cell edge no
-    cell can be crowded.
+    cell can be crowded. Edges end where cell numbers would pass 2**52, as places that
+    differ by less than that of the extent are the same to rounding; any bound is valid.
     """
-    places = _positions(atoms).select(STRUCTURE, *AXES, "n_atoms", "atom_id", "number")
-    places = cut_lineage(places)
+    # by place alone: unlike atoms at one place are at distance 0 too
+    places = cut_lineage(atoms.groupBy(STRUCTURE, *AXES).agg(F.count(F.lit(1)).alias("n_atoms"), F.min("atom_id").alias("atom_id")))
     size = cut_lineage(places.groupBy(STRUCTURE).agg(
         F.count(F.lit(1)).alias("n"), F.max("n_atoms").alias("twins"),
         F.greatest(*[F.max(a) - F.min(a) for a in AXES]).alias("extent")))
@@ -279,13 +280,14 @@ def minimum_distance(atoms: DataFrame, structures_with_no_pair: bool = False) ->
         STRUCTURE, F.lit(None).cast("double").alias("min_distance"))
     twins = size.where(F.col("twins") > 1).select(STRUCTURE, F.lit(0.0).alias("min_distance"))
     edge = F.col("extent") / F.greatest(F.floor(F.cbrt(F.col("n") - 1)), F.lit(1))
-    bound = size.where((F.col("twins") == 1) & (F.col("n") > 1)).select(STRUCTURE, edge.alias("edge"))
+    bound = size.where((F.col("twins") == 1) & (F.col("n") > 1)).select(
+        STRUCTURE, edge.alias("edge"), (F.col("extent") * 2.0 ** -52).alias("finest"))
     bounds = [(bound, bound.withColumn("edge", F.col("edge") * F.lit(3.0 ** 0.5)))]
     while True:
-        finer = bounds[-1][0].withColumn("edge", F.col("edge") / SHRINK)
+        finer = bounds[-1][0].withColumn("edge", F.col("edge") / SHRINK).where("edge > finest")
         shared = (with_cell(lookup_join(places, finer, STRUCTURE), F.col("edge"))
-                  .groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("k"), F.first("edge").alias("edge"))
-                  .where(F.col("k") > 1).groupBy(STRUCTURE).agg(F.first("edge").alias("edge")))
+                  .groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("k"), F.first("edge").alias("edge"), F.first("finest").alias("finest"))
+                  .where(F.col("k") > 1).groupBy(STRUCTURE).agg(F.first("edge").alias("edge"), F.first("finest").alias("finest")))
         shared = cut_lineage(shared)
         if shared.limit(1).count() == 0:
             break
@@ -298,7 +300,7 @@ def minimum_distance(atoms: DataFrame, structures_with_no_pair: bool = False) ->
     rows = lookup_join(places, best, STRUCTURE)
     pairs = (with_cells_around(rows, F.col("edge"), half=True).alias("c")
              .join(with_cell(rows, F.col("edge")).alias("t"), _KEYS)
-             .where(F.col("c.atom_id") != F.col("t.atom_id"))
+             .where(F.struct(*[F.col(f"c.{a}") for a in AXES]) != F.struct(*[F.col(f"t.{a}") for a in AXES]))
              .groupBy(STRUCTURE).agg(F.min(_distance("c", "t")).alias("min_distance")))
     out = pairs.unionByName(twins)
     return out.unionByName(single) if structures_with_no_pair else out

@@ -21,10 +21,12 @@ from latticeloom.operators.linear import gram_matrix
 class Moments:
     """Centred second moments of features ``x`` and target ``y`` (divided by n)."""
 
-    def __init__(self, n: int, gram: np.ndarray):
+    def __init__(self, n: int, gram: np.ndarray, pivot: np.ndarray | None = None):
+        """``pivot`` was subtracted from the columns before their products were summed."""
         self.n = n
         mean = gram[-1, :-1] / n                         # the last column is the constant 1
         cov = gram[:-1, :-1] / n - np.outer(mean, mean)
+        mean = mean if pivot is None else mean + pivot
         self.x_mean, self.y_mean = mean[:-1], mean[-1]
         self.xx, self.xy, self.yy = cov[:-1, :-1], cov[:-1, -1], cov[-1, -1]
         self.x_std = np.sqrt(np.maximum(np.diag(self.xx), 0.0))
@@ -48,8 +50,12 @@ def check_inputs(df: DataFrame, features: Sequence[str], target: str,
 
 
 def moments(df: DataFrame, features: Sequence[str], target: str) -> Moments:
-    row = F.array(*[F.col(f"`{c}`").cast("double") for c in [*features, target]], F.lit(1.0))
-    return Moments(*gram_matrix(df.select(row.alias("vec")), dim=len(features) + 2))
+    """The products are summed of columns less their means, so that a large offset costs no digits."""
+    columns = [F.col(f"`{c}`").cast("double") for c in [*features, target]]
+    means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    pivot = np.array([m if m is not None and math.isfinite(m) else 0.0 for m in means])
+    row = F.array(*[c - F.lit(float(m)) for c, m in zip(columns, pivot)], F.lit(1.0))
+    return Moments(*gram_matrix(df.select(row.alias("vec")), dim=len(features) + 2), pivot)
 
 
 def lasso_screen(m: Moments, keep: int = 25, grid_points: int = 100, max_factor: float = 1.0,
@@ -76,6 +82,8 @@ def lasso_screen(m: Moments, keep: int = 25, grid_points: int = 100, max_factor:
                 biggest, w[j] = max(biggest, abs(new - w[j])), new
             if biggest < tol * max(1.0, math.sqrt(max(m.yy, 0.0))):
                 break
+        else:
+            raise RuntimeError(f"the lasso weights at penalty {lam:g} have not settled after {max_iter} sweeps")
         found += [j for j in np.flatnonzero(w) if j not in found]
         if len(found) >= keep:
             break

@@ -84,24 +84,15 @@ def read_small_xyz(spark: SparkSession, path: str | Sequence[str], extra: Sequen
     return _atom_rows(lines.where((F.col("line_no") >= 2) & F.col("value").rlike(ATOM_LINE)), extra)
 
 
-def read_geometry(spark: SparkSession, folder: str, suffix: str = ".in", max_files: int | None = None,
-                  max_folders: int | None = None) -> tuple[DataFrame, DataFrame]:
+def read_geometry(spark: SparkSession, folder: str, suffix: str = ".in") -> tuple[DataFrame, DataFrame]:
     """Geometry files below ``folder``: (atoms, structures).
 
     Lines are ``lattice_vector``, ``atom`` and ``atom_frac``; fractional positions are
-    multiplied with the file's cell. The caps count files and folders in path order.
+    multiplied with the file's cell.
     """
     files = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
              .text(folder, wholetext=True)
              .select(F.col("_metadata.file_path").alias("source"), "value"))
-    if max_files is not None or max_folders is not None:
-        listed = list_files(spark, folder, f"*{suffix}").withColumn(
-            "_folder", F.regexp_extract("path", r"^(.*)/[^/]+$", 1))
-        if max_folders is not None:
-            listed = listed.join(F.broadcast(listed.select("_folder").distinct().orderBy("_folder").limit(max_folders)), "_folder", "left_semi")
-        if max_files is not None:
-            listed = listed.orderBy("path").limit(max_files)
-        files = lookup_join(files, listed.select(F.col("path").alias("source")), "source", "left_semi")
     lines = files.select("source", F.posexplode(F.split("value", "\n")).alias("line_no", "value")).select(
         "source", "line_no", _tokens(F.col("value")).alias("t"))
     lines = lines.where(F.col("t")[0].isin("lattice_vector", "atom", "atom_frac")).select(
