@@ -152,6 +152,28 @@ def test_near_texts_against_brute_force(spark, odd):
     assert neartexts.one_of_each_group(docs.limit(0)).count() == 0
 
 
+def test_boilerplate_family_against_brute_force(spark):
+    """2,400 texts with similarity 0.75 through shared boilerplate; every third has one near copy, which is not its centre."""
+    shared, rows = prose(70, 154), []
+    for i in range(1800):
+        tail = prose(1000 + i, 25).split()
+        rows.append((2 * i, f"{shared} {' '.join(tail)}"))
+        if i % 3 == 0:
+            rows.append((2 * i + 1, f"{shared} {' '.join(tail[:12])} {prose(9000 + i, 13)}"))
+    sets = [set(simhash.shingles(t.encode(), 5)) for _, t in rows]
+    number = {s: i for i, s in enumerate(s for s, n in collections.Counter(s for x in sets for s in x).items() if n > 1)}
+    has = np.zeros((len(sets), len(number)), np.float32)
+    for i, x in enumerate(sets):
+        has[i, [number[s] for s in x if s in number]] = 1
+    common, size = has @ has.T, np.array([len(x) for x in sets])
+    linked = common >= 0.8 * (size[:, None] + size[None, :] - common)
+    root = components(len(rows), lambda i, j: linked[i, j])
+    want = {min(rows[i][0] for i in range(len(rows)) if root[i] == k) for k in set(root)}
+    assert len(rows) == 2400 and len(want) < 1900
+    got = {r.doc_id for r in neartexts.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_many_texts_of_a_key_meet_their_centre():
     r = np.random.default_rng(3)
     centre = r.integers(0, 1 << 62)
