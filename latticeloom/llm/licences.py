@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a window of ``BLOCK_WORDS`` words of one line, or the whole line if it is shorter; windows overlap by half, so a
-template of up to half a window lies in one of them. A block matches a template if it holds at least ``threshold`` of the
+A block is a window of ``BLOCK_WORDS`` words of one line or of the whole document across its line ends, or the whole line or
+document if it is shorter; windows overlap by half, so a template of up to half a window lies in one of them, wrapped or not.
+A block matches a template if it holds at least ``threshold`` of the
 template's distinct words. All matching blocks are found:
 
 * the words of the templates are ordered by their document frequency over the whole corpus, rarest first;
@@ -131,6 +132,16 @@ def find_blocks(lines: list[list[bytes]], index: Index, block_words: int = BLOCK
     return found
 
 
+def document_blocks(lines: list[list[bytes]], index: Index, block_words: int = BLOCK_WORDS) -> list[tuple[str, int, int, float]]:
+    """The matching blocks of each line and of the whole document, in the order of their first words; equal windows once."""
+    found = find_blocks(lines, index, block_words)
+    if sum(map(bool, lines)) < 2:
+        return found
+    seen = {b[1:3] for b in found}
+    across = find_blocks([[w for words in lines for w in words]], index, block_words)
+    return sorted(found + [b for b in across if b[1:3] not in seen], key=lambda b: b[1:3])
+
+
 def template_frequency(docs: DataFrame, templates=TEMPLATES, text: str = "text") -> dict[bytes, int]:
     """Documents that hold each word of the templates, over all rows; as many numbers as the templates have words."""
     vocabulary = frozenset(w for _, t in templates for line in lines_of(t.encode()) for w in line)
@@ -165,7 +176,7 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, base: Mapping[str, str]
             lines = lines_of(t)
             words = [w for line in lines for w in line]
             places, labels = base_places(words, base)
-            blocks = find_blocks(lines, index, block_words)
+            blocks = document_blocks(lines, index, block_words)
             score = 1.0 if places else max((b[3] for b in blocks), default=0.0)
             rows.append((len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)),
                          ",".join(sorted(labels | {b[0] for b in blocks})), score,

@@ -317,6 +317,34 @@ def test_licence_blocks_against_brute_force(spark, odd):
     assert licences.scan_licences(odd.limit(0)).count() == 0
 
 
+def test_wrapped_licences(spark):
+    """Notices wrapped over two lines, alone and inside a longer text, and blocks of lines and documents against brute force."""
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated files"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    around = "\n".join(prose(40 + i, 9) for i in range(30))
+    rows = [(1, mit, "mit"), (2, bsd, "bsd"), (3, f"{around}\n{mit}\n\n{around}", "mit"), (4, f"{around}\r\n# {bsd}", "bsd"),
+            (5, around, ""), (6, mit.replace("\n", " "), "mit")]
+    out = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string, want string")).collect()}
+    assert {i: r.labels for i, r in out.items()} == {i: want for i, _, want in rows}
+    assert all(out[i].score >= 0.9 for i in (1, 2, 3, 4, 6)) and len(out[6].blocks) == 1
+    r = random.Random(9)
+    vocabulary = [w for _, t in licences.TEMPLATES for w in t.split()] + WORDS
+    index = licences.Index.build(licences.TEMPLATES, {}, 0.6)
+    for _ in range(30):
+        lines = [[r.choice(vocabulary).encode() for _ in range(r.choice([0, 5, 40, 100]))] for _ in range(6)]
+        words, spans = [w for x in lines for w in x], set()
+        for at, x in [*((sum(map(len, lines[:i])), x) for i, x in enumerate(lines)), (0, words)]:
+            spans |= {(at + s, min(64, len(x) - s)) for s in range(0, max(-(-max(len(x) - 64, 0) // 32), 0) * 32 + 1, 32)}
+        want = collections.Counter()
+        for first, size in spans:
+            block = set(words[first:first + size])
+            for label, t in licences.TEMPLATES:
+                wanted = {w.encode() for w in t.split()}
+                if len(wanted & block) / len(wanted) >= 0.6:
+                    want[label, first, size, len(wanted & block) / len(wanted)] += 1
+        assert collections.Counter(licences.document_blocks(lines, index)) == want
+
+
 def test_shards(spark, odd):
     records = odd.selectExpr("doc_id", "octet_length(coalesce(text, '')) + 16 AS size", "1L AS text_crc32")
     rows = sharding.shard(records, 5).collect()
