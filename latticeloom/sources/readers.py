@@ -12,7 +12,6 @@ from latticeloom.distributed import lookup_join, row_index
 
 STRUCTURE = "structure_id"
 _NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
-ATOM_LINE = rf"^\s*[A-Z][a-z]?\d*\s+{_NUMBER}\s+{_NUMBER}\s+{_NUMBER}(?:\s|$)"
 
 # Columns of the molecule benchmark, in file order.
 MOLECULE_COLUMNS = [
@@ -57,6 +56,9 @@ def read_xyz(spark: SparkSession, path: str | Sequence[str], extra: Sequence[str
     The files stay splittable, so one huge file is read by many tasks. The two header
     lines are those with the smallest line ids in the block at offset 0 of a file:
     lines of one block are read in order by one task.
+
+    Every line after the headers that is not blank is an atom: its first word is the symbol, whatever it is. A line without
+    three finite numbers raises an error when its numbers are read.
     """
     lines = (spark.read.option("recursiveFileLookup", True).text(path if isinstance(path, str) else list(path))
              .select(F.col("_metadata.file_path").alias("source"),
@@ -65,13 +67,16 @@ def read_xyz(spark: SparkSession, path: str | Sequence[str], extra: Sequence[str
     first = lines.where("_block = 0").groupBy("source").agg(F.min("line_no").alias("_first"))
     body = lookup_join(lines, first, "source", "left").where(
         F.col("_first").isNull() | (F.col("_block") > 0) | ~F.col("line_no").between(F.col("_first"), F.col("_first") + 1))
-    return _atom_rows(body.where(F.col("value").rlike(ATOM_LINE)), extra)
+    return _atom_rows(body, extra)
 
 
 def _atom_rows(body: DataFrame, extra: Sequence[str]) -> DataFrame:
     t = F.col("_t")
-    return body.withColumn("_t", _tokens(F.col("value"))).select(
-        "source", "line_no", t[0].alias("symbol"), *[t[i + 1].cast("double").alias(a) for i, a in enumerate("xyz")],
+    bad = F.raise_error(F.concat(F.lit("not an atom line: "), F.col("value"), F.lit(" in "), F.col("source"))).cast("double")
+    return body.where(F.col("value").rlike(r"\S")).withColumn("_t", _tokens(F.col("value"))).select(
+        "source", "line_no", t[0].alias("symbol"),
+        *[F.when(F.get(t, F.lit(i + 1)).rlike(f"^{_NUMBER}$"), F.get(t, F.lit(i + 1)).try_cast("double")).otherwise(bad).alias(a)
+          for i, a in enumerate("xyz")],
         *[F.get(t, F.lit(4 + i)).alias(name) for i, name in enumerate(extra)])
 
 
@@ -81,7 +86,7 @@ def read_small_xyz(spark: SparkSession, path: str | Sequence[str], extra: Sequen
     files = spark.read.text(path if isinstance(path, str) else list(path), wholetext=True)
     lines = files.select(F.col("_metadata.file_path").alias("source"),
                          F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
-    return _atom_rows(lines.where((F.col("line_no") >= 2) & F.col("value").rlike(ATOM_LINE)), extra)
+    return _atom_rows(lines.where(F.col("line_no") >= 2), extra)
 
 
 def read_geometry(spark: SparkSession, folder: str, suffix: str = ".in") -> tuple[DataFrame, DataFrame]:

@@ -38,6 +38,18 @@ def test_xyz_headers_are_skipped_over_many_splits(spark, tmp_path):
     assert [r["line_no"] for r in small] == [2, 3]
 
 
+def test_xyz_keeps_every_line_and_refuses_bad_numbers(spark, tmp_path):
+    put(f"{tmp_path}/good/a.xyz", "4\nany\n26 0 0 0\nfe 1 2 3\n\nXx1a  4 5 -6e-1\r\nFe 7 8 9\n   \n")
+    put(f"{tmp_path}/bad/a.xyz", "2\n\nFe 1 2 3\nFe 1 two 3\n")
+    put(f"{tmp_path}/short/a.xyz", "2\n\nFe 1 2 3\nFe 1 2\n")
+    for read in (R.read_xyz, R.read_small_xyz):
+        rows = read(spark, f"{tmp_path}/good").orderBy("line_no").collect()
+        assert [(r.symbol, r.x, r.y, r.z) for r in rows] == [("26", 0, 0, 0), ("fe", 1, 2, 3), ("Xx1a", 4, 5, -0.6), ("Fe", 7, 8, 9)]
+        for folder in ("bad", "short"):
+            with pytest.raises(Exception, match="not an atom line: Fe 1 "):
+                read(spark, f"{tmp_path}/{folder}").collect()
+
+
 def test_written_xyz_parts_are_complete_files(spark, tmp_path):
     atoms = spark.range(25).select("id", F.lit("Al").alias("symbol"), *[(F.col("id") * 0.5).alias(a) for a in "xyz"])
     W.write_xyz(atoms, f"{tmp_path}/out", ["id"], rows_per_part=10)
