@@ -207,13 +207,21 @@ def _linked_cells(cores: DataFrame, heads: DataFrame, dims: Sequence[str], cells
     return out.distinct()
 
 
-def spectral_clusters(affinity: DataFrame, k: int = 8, max_iter: int = 20) -> DataFrame:
-    """Clusters of a sparse affinity table ``(src, dst, weight)`` by power iteration."""
+def spectral_clusters(affinity: DataFrame, k: int = 8, max_iter: int = 20, points: DataFrame | None = None) -> DataFrame:
+    """Clusters of a sparse affinity table ``(src, dst, weight)`` by power iteration: ``(id, cluster)``.
+
+    Only ids of the table can be placed. With ``points``, a table with a column ``id``, each of its rows is kept; the
+    cluster of a point without affinity to another is null.
+    """
     from pyspark.ml.clustering import PowerIterationClustering
 
     pic = PowerIterationClustering(k=k, maxIter=max_iter, initMode="degree", srcCol="src", dstCol="dst",
                                    weightCol="weight")
-    return pic.assignClusters(affinity)
+    if points is None:
+        return pic.assignClusters(affinity)
+    if affinity.isEmpty():
+        return points.select("id", F.lit(None).cast("int").alias("cluster"))
+    return points.select("id").join(pic.assignClusters(affinity), "id", "left")
 
 
 # --- classification ----------------------------------------------------------

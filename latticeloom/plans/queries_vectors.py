@@ -380,9 +380,10 @@ def _(spark, d):
 def _(spark, d):
     from latticeloom.operators.neighbors import neighbour_pairs
 
-    near = neighbour_pairs(points(spark, d).withColumn("structure_id", F.lit("all")), 0.12, half=True)
+    rows = points(spark, d)
+    near = neighbour_pairs(rows.withColumn("structure_id", F.lit("all")), 0.12, half=True)
     affinity = near.select(F.col("atom_id").alias("src"), F.col("other_id").alias("dst"), F.exp(-F.col("r") * 20).alias("weight"))
-    return ml.spectral_clusters(affinity, 3, 10)
+    return ml.spectral_clusters(affinity, 3, 10, rows.select(F.col("atom_id").alias("id")))
 
 
 def _labelled(spark, d):

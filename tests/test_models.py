@@ -328,3 +328,18 @@ def test_dense_cells_link_like_points(spark, monkeypatch):
     for eps, n in ((0.35, 2), (0.37, 1)):
         got = ml.dbscan(spark.createDataFrame(pdf), eps, 5).toPandas()
         assert got["cluster"].nunique() == n and (got["cluster"] >= 0).all()
+
+
+def test_spectral_clusters_keep_isolated_points(spark):
+    from latticeloom.plans import load_queries
+
+    points = spark.range(6)
+    affinity = spark.createDataFrame([(0, 1, 1.0), (2, 3, 1.0)], "src long, dst long, weight double")
+    out = {r.id: r.cluster for r in ml.spectral_clusters(affinity, 2, 5, points).collect()}
+    assert sorted(out) == list(range(6)) and all((out[i] is None) == (i > 3) for i in out)
+    none = ml.spectral_clusters(affinity.limit(0), 2, 5, points).collect()
+    assert len(none) == 6 and all(r.cluster is None for r in none)
+    folder = "/root/testdata/sf0.01"
+    rows = load_queries().QUERIES["E11_spectral_clusters"](spark, folder).collect()
+    ids = [r.vec_id for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    assert sorted(r.id for r in rows) == sorted(ids)
