@@ -90,12 +90,15 @@ def spherical_shells(voxels: DataFrame, size: int, key: str = "id", value: str =
 
 def powder_pattern(atoms: DataFrame, structures: DataFrame, wavelength: str | float = "CuKa",
                    max_index: int = 3) -> DataFrame:
-    """Reflections of each structure: ``(structure_id, h, k, l, two_theta, intensity)``.
-
-    Intensity is the squared modulus of the sum of ``Z exp(2 pi i hkl.frac)`` scaled
-    to a maximum of 100. Atoms scatter with their atomic number, not with tabulated
-    form factors. Reflections beyond the wavelength's reach are left out. The sums
-    over atoms are partial sums per task: only one row per reflection is shuffled.
+    """Low-order structure sums: ``(structure_id, h, k, l, two_theta, intensity)``.
+
+    A table over the indices -``max_index`` to ``max_index`` of each structure, without
+    those beyond the wavelength's reach. It is not a complete pattern: the reach of a
+    wavelength can hold higher indices, the more the larger the cell, and they are not
+    computed. Intensity is the squared modulus of the sum of ``Z exp(2 pi i hkl.frac)``,
+    scaled so that the largest in the table is 100. Z is the atomic number, not a
+    tabulated form factor. The sums over atoms are partial sums per task: only one
+    row per index triple is shuffled.
     """
     lam = WAVELENGTHS[wavelength] if isinstance(wavelength, str) else float(wavelength)
     s = with_inverse_cell(structures.select(STRUCTURE, "cell"))
