@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticeloom.llm import chat, crosspolytope, forest, language, licences, mixing, packing, quality, sharding, simhash
+from latticeloom.llm import (chat, crosspolytope, forest, language, licences, mixing, negatives, packing, quality, sharding,
+                             simhash, urls, variants)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +111,28 @@ def op8_nearest(spark: SparkSession, folder: str) -> DataFrame:
 def op10_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate vectors of one label."""
     return crosspolytope.near_duplicate_vectors(table(spark, folder, "embeddings"))
+
+
+@query
+def op11_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, a seventh of the labels moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(negatives.integer_rows(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label=label))
+
+
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@query
+def op12_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule, template and verdict of every url."""
+    return urls.judge_urls(table(spark, folder, "pages"), RULES)
+
+
+ORACLES["op12_urls"] = urls.urls_sql(RULES)
+
+
+@query
+def op13_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents, their near words and the forms they lead to."""
+    return variants.variants(variants.vocabulary(table(spark, folder, "documents")))
