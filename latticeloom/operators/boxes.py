@@ -29,6 +29,18 @@ def axis_padding(atoms: DataFrame, box: Sequence[float], padding_ratio: Sequence
         for a, w, r in zip(AXES, box, padding_ratio)])
 
 
+def axis_grid(lo: Column, hi: Column, width: Column, stride: float, pad: Column, adapt: bool = True) -> tuple[Column, Column]:
+    """Start and number of the boxes along one axis from ``lo`` - ``pad`` to ``hi`` + ``pad``."""
+    lo, hi = lo - pad, hi + pad
+    n = F.floor((hi - lo) / stride) + 1
+    if adapt:
+        short = hi - (lo + (n - 1) * stride + width)
+        n = n + F.when(short > 0, F.ceil(short / stride)).otherwise(0)
+        over = lo + (n - 1) * stride + width - hi
+        lo = lo - F.when(over > 0, over / 2).otherwise(0.0)
+    return lo, n
+
+
 def box_grid(atoms: DataFrame, box: Sequence[float], stride: Sequence[float],
              padding_ratio: Sequence[float] | DataFrame | None = None, adapt: bool = True,
              source: str = "source", ends: DataFrame | None = None) -> DataFrame:
@@ -46,14 +58,8 @@ def box_grid(atoms: DataFrame, box: Sequence[float], stride: Sequence[float],
                 for a, r, w in zip(AXES, padding_ratio or (0.0, 0.0, 0.0), box)}
     out: list[Column] = [F.col(source)]
     for a, w, s in zip(AXES, map(float, box), map(float, stride)):
-        lo, hi = F.col(f"lo_{a}") - pads[a], F.col(f"hi_{a}") + pads[a]
-        n = F.floor((hi - lo) / s) + 1
-        if adapt:
-            short = hi - (lo + (n - 1) * s + w)
-            n = n + F.when(short > 0, F.ceil(short / s)).otherwise(0)
-            over = lo + (n - 1) * s + w - hi
-            lo = lo - F.when(over > 0, over / 2).otherwise(0.0)
-        out += [lo.alias(f"start_{a}"), n.cast("int").alias(f"n_{a}")]
+        start, n = axis_grid(F.col(f"lo_{a}"), F.col(f"hi_{a}"), F.lit(w), s, pads[a], adapt)
+        out += [start.alias(f"start_{a}"), n.cast("int").alias(f"n_{a}")]
     return grid.select(*out)
 
 
@@ -122,55 +128,6 @@ def typical_population(pops: DataFrame, cutoff_percentile: float = 20.0,
     return quantiles(kept, "n_atoms", [0.5], [source], "n").select(source, F.col("quantile").alias("n_typical"))
 
 
-def optimal_box_size(atoms: DataFrame, start: Sequence[float], target_atoms: int = 128,
-                     up_tolerance: int = 80, down_tolerance: int = 30, max_iter: int = 100,
-                     step: float = 0.1, stride: Sequence[float] = (6.0, 6.0, 20.0),
-                     cutoff_percentile: float = 20.0, padding_ratio: Sequence[float] | None = None,
-                     source: str = "source") -> list[float]:
-    """Grow or shrink the box of one source until its typical population fits.
-
-    Each round is one distributed job; only one number reaches the driver. An error tells that no size fits: a step
-    that leads back to the size before would swing for ever, and ``max_iter`` steps were not enough otherwise.
-    """
-    last, size, ends = 0.0, [float(v) for v in start], cut_lineage(extents(atoms, source))
-    for _ in range(max_iter):
-        found = typical_population(populations(atoms, size, stride, padding_ratio, source, ends),
-                                   cutoff_percentile, source).agg(F.max("n_typical")).first()[0]
-        n = 0.0 if found is None else found
-        if n - up_tolerance <= target_atoms <= n + down_tolerance:
-            return size
-        change = step if n <= target_atoms else -step
-        if change == -last:
-            raise ValueError(f"no box size fits: a step of {step} leads past the window around {target_atoms} atoms")
-        last, size = change, [v + change for v in size]
-    raise ValueError(f"no box size fits within {max_iter} steps of {step}; the last one was {size}")
-
-
-def _deviation(hist: DataFrame) -> float:
-    n, s, q = hist.agg(F.sum("n"), F.sum(F.col("n") * F.col("n_atoms")),
-                       F.sum(F.col("n") * F.col("n_atoms") * F.col("n_atoms"))).first()
-    return (q / n - (s / n) ** 2) ** 0.5
-
-
-def grown_box_size(atoms: DataFrame, min_atoms: int = 100, step: float = 1.0,
-                   stride: Sequence[float] = (4.0, 4.0, 4.0), max_iter: int = 1000,
-                   source: str = "source") -> tuple[float, float, float]:
-    """Grow a cubic box of one source until the median of its non-empty boxes
-    reaches ``min_atoms``; returns size, median and deviation of all counts."""
-    if atoms.count() < min_atoms:
-        raise ValueError("the structure has fewer atoms than a box needs")
-    size, ends = 0.0, cut_lineage(extents(atoms, source))
-    for _ in range(max_iter):
-        size += step
-        pops = populations(atoms, [size] * 3, stride, source=source, ends=ends)
-        hist = cut_lineage(pops.groupBy(source, "n_atoms").agg(F.count(F.lit(1)).alias("n")))
-        median = quantiles(hist.where(F.col("n_atoms") > 0), "n_atoms", [0.5], [source], "n").agg(
-            F.max("quantile")).first()[0]
-        if median is not None and median >= min_atoms:
-            return size, median, _deviation(hist)
-    raise ValueError(f"no box up to {size} holds {min_atoms} atoms")
-
-
 def classification_map(scored: DataFrame, probs: str, n_classes: int, source: str = "source") -> DataFrame:
     """Long map: one row per box and class, with the box position."""
     return scored.select(source, *BOX, F.posexplode(F.slice(F.col(probs), 1, n_classes))
