@@ -87,6 +87,55 @@ def row_index(df: DataFrame, order: Sequence, group: Sequence[str] = (),
             .drop("_task", "_seq", "_first", "_offset"))
 
 
+def _digested(rows: DataFrame, digest: Column, group: Sequence[str], digits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_digest``, ``_bucket`` (its first hex digits) and ``_group`` (never null), and ``(_group, _bucket, _c, _n, _upto)``."""
+    head = F.conv(F.substring("_digest", 1, digits), 16, 10).cast("int")
+    marked = rows.select("*", digest.alias("_digest")).select(
+        "*", head.alias("_bucket"), (F.struct(*group) if group else F.struct(F.lit(0))).alias("_group"))
+    per = Window.partitionBy("_group")
+    counts = marked.groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.select("*", F.sum("_c").over(per).alias("_n"), F.sum("_c").over(per.orderBy("_bucket")).alias("_upto"))
+    return marked, cut_lineage(counts)
+
+
+def hash_chosen(rows: DataFrame, digest: Column, order: Sequence, take: Column | DataFrame, group: Sequence[str] = (),
+                name: str = "_chosen", digits: int = 3) -> DataFrame:
+    """Add ``name``: whether a row is among the first ``take`` of its group by (``digest``, ``order``), a selection without a sort.
+
+    ``digest`` is a string of hex digits, evenly spread over the rows; ``take`` an expression over ``_n``, the rows of the
+    group, or a table ``(_group struct of the group columns, _take)``. Rows are counted by the first ``digits`` of their digest,
+    at most 16^digits counts a group. Where the running count passes ``take`` lies one bucket per group: rows of
+    smaller buckets are chosen, of larger ones not, and only the rows of that bucket are ranked. No other row is moved. Null is a
+    group of its own. ``rows`` is read three times, so it should be cheap to read and must not change between.
+    """
+    marked, counts = _digested(rows, digest, group, digits)
+    counts = lookup_join(counts, take, "_group") if isinstance(take, DataFrame) else counts.withColumn("_take", take)
+    wanted = F.least(F.col("_take"), F.col("_n")).cast("long")
+    before = F.col("_upto") - F.col("_c")
+    cuts = (counts.where((before < wanted) & (F.col("_upto") >= wanted))
+            .select("_group", F.col("_bucket").alias("_cut"), (wanted - before).alias("_need")))
+    marked = lookup_join(marked, cuts, "_group", "left", once=True)
+    at_cut = F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False))
+    plain = marked.where(~at_cut).withColumn(name, F.coalesce(F.col("_bucket") < F.col("_cut"), F.lit(False)))
+    ranked = row_index(marked.where(at_cut), ["_digest", *order], ["_group"], "_r").withColumn(name, F.col("_r") < F.col("_need"))
+    return plain.select(*rows.columns, name).unionByName(ranked.select(*rows.columns, name))
+
+
+def hash_rank(rows: DataFrame, digest: Column, order: Sequence, group: Sequence[str] = (), name: str = "row_index",
+              digits: int = 4) -> DataFrame:
+    """Add the 0-based position of each row in its group under (``digest``, ``order``).
+
+    ``digest`` is a string of hex digits. Each of its first ``digits`` is a bucket, whose first position follows from the counts of
+    the buckets before it; rows are ranked within their bucket, 1 of 16^digits of a group, so even one group spreads over all
+    tasks in a single shuffle.
+    """
+    marked, counts = _digested(rows, digest, group, digits)
+    first = counts.select("_group", "_bucket", (F.col("_upto") - F.col("_c")).alias("_first"))
+    within = Window.partitionBy("_group", "_bucket").orderBy("_digest", *order)
+    return (lookup_join(marked, first, ["_group", "_bucket"])
+            .select(*rows.columns, (F.col("_first") + F.row_number().over(within) - 1).cast("long").alias(name)))
+
+
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], group: Sequence[str] = (),
               weight: str | None = None, local_counts: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation: ``(*group, prob, quantile)``.

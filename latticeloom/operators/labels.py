@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticeloom.distributed import (
-    bounded_rows, lookup_join, pseudo_random_order, quantile_list, row_index)
+    bounded_rows, hash_chosen, hash_rank, lookup_join, pseudo_random_order, quantile_list, row_index)
 from latticeloom.functions.vectors import one_hot
 
 MAX_COLUMNS = 5_000
@@ -177,28 +177,24 @@ def split_rows(df: DataFrame, key: str, test_size: float | int, label: str | Non
     held = _holdout_size(total, test_size)
     shuffled = pseudo_random_order(F.col(key), seed)
     if label is None:
-        ranked = row_index(df.withColumn("_shuffle", shuffled), ["_shuffle", key], name="_r")
-        return (ranked.withColumn("split", F.when(F.col("_r") < held, "validation").otherwise("train"))
-                .drop("_shuffle", "_r"))
-    exact = F.col("n") * F.lit(held) / F.lit(float(total))
-    # a struct is never null, so rows without a class find their quota too
-    quota = (class_populations(df.withColumn("_class", F.struct(label)), "_class").withColumn("_floor", F.floor(exact))
-             .withColumn("_rest", -(exact - F.floor(exact))))
-    short = held - (quota.agg(F.sum("_floor")).first()[0] or 0)
-    quota = (row_index(quota, ["_rest", "_class"], name="_q")
-             .select("_class", (F.col("_floor") + F.when(F.col("_q") < short, 1).otherwise(0)).alias("_quota")))
-    ranked = row_index(df.withColumn("_shuffle", shuffled), ["_shuffle", key], [label], name="_r")
-    return (lookup_join(ranked.withColumn("_class", F.struct(label)), quota, "_class", once=True)
-            .withColumn("split", F.when(F.col("_r") < F.col("_quota"), "validation").otherwise("train"))
-            .drop("_shuffle", "_r", "_quota", "_class"))
+        chosen = hash_chosen(df, shuffled, [key], F.lit(held), name="_held")
+    else:
+        exact = F.col("n") * F.lit(held) / F.lit(float(total))
+        # a struct is never null, so rows without a class find their quota too
+        quota = (class_populations(df.withColumn("_group", F.struct(label)), "_group").withColumn("_floor", F.floor(exact))
+                 .withColumn("_rest", -(exact - F.floor(exact))))
+        short = held - (quota.agg(F.sum("_floor")).first()[0] or 0)
+        quota = (row_index(quota, ["_rest", "_group"], name="_q")
+                 .select("_group", (F.col("_floor") + F.when(F.col("_q") < short, 1).otherwise(0)).alias("_take")))
+        chosen = hash_chosen(df, shuffled, [key], quota, [label], "_held")
+    return chosen.withColumn("split", F.when(F.col("_held"), "validation").otherwise("train")).drop("_held")
 
 
 def batch_ids(df: DataFrame, key: str, batch_size: int, shuffle: bool = False,
               seed: int = 42) -> DataFrame:
     """Fixed-size batches in key order or shuffled; the last one may be shorter."""
     if shuffle:
-        ranked = row_index(df.withColumn("_shuffle", pseudo_random_order(F.col(key), seed)),
-                           ["_shuffle", key], name="_r").drop("_shuffle")
+        ranked = hash_rank(df, pseudo_random_order(F.col(key), seed), [key], name="_r")
     else:
         ranked = row_index(df, [key], name="_r")
     return ranked.withColumn("batch", F.floor(F.col("_r") / batch_size)).drop("_r")

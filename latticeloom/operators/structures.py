@@ -7,10 +7,12 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from latticeloom.distributed import lookup_join, pseudo_random_order, row_index
+from latticeloom.distributed import hash_chosen, lookup_join, pseudo_random_order
 from latticeloom.functions.algebra import linspace_value, rotate_x, rotate_y, rotate_z
 from latticeloom.operators.neighbors import AXES, STRUCTURE, fractional, shifted, with_inverse_cell
+from latticeloom.session import cut_lineage
 
 HIGHEST_NUMBER = 94          # random substitutes are drawn from 1..94
 
@@ -83,8 +85,9 @@ def supercell(atoms: DataFrame, structures: DataFrame, replicas: DataFrame | Seq
               wrap: bool = True) -> tuple[DataFrame, DataFrame]:
     """Repeat each cell; returns the new atoms and structures.
 
-    New atoms get ``replica`` (their cell index) besides ``atom_id``; coordinates
-    are wrapped into the new cell along periodic axes.
+    New atoms get ``replica`` (their cell index) and ``site_id`` (the atom's id in its cell); ``atom_id`` becomes unique
+    within the structure again: site_id * cells + replica, or "site_id/replica" where it is no number. Coordinates are
+    wrapped into the new cell along periodic axes.
     """
     if isinstance(replicas, DataFrame):
         s = structures.join(replicas.select(STRUCTURE, "replicas"), STRUCTURE)
@@ -97,7 +100,13 @@ def supercell(atoms: DataFrame, structures: DataFrame, replicas: DataFrame | Seq
     moved = [(F.col(a) + sum((F.col(f"_i{i}") * F.col("cell")[i][k] for i in (1, 2)),
                              F.col("_i0") * F.col("cell")[0][k])).alias(a) for k, a in enumerate(AXES)]
     index = ((F.col("_i0") * F.col("replicas")[1] + F.col("_i1")) * F.col("replicas")[2] + F.col("_i2"))
-    new_atoms = rows.select(*[c for c in atoms.columns if c not in AXES], *moved, index.cast("long").alias("replica"))
+    keep = [F.col(c) for c in atoms.columns if c not in (*AXES, "atom_id", "site_id", "replica")]
+    if "atom_id" in atoms.columns:
+        cells = F.col("replicas")[0].cast("long") * F.col("replicas")[1] * F.col("replicas")[2]
+        numbered = isinstance(atoms.schema["atom_id"].dataType, T.IntegralType)
+        unique = F.col("atom_id").cast("long") * cells + index if numbered else F.concat_ws("/", "atom_id", index)
+        keep += [unique.alias("atom_id"), F.col("atom_id").alias("site_id")]
+    new_atoms = rows.select(*keep, *moved, index.cast("long").alias("replica"))
     grown = F.transform(F.col("cell"), lambda v, i: F.transform(v, lambda c: c * F.get(F.col("replicas"), i)))
     new_structures = s.withColumn("cell", grown).drop("replicas")
     return (wrap_atoms(new_atoms, new_structures) if wrap else new_atoms), new_structures
@@ -138,6 +147,54 @@ def euler_rotate(atoms: DataFrame, phi: float | Column, theta: float | Column, p
     return rows.select(*keep, *[(u + m).alias(a) for u, m, a in zip(v, mid, AXES)])
 
 
+def random_rotation(atoms: DataFrame, structures: DataFrame, seed: int = 42, salt: str = "") -> tuple[DataFrame, DataFrame]:
+    """Rotate every structure, atoms and cell, about the origin by a rotation of its own, uniform over all rotations.
+
+    The unit quaternion comes from three hash values of structure id and seed, so a recomputed task turns alike.
+    """
+    u = [(_hash_int(F.col(STRUCTURE), f"#turn{salt}{part}{seed}", 2 ** 32) + 0.5) / F.lit(float(2 ** 32)) for part in "abc"]
+    long_way, short_way = F.sqrt(1 - u[0]), F.sqrt(u[0])
+    quaternion = {"x": long_way * F.sin(2 * math.pi * u[1]), "y": long_way * F.cos(2 * math.pi * u[1]),
+                  "z": short_way * F.sin(2 * math.pi * u[2]), "w": short_way * F.cos(2 * math.pi * u[2])}
+    x, y, z, w = (F.col(f"_q{n}") for n in "xyzw")
+    turn = [[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)],
+            [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)],
+            [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]]
+
+    def turned(v) -> list[Column]:
+        return [row[0] * v[0] + row[1] * v[1] + row[2] * v[2] for row in turn]
+
+    parts = [value.alias(f"_q{n}") for n, value in quaternion.items()]
+    moved = atoms.select("*", *parts).select(*[c for c in atoms.columns if c not in AXES],
+                                             *[v.alias(a) for v, a in zip(turned([F.col(a) for a in AXES]), AXES)])
+    cell = F.transform("cell", lambda v: F.array(*turned([v[k] for k in range(3)])))
+    return moved, structures.select("*", *parts).withColumn("cell", cell).select(*structures.columns)
+
+
+def create_supercell(atoms: DataFrame, structures: DataFrame, replicas_by: str = "nb_atoms", target_atoms: int | None = None,
+                     min_atoms: int = 0, radius: float | Sequence[float] | None = None, replicas: Sequence[int] | None = None,
+                     rotate_before: bool = False, rotate_after: bool = False, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Supercells in one call: choose the replicas (``nb_atoms``, ``radius`` or ``user-defined``), rotate before or after.
+
+    A rotation before changes which replicas reach a number of atoms or a radius along the axes; one after keeps them.
+    """
+    if rotate_before:
+        atoms, structures = random_rotation(atoms, structures, seed, "before")
+    if replicas_by == "nb_atoms":
+        chosen = replicas_by_atoms(atoms, structures, target_atoms, min_atoms)
+    elif replicas_by == "radius":
+        chosen = replicas_by_radius(atoms, structures, [float(radius)] * 3 if isinstance(radius, (int, float)) else radius, min_atoms)
+    elif replicas_by == "user-defined":
+        chosen = list(replicas)
+    else:
+        raise NotImplementedError(f"replicas by {replicas_by!r}: nb_atoms, radius and user-defined are known")
+    big, grown = supercell(atoms, structures, chosen, wrap=not rotate_after)
+    if rotate_after:
+        big, grown = random_rotation(big, grown, seed, "after")
+        big = wrap_atoms(big, grown)
+    return big, grown
+
+
 # --- random defects ----------------------------------------------------------
 
 def _check_ratio(ratio: float) -> None:
@@ -145,38 +202,26 @@ def _check_ratio(ratio: float) -> None:
         raise ValueError("the ratio must lie between 0 and 1")
 
 
-def draw_key(atoms: DataFrame, key: str) -> Column:
-    """What a random draw hashes: the atom id, in a supercell with the replica, as atoms of many cells share an id.
+def draw_key(key: str) -> Column:
+    """What a random draw hashes: the structure and the atom, whose id tells the copies in a supercell apart."""
+    return F.concat_ws("/", F.col(STRUCTURE), F.col(key))
 
-    A key of the caller's own is taken to tell atoms apart.
-    """
-    return F.concat_ws("/", F.col(key), F.col("replica")) if _copied(atoms, key) else F.col(key)
-
-
-def _copied(atoms: DataFrame, key: str) -> bool:
-    return key == "atom_id" and "replica" in atoms.columns
 
-
-def random_rank(atoms: DataFrame, key: str, seed: int, group: Sequence[str] = (STRUCTURE,)) -> DataFrame:
-    """Seeded random rank ``_rank`` and size ``_n`` per structure."""
-    order = ["_shuffle", key, *(["replica"] if _copied(atoms, key) else [])]
-    shuffled = row_index(atoms.withColumn("_shuffle", pseudo_random_order(draw_key(atoms, key), seed)),
-                         order, list(group), name="_rank").drop("_shuffle")
-    sizes = atoms.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    return lookup_join(shuffled, sizes, list(group), once=True)
+def draw_atoms(atoms: DataFrame, ratio: float, key: str = "atom_id", seed: int = 42, name: str = "_chosen") -> DataFrame:
+    """Add ``name``: true for ``floor(n * ratio)`` random atoms of every structure."""
+    take = F.floor(F.col("_n") * F.lit(float(ratio)))
+    return hash_chosen(atoms, pseudo_random_order(draw_key(key), seed), [key], take, [STRUCTURE], name)
 
 
 def random_subset(atoms: DataFrame, ratio: float, key: str, seed: int = 42) -> DataFrame:
     """``floor(n * ratio)`` rows per structure, without replacement."""
-    return random_rank(atoms, key, seed).where(
-        F.col("_rank") < F.floor(F.col("_n") * F.lit(ratio))).drop("_rank", "_n")
+    return draw_atoms(atoms, ratio, key, seed).where("_chosen").drop("_chosen")
 
 
 def create_vacancies(atoms: DataFrame, ratio: float, key: str = "atom_id", seed: int = 42) -> DataFrame:
     """Delete ``floor(n * ratio)`` random atoms of every structure."""
     _check_ratio(ratio)
-    return random_rank(atoms, key, seed).where(
-        F.col("_rank") >= F.floor(F.col("_n") * F.lit(ratio))).drop("_rank", "_n")
+    return draw_atoms(atoms, ratio, key, seed).where("NOT _chosen").drop("_chosen")
 
 
 def defect_error(atoms: DataFrame, ratio: float, max_rel_error: float = 0.25) -> DataFrame:
@@ -199,12 +244,10 @@ def substitute_atoms(atoms: DataFrame, ratio: float, pool_size: int = HIGHEST_NU
     """Give ``floor(n * ratio)`` random atoms of every structure a species drawn from a
     pool of ``pool_size`` draws of the numbers 1..94 per structure."""
     _check_ratio(ratio)
-    ranked = random_rank(atoms, key, seed)
-    slot = _hash_int(draw_key(atoms, key), f"#slot{seed}", pool_size)
+    slot = _hash_int(draw_key(key), f"#slot{seed}", pool_size)
     drawn = 1 + _hash_int(F.concat_ws("/", F.col(STRUCTURE), slot), f"#pool{seed}", HIGHEST_NUMBER)
-    return ranked.withColumn(species, F.when(
-        F.col("_rank") < F.floor(F.col("_n") * F.lit(ratio)), drawn.cast("int"))
-        .otherwise(F.col(species))).drop("_rank", "_n")
+    return draw_atoms(atoms, ratio, key, seed).withColumn(
+        species, F.when(F.col("_chosen"), drawn.cast("int")).otherwise(F.col(species))).drop("_chosen")
 
 
 def displace_atoms(atoms: DataFrame, distribution: str, displacement: float,
@@ -213,7 +256,7 @@ def displace_atoms(atoms: DataFrame, distribution: str, displacement: float,
 
     ``gaussian`` has deviation ``displacement``, ``uniform`` lies within it; the
     ``_scaled`` forms multiply it by the structure's ``length_scale``. The noise is
-    a function of key, axis and seed, so a recomputed task gives the same rows.
+    a function of structure, key, axis and seed, so a recomputed task gives the same rows.
     """
     kinds = {"gaussian", "uniform", "gaussian_scaled", "uniform_scaled"}
     if distribution not in kinds:
@@ -224,7 +267,7 @@ def displace_atoms(atoms: DataFrame, distribution: str, displacement: float,
         size = size * F.col("length_scale")
 
     def unit(axis: str, part: str) -> Column:
-        return (_hash_int(draw_key(atoms, key), f"#{axis}{part}{seed}", 2 ** 32) + 0.5) / F.lit(float(2 ** 32))
+        return (_hash_int(draw_key(key), f"#{axis}{part}{seed}", 2 ** 32) + 0.5) / F.lit(float(2 ** 32))
 
     def noise(axis: str) -> Column:
         if distribution.startswith("uniform"):
@@ -273,15 +316,51 @@ def removable_sites(atoms: DataFrame, structures: DataFrame, phase_a: str, phase
     return rows.where(keep).drop("_h")
 
 
-def partial_transition(atoms: DataFrame, structures: DataFrame, phase_a: str, phase_b: str,
-                       contribution: float, replicas: Sequence[int], seed: int = 42) -> DataFrame:
-    """Supercell of phase a in which a fraction of the atoms absent from phase b is gone."""
+def _transition_atoms(atoms: DataFrame, structures: DataFrame, phase_a: str, phase_b: str,
+                      replicas: DataFrame | Sequence[int]) -> DataFrame:
+    """Supercell of phase a with ``_only_a``: whether phase b has no atom there."""
     all_a, _ = supercell(atoms, structures, replicas)
-    all_a = all_a.withColumn("_site", F.concat_ws("-", "atom_id", "replica"))
     kept_b, _ = supercell(removable_sites(atoms, structures, phase_a, phase_b), structures, replicas)
-    only_a = positions_only_in(all_a, kept_b)
-    gone = random_subset(only_a, contribution, "_site", seed).select(STRUCTURE, "_site")
-    return all_a.join(gone, [STRUCTURE, "_site"], "left_anti").drop("_site")
+    keys = [STRUCTURE, *[f"_k{x}" for x in AXES]]
+    held = kept_b.select(STRUCTURE, *_position_keys(1e-3)).distinct().withColumn("_kept", F.lit(True))
+    return (all_a.select("*", *_position_keys(1e-3)).join(held, keys, "left")
+            .select(*all_a.columns, F.col("_kept").isNull().alias("_only_a")))
+
+
+def partial_transition(atoms: DataFrame, structures: DataFrame, phase_a: str, phase_b: str,
+                       contribution: float, replicas: DataFrame | Sequence[int], seed: int = 42,
+                       max_rel_error: float | None = None) -> DataFrame:
+    """Supercell of phase a in which a fraction of the atoms absent from phase b is gone.
+
+    With ``max_rel_error``, structures whose possible fraction differs from the wanted one by more than that share of it are
+    left out; ``transition_error`` names them.
+    """
+    rows = cut_lineage(_transition_atoms(atoms, structures, phase_a, phase_b, replicas))
+    if max_rel_error is not None:
+        fits = _transition_error(rows, contribution, max_rel_error).where("NOT exceeds").select(STRUCTURE)
+        rows = lookup_join(rows, fits, STRUCTURE, once=True)
+    drawn = draw_atoms(rows.where("_only_a"), contribution, "atom_id", seed).where("NOT _chosen").drop("_chosen")
+    return rows.where("NOT _only_a").unionByName(drawn).drop("_only_a")
+
+
+def _transition_error(rows: DataFrame, contribution: float, max_rel_error: float) -> DataFrame:
+    n = rows.groupBy(STRUCTURE).agg(F.count_if("_only_a").alias("n_removable"))
+    gone = F.floor(F.col("n_removable") * F.lit(float(contribution)))
+    actual = F.try_divide(gone, F.col("n_removable"))
+    error = F.abs(F.lit(float(contribution)) - actual) / F.lit(float(contribution))
+    return n.select(STRUCTURE, "n_removable", gone.alias("n_removed"), actual.alias("actual_contribution"), error.alias("rel_error"),
+                    F.coalesce(error > max_rel_error, F.lit(True)).alias("exceeds"))
+
+
+def transition_error(atoms: DataFrame, structures: DataFrame, phase_a: str, phase_b: str, contribution: float,
+                     replicas: DataFrame | Sequence[int], max_rel_error: float = 0.01) -> DataFrame:
+    """Per structure the atoms that can go, those that go, the reached fraction and its relative error.
+
+    A structure without atoms that can go has a null error and exceeds every limit. ``contribution`` is above zero.
+    """
+    if contribution <= 0:
+        raise ValueError("the contribution must be above 0")
+    return _transition_error(_transition_atoms(atoms, structures, phase_a, phase_b, replicas), contribution, max_rel_error)
 
 
 # --- fan-out and parameter tables -------------------------------------------

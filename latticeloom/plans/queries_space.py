@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from latticeloom.functions import algebra
 from latticeloom.operators import boxes as B
+from latticeloom.operators import boxgrid as G
 from latticeloom.operators import features, fields
 from latticeloom.operators import neighbors as N
 from latticeloom.operators import structures as S
@@ -296,33 +297,43 @@ def _(spark, d):
     return B.typical_population(B.populations(_sources(spark, d), BOX, STRIDE, PAD))
 
 
-@query("A17_optimal_box_size")
-def _(spark, d):
-    p = cut_lineage(_sources(spark, d).withColumn("source", F.lit("all")))
-    n = p.count()
-    size = B.optimal_box_size(p, (0.3, 0.3, 0.3), n // 10, n // 50, n // 50, step=0.02, stride=(0.2, 0.2, 0.2))
-    return B.population_statistics(B.populations(p, size, (0.2, 0.2, 0.2))).select("source", F.lit(round(size[0], 6)).alias("size"), "n_boxes", "max_atoms")
-
-
 def _grown_axis_sql(a: str) -> str:
     short = f"max({a}) - (min({a}) + (floor((max({a}) - min({a})) / 0.2)) * 0.2 + w)"
     n = f"(floor((max({a}) - min({a})) / 0.2) + 1 + CASE WHEN {short} > 0 THEN ceil(({short}) / 0.2) ELSE 0 END)"
     return f"min({a}) - greatest(min({a}) + ({n} - 1) * 0.2 + w - max({a}), 0) / 2 AS s_{a}, CAST({n} AS BIGINT) AS n_{a}"
 
 
+def _tried_sizes_sql(sizes: str) -> str:
+    """Counts ``c`` of every box of every size of every source."""
+    return f"""{POINTS}, sizes AS ({sizes}),
+g AS (SELECT structure_id AS source, i, w, {', '.join(_grown_axis_sql(a) for a in 'xyz')} FROM points, sizes GROUP BY 1, 2, 3),
+b AS (SELECT source, i, w, s_x + jx * 0.2 AS bx, s_y + iy * 0.2 AS by_, s_z + kz * 0.2 AS bz FROM g, LATERAL (SELECT unnest(range(n_z)) AS kz), LATERAL (SELECT unnest(range(n_y)) AS iy), LATERAL (SELECT unnest(range(n_x)) AS jx)),
+c AS (SELECT b.source, b.i, b.w, bx, by_, bz, count(atom_id) AS n FROM b LEFT JOIN points p ON p.structure_id = b.source AND x BETWEEN bx AND bx + w AND y BETWEEN by_ AND by_ + w AND z BETWEEN bz AND bz + w GROUP BY ALL)"""
+
+
+@query("A17_optimal_box_size", f"""
+WITH {_tried_sizes_sql("SELECT i, 0.3::DOUBLE + i * 0.02::DOUBLE AS w FROM range(-14, 40) t(i)")},
+cut AS (SELECT source, i, w, quantile_cont(n, 0.2) AS cut FROM c GROUP BY ALL),
+typical AS (SELECT cut.source, cut.i, cut.w, coalesce(CAST(quantile_cont(n, 0.5) FILTER (WHERE n > cut) AS DOUBLE), 0) AS t
+ FROM cut JOIN c ON c.source = cut.source AND c.i = cut.i GROUP BY ALL),
+judged AS (SELECT *, t - 1 <= 8 AND 8 <= t + 1 AS fits, t <= 8 AS grows FROM typical),
+begun AS (SELECT source, fits AS fits0, grows AS up FROM judged WHERE i = 0),
+walk AS (SELECT j.*, fits0, up, abs(i) AS far FROM judged j JOIN begun USING (source) WHERE i = 0 OR (NOT fits0 AND (i > 0) = up)),
+ended AS (SELECT source, min(far) FILTER (WHERE fits) AS hit, min(far) FILTER (WHERE i <> 0 AND NOT fits AND grows <> up) AS turn FROM walk GROUP BY 1)
+SELECT e.source, w.i AS size_id, round(w.w, 6) AS size, w.t AS n_typical FROM ended e LEFT JOIN walk w ON w.source = e.source AND w.far = e.hit AND (e.turn IS NULL OR e.hit < e.turn)""")
+def _(spark, d):
+    sizes = G.optimal_box_sizes(_sources(spark, d), (0.3, 0.3, 0.3), 8, 1, 1, 40, 0.02, (0.2, 0.2, 0.2))
+    return sizes.select("source", long("size_id").alias("size_id"), rounded("width_x").alias("size"), "n_typical")
+
+
 @query("A18_grown_box_size", f"""
-WITH {POINTS}, sizes AS (SELECT i, i * 0.05::DOUBLE AS w FROM range(1, 13) t(i)),
-g AS (SELECT i, w, {', '.join(_grown_axis_sql(a) for a in 'xyz')} FROM points, sizes GROUP BY i, w),
-b AS (SELECT i, w, s_x + jx * 0.2 AS bx, s_y + iy * 0.2 AS by_, s_z + kz * 0.2 AS bz FROM g, LATERAL (SELECT unnest(range(n_z)) AS kz), LATERAL (SELECT unnest(range(n_y)) AS iy), LATERAL (SELECT unnest(range(n_x)) AS jx)),
-c AS (SELECT b.i, b.w, bx, by_, bz, count(atom_id) AS n FROM b LEFT JOIN points ON x BETWEEN bx AND bx + w AND y BETWEEN by_ AND by_ + w AND z BETWEEN bz AND bz + w GROUP BY ALL),
-m AS (SELECT i, w, quantile_cont(n, 0.5) FILTER (WHERE n > 0) AS median, stddev_pop(n) AS std FROM c GROUP BY i, w)
-SELECT 'all' AS source, (SELECT count(*) FROM points) AS n_atoms, round(w, 6) AS size, CAST(median AS DOUBLE) AS median, round(std, 6) AS std FROM m
-WHERE median >= (SELECT count(*) // 20 FROM points) ORDER BY i LIMIT 1""")
+WITH {_tried_sizes_sql("SELECT i, i * 0.05::DOUBLE AS w FROM range(1, 30) t(i)")},
+m AS (SELECT source, i, w, quantile_cont(n, 0.5) FILTER (WHERE n > 0) AS median, stddev_pop(n) AS std FROM c GROUP BY ALL)
+SELECT source, round(arg_min(w, i), 6) AS size, CAST(arg_min(median, i) AS DOUBLE) AS median, round(arg_min(std, i), 6) AS std FROM m
+WHERE median >= 10 GROUP BY source""")
 def _(spark, d):
-    p = cut_lineage(_sources(spark, d).withColumn("source", F.lit("all")))
-    size, median, std = B.grown_box_size(p, p.count() // 20, 0.05, (0.2, 0.2, 0.2))
-    return p.groupBy("source").agg(F.count(F.lit(1)).alias("n_atoms")).select(
-        "source", "n_atoms", F.lit(round(size, 6)).alias("size"), F.lit(float(median)).alias("median"), F.lit(round(std, 6)).alias("std"))
+    sizes = G.grown_box_sizes(_sources(spark, d), 10, 0.05, (0.2, 0.2, 0.2))
+    return sizes.select("source", rounded("size").alias("size"), "median", rounded("std").alias("std"))
 
 
 @query("A19_axis_padding", f"""
@@ -346,13 +357,13 @@ def _(spark, d):
 # --- transformations ---------------------------------------------------------
 
 @query("V1_supercell", f"""
-WITH {POINTS}, m AS (SELECT atom_id, (i * 2 + j) * 1 + k AS replica, x + i + {SHEAR} * j AS x, y + j AS y, z + k AS z FROM points, range(3) a(i), range(2) b(j), range(1) c(k)),
+WITH {POINTS}, m AS (SELECT atom_id * 6 + (i * 2 + j) * 1 + k AS atom_id, atom_id AS site_id, (i * 2 + j) * 1 + k AS replica, x + i + {SHEAR} * j AS x, y + j AS y, z + k AS z FROM points, range(3) a(i), range(2) b(j), range(1) c(k)),
 f AS (SELECT *, floor((x - {SHEAR} * y) / 3 + 1e-7) AS fa, floor(y / 2 + 1e-7) AS fb, floor(z + 1e-7) AS fc FROM m)
-SELECT atom_id, replica, round(x - 3 * fa - 2 * {SHEAR} * fb, 6) + 0.0 AS x, round(y - 2 * fb, 6) + 0.0 AS y, round(z - fc, 6) + 0.0 AS z FROM f""")
+SELECT atom_id, site_id, replica, round(x - 3 * fa - 2 * {SHEAR} * fb, 6) + 0.0 AS x, round(y - 2 * fb, 6) + 0.0 AS y, round(z - fc, 6) + 0.0 AS z FROM f""")
 def _(spark, d):
     p = points(spark, d)
     out, _ = S.supercell(p, _cells(p), (3, 2, 1))
-    return out.select("atom_id", "replica", *[rounded(a).alias(a) for a in "xyz"])
+    return out.select("atom_id", "site_id", "replica", *[rounded(a).alias(a) for a in "xyz"])
 
 
 @query("V2_replicas_by_atoms", f"""
@@ -389,7 +400,7 @@ def _(spark, d):
                     long(F.size(cubic)).alias("n_cubic"), long(F.size(flat)).alias("n_planar"))
 
 
-_RANKED = f"""{POINTS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY md5(CAST(atom_id AS VARCHAR) || '#42'), atom_id) - 1 AS r,
+_RANKED = f"""{POINTS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY md5(structure_id || '/' || atom_id || '#42'), atom_id) - 1 AS r,
  count(*) OVER (PARTITION BY structure_id) AS n FROM points)"""
 
 
@@ -417,14 +428,14 @@ def _hash_sql(text: str, modulus: int) -> str:
 
 
 @query("V7_substitution", f"""
-WITH {_RANKED}, s AS (SELECT *, {_hash_sql("CAST(atom_id AS VARCHAR) || '#slot42'", 5)} AS slot FROM ranked)
+WITH {_RANKED}, s AS (SELECT *, {_hash_sql("structure_id || '/' || atom_id || '#slot42'", 5)} AS slot FROM ranked)
 SELECT structure_id, atom_id, CAST(CASE WHEN r < floor(n * 0.5) THEN 1 + {_hash_sql("structure_id || '/' || slot || '#pool42'", 94)} ELSE number END AS BIGINT) AS number FROM s""")
 def _(spark, d):
     return S.substitute_atoms(points(spark, d), 0.5, 5).select("structure_id", "atom_id", long("number").alias("number"))
 
 
 def _unit_sql(axis: str, part: str) -> str:
-    return f"""((CAST('0x' || md5(CAST(atom_id AS VARCHAR) || '#{axis}{part}42')[1:8] AS BIGINT) + 0.5) / 4294967296.0)"""
+    return f"""((CAST('0x' || md5(structure_id || '/' || atom_id || '#{axis}{part}42')[1:8] AS BIGINT) + 0.5) / 4294967296.0)"""
 
 
 @query("V8_uniform_displacement", f"WITH {POINTS} SELECT atom_id, " + ", ".join(
@@ -460,12 +471,26 @@ def _diamond(spark, d):
 
 @query("V9_partial_transition", """
 WITH n AS (SELECT CAST(label AS VARCHAR) AS structure_id FROM embeddings GROUP BY 1),
-a AS (SELECT structure_id, i AS atom_id, r AS replica FROM n, range(8) t(i), range(8) u(r)),
-k AS (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY md5(atom_id || '-' || replica || '#42'), atom_id || '-' || replica) - 1 AS rn FROM a WHERE atom_id >= 4)
-SELECT structure_id, atom_id, replica FROM a WHERE atom_id < 4 UNION ALL SELECT structure_id, atom_id, replica FROM k WHERE rn >= 16""")
+a AS (SELECT structure_id, i * 8 + r AS atom_id, i AS site_id, r AS replica FROM n, range(8) t(i), range(8) u(r)),
+k AS (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY md5(structure_id || '/' || atom_id || '#42'), atom_id) - 1 AS rn FROM a WHERE site_id >= 4)
+SELECT structure_id, atom_id, site_id, replica FROM a WHERE site_id < 4 UNION ALL SELECT structure_id, atom_id, site_id, replica FROM k WHERE rn >= 16""")
+def _(spark, d):
+    atoms, structures = _diamond(spark, d)
+    out = S.partial_transition(atoms, structures, "diamond", "fcc", 0.5, (2, 2, 2), max_rel_error=0.01)
+    return out.select("structure_id", "atom_id", "site_id", "replica")
+
+
+@query("V9_transition_error", """
+WITH n AS (SELECT CAST(label AS VARCHAR) AS structure_id, 1 + label % 3 AS k FROM embeddings GROUP BY ALL), r AS (SELECT structure_id, 4 * k AS n_removable FROM n),
+g AS (SELECT *, CAST(floor(n_removable * 0.3) AS BIGINT) AS n_removed FROM r)
+SELECT structure_id, CAST(n_removable AS BIGINT) AS n_removable, n_removed, round(n_removed / n_removable, 6) AS actual_contribution,
+ round(abs(0.3 - n_removed / n_removable) / 0.3, 6) AS rel_error, abs(0.3 - n_removed / n_removable) / 0.3 > 0.2 AS exceeds FROM g""")
 def _(spark, d):
     atoms, structures = _diamond(spark, d)
-    return S.partial_transition(atoms, structures, "diamond", "fcc", 0.5, (2, 2, 2)).select("structure_id", "atom_id", "replica")
+    size = structures.select("structure_id", F.array((1 + F.col("structure_id").cast("int") % 3), F.lit(1), F.lit(1)).alias("replicas"))
+    out = S.transition_error(atoms, structures, "diamond", "fcc", 0.3, size, 0.2)
+    return out.select("structure_id", "n_removable", "n_removed", rounded("actual_contribution").alias("actual_contribution"),
+                      rounded("rel_error").alias("rel_error"), "exceeds")
 
 
 @query("J15_positions_only_in_one", """
@@ -475,6 +500,60 @@ def _(spark, d):
     return S.positions_only_in(atoms, S.removable_sites(atoms, structures, "diamond", "fcc")).select("structure_id", "atom_id")
 
 
+_DOUBLED = f"""{POINTS}, big AS (SELECT structure_id, atom_id * 2 + i AS atom_id, number, x + i AS x, y, z FROM points, range(2) t(i)),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY md5(structure_id || '/' || atom_id || '#42'), atom_id) - 1 AS r,
+ count(*) OVER (PARTITION BY structure_id) AS n FROM big)"""
+
+
+def _doubled(spark, d):
+    p = points(spark, d)
+    return S.supercell(p, _cells(p), (2, 1, 1), wrap=False)[0]
+
+
+@query("V6_vacancies_of_supercell", f"WITH {_DOUBLED} SELECT structure_id, atom_id FROM drawn WHERE r >= floor(n * 0.3)")
+def _(spark, d):
+    return S.create_vacancies(_doubled(spark, d), 0.3).select("structure_id", "atom_id")
+
+
+@query("V7_substitution_in_supercell", f"""
+WITH {_DOUBLED}, s AS (SELECT *, {_hash_sql("structure_id || '/' || atom_id || '#slot42'", 5)} AS slot FROM drawn)
+SELECT structure_id, atom_id, CAST(CASE WHEN r < floor(n * 0.5) THEN 1 + {_hash_sql("structure_id || '/' || slot || '#pool42'", 94)} ELSE number END AS BIGINT) AS number FROM s""")
+def _(spark, d):
+    return S.substitute_atoms(_doubled(spark, d), 0.5, 5).select("structure_id", "atom_id", long("number").alias("number"))
+
+
+@query("V8_gaussian_displacement_of_supercell", f"WITH {_DOUBLED} SELECT structure_id, atom_id, " + ", ".join(
+    f"round({a} + sqrt(-2 * ln({_unit_sql(a, 'r')})) * cos(2 * pi() * {_unit_sql(a, 'p')}) * 0.02, 6) + 0.0 AS {a}" for a in "xyz") + " FROM big")
+def _(spark, d):
+    return S.displace_atoms(_doubled(spark, d), "gaussian", 0.02).select("structure_id", "atom_id", *[rounded(a).alias(a) for a in "xyz"])
+
+
+@query("V8_scaled_uniform_displacement", f"WITH {_OPEN}, nn AS (SELECT structure_id, atom_id, min(r) AS r FROM pairs WHERE r <= 0.4 GROUP BY ALL), "
+       "s AS (SELECT structure_id, avg(r) AS scale FROM nn GROUP BY 1) SELECT atom_id, " + ", ".join(
+    f"round({a} + ({_unit_sql(a, 'u')} * 2 - 1) * 0.1 * scale, 6) + 0.0 AS {a}" for a in "xyz")
+       + " FROM points JOIN s USING (structure_id)")
+def _(spark, d):
+    p = points(spark, d)
+    out = S.displace_atoms(p, "uniform_scaled", 0.1, N.length_scale(p, 0.4, "avg_nn"))
+    return out.select("atom_id", *[rounded(a).alias(a) for a in "xyz"])
+
+
+def _turn_sql() -> str:
+    u = [f"((CAST('0x' || md5(structure_id || '#turn{p}42')[1:8] AS BIGINT) + 0.5) / 4294967296.0)" for p in "abc"]
+    return f"""q AS (SELECT DISTINCT structure_id, sqrt(1 - {u[0]}) * sin(2 * pi() * {u[1]}) AS qx, sqrt(1 - {u[0]}) * cos(2 * pi() * {u[1]}) AS qy,
+ sqrt({u[0]}) * sin(2 * pi() * {u[2]}) AS qz, sqrt({u[0]}) * cos(2 * pi() * {u[2]}) AS qw FROM points),
+-- v + 2 w (q x v) + 2 q x (q x v)
+c AS (SELECT p.*, qx, qy, qz, qw, qy * z - qz * y AS cx, qz * x - qx * z AS cy, qx * y - qy * x AS cz FROM points p JOIN q USING (structure_id))"""
+
+
+@query("V1_random_rotation", f"""
+WITH {POINTS}, {_turn_sql()} SELECT atom_id, round(x + 2 * qw * cx + 2 * (qy * cz - qz * cy), 6) + 0.0 AS x,
+ round(y + 2 * qw * cy + 2 * (qz * cx - qx * cz), 6) + 0.0 AS y, round(z + 2 * qw * cz + 2 * (qx * cy - qy * cx), 6) + 0.0 AS z FROM c""")
+def _(spark, d):
+    p = points(spark, d)
+    return S.random_rotation(p, _cells(p))[0].select("atom_id", *[rounded(a).alias(a) for a in "xyz"])
+
+
 @query("V10_operation_fan_out", f"""
 WITH {_RANKED} SELECT structure_id, 'copy' AS op_id, count(*) AS n_atoms, max(n) AS n_before FROM ranked GROUP BY structure_id
 UNION ALL SELECT structure_id, 'double', count(*) * 2, max(n) FROM ranked GROUP BY structure_id

@@ -87,34 +87,44 @@ def _(spark, d):
         "id", long("component").alias("component"), rounded("value").alias("value"))
 
 
+#: Several blocks a side at the sizes of the tests, too.
+BLOCK = 192
+
+
+def _parity(spark, d, odd):
+    return vectors(spark, d).where(F.col("id") % 2 == odd)
+
+
 @query("J10_cross_similarity", f"""
-WITH {_AVERAGE} SELECT a.id AS row_id, b.id AS col_id, round({_D}(a.vec, b.v) / ({_D}(a.vec, a.vec) + {_D}(b.v, b.v) - {_D}(a.vec, b.v)), 6) + 0.0 AS score
-FROM vectors a, unit b""")
+WITH {VECTORS} SELECT a.id AS row_id, b.id AS col_id, round({_D}(a.vec, b.vec) / ({_D}(a.vec, a.vec) + {_D}(b.vec, b.vec) - {_D}(a.vec, b.vec)), 6) + 0.0 AS score
+FROM vectors a, vectors b WHERE a.id % 2 = 0 AND b.id % 2 = 1""")
 def _(spark, d):
-    out = kernels.cross_similarity(vectors(spark, d), _averages(spark, d), "tanimoto")
+    out = kernels.cross_similarity(_parity(spark, d, 0), _parity(spark, d, 1), "tanimoto", block_rows=BLOCK)
     return out.withColumn("score", rounded("score"))
 
 
 @query("J10_pivoted_similarity", f"""
-WITH {_AVERAGE} SELECT a.id AS row_id, round({_D}(a.v, (SELECT v FROM unit WHERE id = 0)), 6) + 0.0 AS col_0,
-  round({_D}(a.v, (SELECT v FROM unit WHERE id = 1)), 6) + 0.0 AS col_1 FROM unit a""")
+WITH {_AVERAGE} SELECT a.id AS row_id, {', '.join(f'round({_D}(a.v, (SELECT v FROM unit WHERE id = {i})), 6) + 0.0 AS col_{i}' for i in range(10))} FROM unit a""")
 def _(spark, d):
     avg = cut_lineage(_averages(spark, d))
-    wide = kernels.pivot_matrix(kernels.cross_similarity(avg, avg, "cosine_sim"), [0, 1])
-    return wide.select("row_id", rounded("col_0").alias("col_0"), rounded("col_1").alias("col_1"))
+    wide = kernels.pivot_matrix(kernels.cross_similarity(avg, avg, "cosine_sim"), list(range(10)))
+    return wide.select("row_id", *[rounded(f"col_{i}").alias(f"col_{i}") for i in range(10)])
 
 
 @query("J11_symmetric_kernel", f"""
-WITH {_AVERAGE} SELECT a.id AS row_id, b.id AS col_id, round(sqrt(abs(1 - pow({_D}(a.v, b.v), 2) + 1e-10)), 4) AS score FROM unit a, unit b""")
+WITH {VECTORS}, u AS (SELECT id, list_transform(vec, lambda x: x / sqrt({_D}(vec, vec))) AS v FROM vectors)
+SELECT a.id AS row_id, b.id AS col_id, round(sqrt(abs(1 - pow({_D}(a.v, b.v), 2) + 1e-10)), 4) AS score FROM u a, u b""")
 def _(spark, d):
-    avg = cut_lineage(_averages(spark, d))
-    return kernels.symmetric_kernel(avg, distance=True).withColumn("score", rounded("score", 4))
+    unit = vectors(spark, d).select("id", V.normalised(F.col("vec")).alias("vec"))
+    return kernels.symmetric_kernel(unit, distance=True, block_rows=BLOCK).withColumn("score", rounded("score", 4))
 
 
 @query("J12_rectangular_kernel", f"""
-WITH {_AVERAGE} SELECT a.id AS row_id, b.id AS col_id, round(pow({_D}(a.vec, b.v), 2), 6) + 0.0 AS score FROM vectors a, unit b""")
+WITH {VECTORS} SELECT a.id AS row_id, b.id AS col_id, round(pow({_D}(a.vec, b.vec), 2), 6) + 0.0 AS score
+FROM vectors a, vectors b WHERE b.label < 5""")
 def _(spark, d):
-    return kernels.rectangular_kernel(vectors(spark, d), _averages(spark, d), xi=2.0).withColumn("score", rounded("score"))
+    some = vectors(spark, d).where("label < 5")
+    return kernels.rectangular_kernel(vectors(spark, d), some, xi=2.0, block_rows=BLOCK).withColumn("score", rounded("score"))
 
 
 # --- shape and scale ---------------------------------------------------------

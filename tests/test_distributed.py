@@ -1,8 +1,11 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from latticeloom.distributed import lookup_join, quantile_list, quantiles, row_index
+from latticeloom.distributed import hash_chosen, hash_rank, lookup_join, pseudo_random_order, quantile_list, quantiles, row_index
 from latticeloom.operators.filters import split_duplicates
 from latticeloom.operators.labels import split_rows
 
@@ -71,3 +74,29 @@ def test_duplicates_keep_the_first(spark):
     df = spark.createDataFrame([(3, "a"), (1, "a"), (2, "b"), (4, None), (5, None)], "pos int, k string")
     got = {r["pos"]: r["is_duplicate"] for r in split_duplicates(df, "k", "pos").collect()}
     assert got[1] is False and got[3] is True and got[2] is False
+
+
+def drawn_rows(spark):
+    """Groups of 3,000, 7, 1 and (null) 40 rows; ids 0 to 4 of the large one stand there 100 times."""
+    rows = [("big", i if i >= 500 else i % 5) for i in range(3000)] + [("few", i) for i in range(7)] + [("one", 1)] + [(None, i) for i in range(40)]
+    return spark.createDataFrame(rows, "g string, id long"), rows
+
+
+@pytest.mark.parametrize("digits", [1, 3])
+def test_selection_by_digest(spark, digits):
+    df, rows = drawn_rows(spark)
+    digest = pseudo_random_order(F.col("id"), 3)
+    order = lambda i: hashlib.md5(f"{i}#3".encode()).hexdigest()
+    groups = {g: sorted(order(i) + f" {i:6d}" for h, i in rows if h == g) for g, _ in rows}
+    for take, wanted in ((F.floor(F.col("_n") * 0.3), lambda n: int(n * 0.3)), (F.lit(0), lambda n: 0), (F.lit(5000), lambda n: n)):
+        got = hash_chosen(df, digest, ["id"], take, ["g"], digits=digits).collect()
+        assert len(got) == len(rows)
+        for g, keys in groups.items():
+            chosen = sorted(order(r["id"]) + f" {r['id']:6d}" for r in got if r["g"] == g and r["_chosen"])
+            assert chosen == keys[:wanted(len(keys))]
+    alone = hash_chosen(df.limit(0), digest, ["id"], F.lit(3), digits=digits)
+    assert alone.columns == ["g", "id", "_chosen"] and alone.count() == 0
+    ranked = hash_rank(df, digest, ["id"], ["g"], digits=digits).collect()
+    for g, keys in groups.items():
+        places = sorted((r["row_index"], order(r["id"]) + f" {r['id']:6d}") for r in ranked if r["g"] == g)
+        assert places == list(enumerate(keys))

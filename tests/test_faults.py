@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticeloom.distributed import row_index
-from latticeloom.operators import boxes, labels, ml, sparse_model
+from latticeloom.operators import boxgrid, labels, ml, sparse_model
 from latticeloom.operators.neighbors import minimum_distance
 
 
@@ -60,4 +60,4 @@ def test_box_sizes_that_never_fit_raise(spark):
     atoms = spark.range(64).select(F.lit("s").alias("source"), F.col("id").alias("atom_id"), (F.col("id") % 4).cast("double").alias("x"),
                                    (F.floor(F.col("id") / 4) % 4).cast("double").alias("y"), F.floor(F.col("id") / 16).cast("double").alias("z"))
     with pytest.raises(ValueError, match="no box size fits"):
-        boxes.optimal_box_size(atoms, [1.5] * 3, target_atoms=1000, max_iter=2, stride=(1.0, 1.0, 1.0))
+        boxgrid.optimal_box_size(atoms, [1.5] * 3, target_atoms=1000, max_iter=2, stride=(1.0, 1.0, 1.0))

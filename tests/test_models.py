@@ -69,14 +69,34 @@ def test_similarities_of_equal_vectors_and_errors(spark):
         V.similarity(a, b, "hamming")
 
 
-def test_kernel_tiles_give_the_whole_matrix(spark):
+def test_kernel_blocks_give_the_whole_matrix(spark):
     df = matrix(spark, RANDOM)
-    got = kernels.cross_similarity(df, df, "cosine_sim", tile_rows=7).toPandas().pivot(
+    got = kernels.cross_similarity(df, df, "cosine_sim", block_rows=7).toPandas().pivot(
         index="row_id", columns="col_id", values="score").to_numpy()
     u = RANDOM / np.linalg.norm(RANDOM, axis=1)[:, None]
     assert got.shape == (100, 100) and np.allclose(got, u @ u.T)
-    sym = kernels.symmetric_kernel(df).toPandas()
-    assert len(sym) == 10_000 and np.allclose(sym.pivot(index="row_id", columns="col_id", values="score"), RANDOM @ RANDOM.T)
+    for rows in (13, 1024):
+        sym = kernels.symmetric_kernel(df, block_rows=rows).toPandas()
+        assert len(sym) == 10_000 and np.allclose(sym.pivot(index="row_id", columns="col_id", values="score"), RANDOM @ RANDOM.T)
+
+
+@pytest.mark.parametrize("metric", sorted(V.METRICS))
+def test_block_measures_equal_the_columns(spark, metric):
+    rows = [(i, v) for i, v in enumerate([[1.0, 2.0, -1.0], [0.0, 0.0, 0.0], None, [1.0, None, 2.0], [1.0, 2.0], [], [1.0, 2.0, -1.0], [0.5, 1e-9, 3.0]])]
+    rows += [(7, [4.0, 4.0, 4.0])]                                     # an id twice
+    df = spark.createDataFrame(rows, "id int, vec array<double>")
+    for power in (1.0, 2.0):
+        got = kernels.cross_similarity(df, df, metric, power, block_rows=4)
+        a, b = df.toDF("row_id", "a"), df.toDF("col_id", "b")
+        want = a.crossJoin(b).select("row_id", "col_id", V.similarity(F.col("a"), F.col("b"), metric, power).alias("score"))
+        key = lambda r: (r[0], r[1], r[2] is None, r[2] or 0.0)
+        x, y = sorted(map(tuple, got.collect()), key=key), sorted(map(tuple, want.collect()), key=key)
+        assert [r[:2] for r in x] == [r[:2] for r in y] and len(x) == 81
+        for p, q in zip(x, y, strict=True):
+            # two empty vectors have nothing to compare
+            assert (p[2] is None) == (q[2] is None) or p[:2] == (5, 5), (p, q)
+            assert p[2] is None or q[2] is None or p[2] == pytest.approx(q[2], abs=1e-12)
+    assert kernels.cross_similarity(df, df.limit(0), metric).count() == 0
 
 
 def test_vector_shapes(spark):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticeloom.operators import boxes as B
+from latticeloom.operators import boxgrid as G
 from latticeloom.operators import features, fields
 from latticeloom.operators import neighbors as N
 from latticeloom.operators import structures as S
@@ -254,10 +255,10 @@ def test_box_descriptors_keep_thin_boxes(spark):
 def test_box_searches(spark):
     atoms, _, _ = cloud(spark, 500, 6)
     src = atoms.withColumnRenamed("structure_id", "source")
-    size = B.optimal_box_size(src, (2.0,) * 3, 40, 5, 5, step=0.5, stride=(3.0, 3.0, 3.0))
+    size = G.optimal_box_size(src, (2.0,) * 3, 40, 5, 5, step=0.5, stride=(3.0, 3.0, 3.0))
     n = B.typical_population(B.populations(src, size, (3.0,) * 3)).first()["n_typical"]
     assert n - 5 <= 40 <= n + 5
-    edge, median, std = B.grown_box_size(src, 20)
+    edge, median, std = G.grown_box_size(src, 20)
     assert median >= 20 and std > 0
 
 
@@ -310,3 +311,36 @@ def test_features_ignore_the_size_of_a_structure(spark):
     three = atoms.withColumn("symbol", F.when(F.col("atom_id") == 1, "X").when(F.col("atom_id") == 2, "Y").otherwise("Na"))
     with pytest.raises(Exception, match="more than two species"):
         features.atomic_feature_table(three, el, ["en", "g"], "en").collect()
+
+
+def test_integral_grid_equals_counting_each_box(spark):
+    rng = np.random.default_rng(11)
+    rows = [(s, *map(float, p)) for s, n, w in (("a", 400, 9.0), ("b", 30, 3.0), ("c", 1, 1.0)) for p in rng.uniform(0, w, (n, 3)).round(1)]
+    rows += [("a", 0.0, 0.0, 0.0)] * 50 + [("a", None, 1.0, 1.0)]
+    atoms = spark.createDataFrame(rows, "source string, x double, y double, z double")
+    widths = [(0.5, 0.5, 0.5), (1.0, 2.5, 4.0), (20.0, 3.0, 0.25)]
+    sizes = spark.createDataFrame([(s, i, *w) for s in "abc" for i, w in enumerate(widths)],
+                                  "source string, size_id int, width_x double, width_y double, width_z double")
+    for stride, pad in (((0.7, 1.0, 0.4), None), ((3.0, 0.3, 1.0), (0.5, 0.0, 1.0))):
+        got = {(r["source"], r["size_id"], r["n_atoms"]): r["n"] for r in G.population_histograms(atoms, sizes, stride, pad).collect()}
+        want = {}
+        for i, w in enumerate(widths):
+            for r in B.populations(atoms.withColumn("atom_id", F.lit(1)), w, stride, pad).groupBy("source", "n_atoms").count().collect():
+                want[r["source"], i, r["n_atoms"]] = r["count"]
+        assert got == want
+
+
+def test_box_sizes_per_source(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, *map(float, p)) for s, n in (("dense", 900), ("thin", 60)) for p in rng.uniform(0, 6, (n, 3))]
+    atoms = spark.createDataFrame(rows, "source string, x double, y double, z double")
+    got = {r["source"]: r for r in G.optimal_box_sizes(atoms, (2.5,) * 3, 20, 4, 4, 40, 0.1, (1.5,) * 3).collect()}
+    for s, r in got.items():
+        typical = lambda w: (lambda t: t["n_typical"] if t else 0.0)(B.typical_population(
+            B.populations(atoms.where(F.col("source") == s).withColumn("atom_id", F.lit(1)), [w] * 3, (1.5,) * 3)).first())
+        assert r["n_typical"] == typical(r["width_x"]) and abs(r["n_typical"] - 20) <= 4
+        back = -1 if r["size_id"] > 0 else 1
+        assert r["size_id"] == 0 or abs(typical(2.5 + (r["size_id"] + back) * 0.1) - 20) > 4
+    assert got["dense"]["size_id"] != got["thin"]["size_id"]
+    none = G.optimal_box_sizes(atoms, (2.0,) * 3, 5000, 4, 4, 3, 0.1, (1.5,) * 3).collect()
+    assert len(none) == 2 and all(r["size_id"] is None for r in none)
