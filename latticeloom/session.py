@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_unused(spark: SparkSession) -> None:
+    """Have the shuffle files and checkpoints deleted that nothing refers to any more.
+
+    Spark deletes them once the driver's collector has seen that their plans are gone, which a roomy heap seldom does by itself.
+    For long chains of large shuffles, called where a step's tables have gone out of scope.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
