@@ -189,21 +189,36 @@ def environment_spectrum(pairs: DataFrame, cutoff: float, n_max: int = 9, l_max:
     pairs of neighbours are never formed: one aggregation over neighbours, then
     products inside the row.
     """
+    return spectrum_of_sums(neighbour_sums(pairs, cutoff, n_max, l_max, [STRUCTURE, "atom_id"]), n_max, l_max, [STRUCTURE, "atom_id"])
+
+
+def _sum_names(n_max: int, l_max: int) -> list[str]:
+    return [f"c{n}_{deg}_{k}" for n in range(n_max) for deg in range(l_max + 1) for k in range(2 * deg + 1)]
+
+
+def neighbour_sums(pairs: DataFrame, cutoff: float, n_max: int, l_max: int, keys: Sequence[str]) -> DataFrame:
+    """Sums over the neighbours within ``cutoff`` of all products of a radial and an angular function, per ``keys``."""
     safe = F.when(F.col("r") > 0, F.col("r")).otherwise(1.0)
     near = pairs.where(F.col("r") <= cutoff).select(
-        STRUCTURE, "atom_id", *[_radial(F.col("r"), n, n_max, cutoff).alias(f"g{n}") for n in range(n_max)],
+        *keys, *[_radial(F.col("r"), n, n_max, cutoff).alias(f"g{n}") for n in range(n_max)],
         *[(F.col(f"d{a}") / safe).alias(f"u{a}") for a in "xyz"])
     shapes = _angular(l_max, F.col("ux"), F.col("uy"), F.col("uz"))
-    flat = [(deg, k, s) for deg, parts in enumerate(shapes) for k, s in enumerate(parts)]
-    near = near.select(STRUCTURE, "atom_id", *[f"g{n}" for n in range(n_max)],
-                       *[s.alias(f"s{deg}_{k}") for deg, k, s in flat])
-    sums = near.groupBy(STRUCTURE, "atom_id").agg(*[
-        F.sum(F.col(f"g{n}") * F.col(f"s{deg}_{k}")).alias(f"c{n}_{deg}_{k}")
-        for n in range(n_max) for deg, k, _ in flat])
+    near = near.select(*keys, *[f"g{n}" for n in range(n_max)],
+                       *[s.alias(f"s{deg}_{k}") for deg, parts in enumerate(shapes) for k, s in enumerate(parts)])
+    return near.groupBy(*keys).agg(*[F.sum(F.col(name.split("_", 1)[0].replace("c", "g")) * F.col("s" + name.split("_", 1)[1])).alias(name)
+                                     for name in _sum_names(n_max, l_max)])
+
+
+def added_sums(sums: DataFrame, n_max: int, l_max: int, keys: Sequence[str]) -> DataFrame:
+    """Sums of parts of a neighbourhood, added up per ``keys``."""
+    return sums.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in _sum_names(n_max, l_max)])
+
+
+def spectrum_of_sums(sums: DataFrame, n_max: int, l_max: int, keys: Sequence[str]) -> DataFrame:
     value = [sum((F.col(f"c{n}_{deg}_{k}") * F.col(f"c{q}_{deg}_{k}") for k in range(1, 2 * deg + 1)),
                  F.col(f"c{n}_{deg}_0") * F.col(f"c{q}_{deg}_0"))
              for n in range(n_max) for q in range(n, n_max) for deg in range(l_max + 1)]
-    return sums.select(STRUCTURE, "atom_id", F.array(*value).alias("value"))
+    return sums.select(*keys, F.array(*value).alias("value"))
 
 
 def spectrum_index(n_max: int, l_max: int) -> list[tuple[int, int, int]]:

@@ -72,27 +72,6 @@ def fractional(i: int) -> Column:
     return F.col("x") * g[0] + F.col("y") * g[1] + F.col("z") * g[2]
 
 
-def _placed(atoms: DataFrame, structures: DataFrame, radius: float) -> DataFrame:
-    """Atoms with the lattice shifts ``_lo .. _hi`` per axis that bring them within
-    ``radius`` of the home cell, and the shift ``_home`` that brings them into it.
-
-    Shifts are counted from the height of the cell (one over the length of the
-    inverse row), not from the length of its vectors.
-    """
-    s = with_inverse_cell(structures.select(STRUCTURE, "cell", "pbc"))
-    reach = [F.lit(float(radius)) * F.sqrt(_dot(F.col(f"_g{i}"), F.col(f"_g{i}"))) for i in range(3)]
-    s = s.select("*", *[r.alias(f"_r{i}") for i, r in enumerate(reach)])
-    rows = lookup_join(atoms, s, STRUCTURE).select(
-        *atoms.columns, "cell", "pbc", *[f"_r{i}" for i in range(3)], *[fractional(i).alias(f"_f{i}") for i in range(3)])
-    bounds = []
-    for i in range(3):
-        f, r, periodic = F.col(f"_f{i}"), F.col(f"_r{i}"), F.col("pbc")[i]
-        # a hair below 1 counts as 0, so that rounding does not move an atom across the cell
-        for name, shift in (("_home", -F.floor(f + 1e-9)), ("_lo", F.ceil(-r - f - 1e-9)), ("_hi", F.floor(1 + r - f + 1e-9))):
-            bounds.append(F.when(periodic, shift).otherwise(0).cast("int").alias(f"{name}{i}"))
-    return rows.select(*atoms.columns, "cell", *bounds)
-
-
 def shifted(rows: DataFrame, columns: Sequence[str], shift: Sequence[Column], *extra: Column) -> DataFrame:
     cell = F.col("cell")
     moved = [(F.col(a) + shift[0] * cell[0][k] + shift[1] * cell[1][k] + shift[2] * cell[2][k]).alias(a)
@@ -100,19 +79,81 @@ def shifted(rows: DataFrame, columns: Sequence[str], shift: Sequence[Column], *e
     return rows.select(*[c for c in columns if c not in AXES], *moved, *extra)
 
 
-def homes_and_images(atoms: DataFrame, structures: DataFrame | None,
-                     radius: float) -> tuple[DataFrame, DataFrame]:
-    """Atoms inside their cell, and these with all periodic copies within ``radius`` of
-    the cell (column ``is_home``); without structures both are the atoms."""
-    if structures is None:
-        return atoms, atoms.withColumn("is_home", F.lit(True))
-    placed = _placed(atoms, structures, radius)
-    homes = shifted(placed, atoms.columns, [F.col(f"_home{i}") for i in range(3)])
-    rows = placed
+# --- the periodic cell list --------------------------------------------------
+#
+# Layers parallel to the faces of the cell, at least as thick as the search radius, cut it into n0 x n1 x n2 small cells. A
+# centre looks into the small cells around its own; an index beyond the cell is taken modulo n, and how often it went around is
+# the lattice shift of what is found there. So every atom is one row on the target side, whatever the radius, and images
+# are never formed. Along open axes layers go on for ever and nothing goes around.
+
+#: Layers are this much thicker than the radius, so that rounding moves no neighbour beyond the next layer.
+SLACK = 1 + 1e-6
+_LATTICE = ["_v", "pbc", "_g0", "_g1", "_g2", "_h0", "_h1", "_h2"]
+
+
+def lattice_table(structures: DataFrame) -> DataFrame:
+    """Per structure the cell vectors, inverse rows ``_g`` and heights ``_h``; a zero vector of an open axis becomes a unit vector."""
+    zero = lambda v: F.forall(v, lambda c: c == 0)
+    unit = lambda i: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.when(k == i, 1.0).otherwise(0.0))
+    filled = F.transform("cell", lambda v, i: F.when(zero(v) & ~F.get(F.col("pbc"), i), unit(i)).otherwise(v))
+    s = with_inverse_cell(structures.select(STRUCTURE, filled.alias("_v"), "pbc"), "_v")
+    return s.select("*", *[(1 / F.sqrt(_dot(F.col(f"_g{i}"), F.col(f"_g{i}")))).alias(f"_h{i}") for i in range(3)])
+
+
+def homes(atoms: DataFrame, lattice: DataFrame | None) -> DataFrame:
+    """Atoms inside their cell along periodic axes, with fractional coordinates ``_f0 .. _f2`` and their lattice's columns."""
+    if lattice is None:
+        return atoms
+    rows = lookup_join(atoms, lattice, STRUCTURE).select("*", *[fractional(i).alias(f"_f{i}") for i in range(3)])
+    # a hair below 1 counts as 0, so that rounding does not move an atom across the cell
+    back = [F.when(F.col("pbc")[i], -F.floor(F.col(f"_f{i}") + 1e-9)).otherwise(F.lit(0)) for i in range(3)]
+    rows = rows.select("*", *[n.alias(f"_b{i}") for i, n in enumerate(back)])
+    vectors = cell_vectors(F.col("_v"))
+    moved = [(F.col(a) + F.col("_b0") * vectors[0][k] + F.col("_b1") * vectors[1][k] + F.col("_b2") * vectors[2][k]).alias(a)
+             for k, a in enumerate(AXES)]
+    return rows.select(*[c for c in atoms.columns if c not in AXES], *moved,
+                       *[(F.col(f"_f{i}") + F.col(f"_b{i}")).alias(f"_f{i}") for i in range(3)], *_LATTICE)
+
+
+def _layers(i: int, radius: float) -> tuple[Column, Column]:
+    """Number of layers along axis ``i`` (periodic) and the layer of an atom."""
+    n = F.greatest(F.lit(1), F.floor(F.col(f"_h{i}") / (radius * SLACK)))
+    inside = F.least(n - 1, F.greatest(F.lit(0), F.floor(F.col(f"_f{i}") * n)))
+    return n, F.when(F.col("pbc")[i], inside).otherwise(F.floor(F.col(f"_f{i}") * F.col(f"_h{i}") / (radius * SLACK)))
+
+
+def _without_lattice(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c not in (*_LATTICE, "_f0", "_f1", "_f2")]
+
+
+def targets_in_cells(rows: DataFrame, radius: float) -> DataFrame:
+    """``homes`` with the small cell ``_cx, _cy, _cz`` of each; one row an atom."""
+    if "_f0" not in rows.columns:
+        return with_cell(rows, F.lit(float(radius)))
+    return rows.select(*_without_lattice(rows), *[_layers(i, radius)[1].alias(f"_c{a}") for i, a in enumerate(AXES)])
+
+
+def centres_in_cells(rows: DataFrame, radius: float, half: bool = False) -> DataFrame:
+    """``homes`` once for each small cell that may hold neighbours, with the shift ``_sx, _sy, _sz`` of what is there and
+    whether it is no shift, ``_same``; ``half`` is for structures without images."""
+    if "_f0" not in rows.columns:
+        return with_cells_around(rows, F.lit(float(radius)), half).select(
+            "*", *[F.lit(0.0).alias(f"_s{a}") for a in AXES], F.lit(True).alias("_same"))
     for i in range(3):
-        rows = rows.withColumn(f"_s{i}", F.explode(F.sequence(f"_lo{i}", f"_hi{i}")))
-    is_home = (F.col("_s0") == F.col("_home0")) & (F.col("_s1") == F.col("_home1")) & (F.col("_s2") == F.col("_home2"))
-    return homes, shifted(rows, atoms.columns, [F.col(f"_s{i}") for i in range(3)], is_home.alias("is_home"))
+        n, own = _layers(i, radius)
+        reach = F.when(F.col("pbc")[i], F.ceil(radius * SLACK * n / F.col(f"_h{i}"))).otherwise(1).cast("int")
+        rows = rows.select("*", n.alias(f"_n{i}"), own.alias(f"_l{i}"), F.explode(F.sequence(-reach, reach)).alias(f"_d{i}"))
+    keys, turns = [], []
+    for i, a in enumerate(AXES):
+        at = F.col(f"_l{i}") + F.col(f"_d{i}")
+        keys.append(F.when(F.col("pbc")[i], F.pmod(at, F.col(f"_n{i}"))).otherwise(at).alias(f"_c{a}"))
+        turns.append(F.when(F.col("pbc")[i], F.floor(at / F.col(f"_n{i}"))).otherwise(F.lit(0)))
+    vectors = cell_vectors(F.col("_v"))
+    shift = [(turns[0] * vectors[0][k] + turns[1] * vectors[1][k] + turns[2] * vectors[2][k]).cast("double").alias(f"_s{a}")
+             for k, a in enumerate(AXES)]
+    same = (turns[0] == 0) & (turns[1] == 0) & (turns[2] == 0)
+    keep = [c for c in _without_lattice(rows) if c not in {f"_{p}{i}" for p in "nld" for i in range(3)}]
+    return rows.select(*keep, *keys, *shift, same.alias("_same"))
 
 
 # --- cells -------------------------------------------------------------------
@@ -142,6 +183,15 @@ def _distance(a: str, b: str) -> Column:
     return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
 
 
+def _apart() -> list[Column]:
+    """From centre ``c`` to target ``t``, which stands at the centre's shift."""
+    return [F.col(f"t.{a}") + F.col(f"c._s{a}") - F.col(f"c.{a}") for a in AXES]
+
+
+def _length(d: Sequence[Column]) -> Column:
+    return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+
+
 # --- all pairs within a radius -----------------------------------------------
 
 def neighbour_pairs(atoms: DataFrame, radius: float, structures: DataFrame | None = None,
@@ -152,14 +202,12 @@ def neighbour_pairs(atoms: DataFrame, radius: float, structures: DataFrame | Non
     both directions included; otherwise both directions are given.
     """
     edge = F.lit(float(radius))
-    base = atoms.select(STRUCTURE, "atom_id", "number", *AXES)
-    homes, copies = homes_and_images(base, structures, radius)
-    targets = with_cell(copies, edge)
+    placed = homes(atoms.select(STRUCTURE, "atom_id", "number", *AXES), None if structures is None else lattice_table(structures))
     # without images an unordered pair of cells needs one visit only
-    centres = with_cells_around(homes, edge, half and structures is None)
-    joined = centres.alias("c").join(targets.alias("t"), _KEYS)
-    same = (F.col("c.atom_id") == F.col("t.atom_id")) & F.col("t.is_home")
-    rows = joined.where(~same).withColumn("_r", _distance("c", "t")).where(F.col("_r") <= radius)
+    centres = centres_in_cells(placed, radius, half and structures is None)
+    joined = centres.alias("c").join(targets_in_cells(placed, radius).alias("t"), _KEYS)
+    same = (F.col("c.atom_id") == F.col("t.atom_id")) & F.col("c._same")
+    rows = joined.where(~same).withColumn("_r", _length(_apart())).where(F.col("_r") <= radius)
     a, b = F.col("c.atom_id"), F.col("t.atom_id")
     same_cell = [F.col(f"_c{x}") == F.floor(F.col(f"c.{x}") / edge) for x in AXES]
     flip = F.lit(False)
@@ -174,8 +222,7 @@ def neighbour_pairs(atoms: DataFrame, radius: float, structures: DataFrame | Non
     return rows.select(
         STRUCTURE, pick(a, b).alias("atom_id"), pick(F.col("c.number"), F.col("t.number")).alias("number"),
         pick(b, a).alias("other_id"), pick(F.col("t.number"), F.col("c.number")).alias("other_number"),
-        *[(sign * (F.col(f"t.{x}") - F.col(f"c.{x}"))).alias(f"d{x}") for x in AXES],
-        F.col("_r").alias("r"))
+        *[(sign * d).alias(f"d{x}") for d, x in zip(_apart(), AXES)], F.col("_r").alias("r"))
 
 
 def neighbour_list(atoms: DataFrame, radius: float, structures: DataFrame | None = None,
@@ -209,8 +256,7 @@ def _depth(points: DataFrame, radius: float, deepest: int = 16) -> int:
     """
     depth = 0
     while depth < deepest:
-        edge = F.lit(float(radius) / SHRINK ** depth)
-        crowd = with_cell(points, edge).groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        crowd = targets_in_cells(points, float(radius) / SHRINK ** depth).groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
         if crowd is None or crowd <= CROWDED:
             break
         depth += max(1, int(math.log(crowd / CROWDED, SHRINK) / 3))
@@ -226,23 +272,24 @@ def nearest_distances(atoms: DataFrame, radius: float, structures: DataFrame | N
     ``nn`` is the nearest neighbour of the wanted species and NULL if there is none
     in reach; ``nn_any`` tells whether anything at all is in reach.
     """
+    lattice = None if structures is None else cut_lineage(lattice_table(structures))
     places = cut_lineage(_positions(atoms))
-    homes, targets = homes_and_images(places, structures, radius)
+    targets = homes(places, lattice)
     depth = _depth(targets, radius)
+    todo = targets.select(*places.columns)                       # inside the cell already
     if centre_species is not None:
-        homes = homes.where(F.col("number") == centre_species)
+        todo = todo.where(F.col("number") == centre_species)
     wanted = F.lit(True) if neighbour_species is None else F.col("t.number") == neighbour_species
     twin = (F.col("n_atoms") > 1) & (F.lit(True) if neighbour_species is None
                                      else F.col("number") == neighbour_species)
-    todo, done = homes, []
+    done = []
     for level in range(depth, -1, -1):
         reach = float(radius) / SHRINK ** level
-        edge = F.lit(reach)
-        itself = (F.col("c.atom_id") == F.col("t.atom_id")) & F.col("t.is_home")
+        itself = (F.col("c.atom_id") == F.col("t.atom_id")) & F.col("c._same")
         # an inner join: the planner may split a crowded cell on either side
-        near = (with_cells_around(todo.select(STRUCTURE, "atom_id", *AXES), edge).alias("c")
-                .join(with_cell(targets, edge).alias("t"), _KEYS)
-                .withColumn("_r", _distance("c", "t")).where((F.col("_r") <= reach) & ~itself)
+        near = (centres_in_cells(homes(todo.select(STRUCTURE, "atom_id", *AXES), lattice), reach).alias("c")
+                .join(targets_in_cells(targets, reach).alias("t"), _KEYS)
+                .withColumn("_r", _length(_apart())).where((F.col("_r") <= reach) & ~itself)
                 .groupBy(STRUCTURE, F.col("c.atom_id").alias("atom_id"))
                 .agg(F.min(F.when(wanted, F.col("_r"))).alias("nn"), F.min("_r").alias("nn_any")))
         found = todo.join(near, [STRUCTURE, "atom_id"], "left")
@@ -377,6 +424,10 @@ def _length_scales(atoms, radii, distribution, structures, bins, drop_below, cen
         raise ValueError("several cutoffs need min_neighbours=1")
     nn = _nearest_for_scale(atoms, max(radii.values()), structures, centre_species,
                             neighbour_species, min_neighbours)
+    return _scales_of_nearest(nn, radii, distribution, bins, drop_below, neighbour_species)
+
+
+def _scales_of_nearest(nn, radii, distribution, bins, drop_below, neighbour_species) -> DataFrame:
     group = [STRUCTURE, "cutoff_index"]
     cutoffs = F.explode(F.array(*[F.struct(F.lit(i).alias("cutoff_index"), F.lit(float(r)).alias("_radius"))
                                   for i, r in sorted(radii.items())]))
@@ -417,7 +468,18 @@ def scale_factors(atoms: DataFrame, radii: Sequence[float], distribution: str =
             STRUCTURE, (F.col("min_distance") * extrinsic).alias("scale_factor"))
     opts = {"bins": 100, "drop_below": None, "centre_species": None, "neighbour_species": None,
             "min_neighbours": 1, **options}
-    scales = _length_scales(atoms, dict(enumerate(radii)), distribution, structures, **opts)
+    return _first_valid(_length_scales(atoms, dict(enumerate(radii)), distribution, structures, **opts), min_scale, max_scale, extrinsic)
+
+
+def scale_factors_of_nearest(nn: DataFrame, radii: Sequence[float], distribution: str = "quantile_nn", min_scale: float = 0.1,
+                             max_scale: float = 1500.0, extrinsic: float = 1.0, bins: int = 100) -> DataFrame:
+    """``scale_factors`` from known nearest distances ``(structure_id, nn, nn_any, n_atoms)`` up to the largest radius."""
+    if distribution == "min_nn":
+        return nn.where(F.col("nn").isNotNull()).groupBy(STRUCTURE).agg((F.min("nn") * extrinsic).alias("scale_factor"))
+    return _first_valid(_scales_of_nearest(nn, dict(enumerate(radii)), distribution, bins, None, None), min_scale, max_scale, extrinsic)
+
+
+def _first_valid(scales: DataFrame, min_scale: float, max_scale: float, extrinsic: float) -> DataFrame:
     valid = scales.where((F.col("length_scale") > min_scale) & (F.col("length_scale") < max_scale))
     return valid.groupBy(STRUCTURE).agg(
         (F.min_by("length_scale", "cutoff_index") * extrinsic).alias("scale_factor"))

@@ -9,12 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latticeloom.distributed import lookup_join
 from latticeloom.operators import boxes as B
-from latticeloom.operators.fields import average_spectrum, environment_spectrum, spectrum_index
+from latticeloom.operators import boxpairs as P
+from latticeloom.operators.fields import (
+    added_sums, average_spectrum, environment_spectrum, neighbour_sums, spectrum_index, spectrum_of_sums)
 from latticeloom.operators.filters import drop_rare_species, nan_if_thin
 from latticeloom.operators.labels import default_labels
 from latticeloom.operators.ml import committee_samples, score
-from latticeloom.operators.neighbors import neighbour_pairs, scale_cell, scale_factors, scale_structure
+from latticeloom.operators.neighbors import (
+    nearest_distances, neighbour_pairs, scale_cell, scale_factors, scale_factors_of_nearest, scale_structure)
 from latticeloom.operators.structures import apply_operations
 from latticeloom.operators.uncertainty import committee_uncertainty
 from latticeloom.session import cut_lineage
@@ -80,6 +84,50 @@ class EnvironmentDescriptor:
             STRUCTURE, "value")
 
 
+    def calculate_in_boxes(self, atoms: DataFrame, grid: DataFrame, box: Sequence[float], stride: Sequence[float],
+                           source: str = "source") -> DataFrame:
+        """``(structure_id, value)`` of every box as a structure without periodic images, neighbours searched once in the source."""
+        p = self.params
+        ranged = cut_lineage(P.with_box_range(atoms.select(source, "atom_id", "number", *B.AXES), grid, box, stride, source))
+        kept = None
+        if p["min_atoms"]:
+            held = P.in_boxes(ranged.groupBy(STRUCTURE, "number", *P.ENDS).agg(F.count(F.lit(1)).alias("_n")))
+            kept = cut_lineage(held.groupBy("box_id", "number").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= p["min_atoms"]).drop("_n"))
+        length = [p["cutoff"], p["n_max"], p["l_max"]]
+        if not p["scaling"] and kept is None:
+            # pairs that meet in the same boxes are summed before they are handed out
+            sums = neighbour_sums(P.ranged_pairs(ranged, ranged, p["cutoff"]), *length, [STRUCTURE, "atom_id", *P.ENDS])
+            sums = added_sums(P.in_boxes(sums), p["n_max"], p["l_max"], ["box_id", "atom_id"])
+            spectra = spectrum_of_sums(sums, p["n_max"], p["l_max"], ["box_id", "atom_id"])
+        else:
+            reach, factors = p["cutoff"], None
+            if p["scaling"]:
+                factors = cut_lineage(scale_factors_of_nearest(
+                    self._nearest(ranged, kept), p["scaling_radii"], p["scaling"], *p["scale_limits"], p["extrinsic"])
+                    .withColumnRenamed(STRUCTURE, "box_id"))
+                reach *= factors.agg(F.max("scale_factor")).first()[0] or 0.0
+            if not reach:
+                return ranged.limit(0).select(STRUCTURE, F.array().cast("array<double>").alias("value"))
+            pairs = P.in_boxes(P.ranged_pairs(ranged, ranged, reach).drop("other_id"))
+            if kept is not None:
+                pairs = (pairs.join(kept, ["box_id", "number"], "left_semi")
+                         .join(kept.withColumnRenamed("number", "other_number"), ["box_id", "other_number"], "left_semi"))
+            if factors is not None:
+                pairs = lookup_join(pairs, factors, "box_id").select(
+                    "box_id", "atom_id", *[(F.col(c) / F.col("scale_factor")).alias(c) for c in ("dx", "dy", "dz", "r")])
+            sums = neighbour_sums(pairs, *length, ["box_id", "atom_id"])
+            spectra = spectrum_of_sums(sums, p["n_max"], p["l_max"], ["box_id", "atom_id"])
+        return average_spectrum(spectra.withColumnRenamed("box_id", STRUCTURE), self.length).select(STRUCTURE, "value")
+
+    def _nearest(self, ranged: DataFrame, kept: DataFrame | None) -> DataFrame:
+        """Nearest distances in each box, among the species that the box keeps."""
+        radius = max(self.params["scaling_radii"])
+        if kept is None:
+            return P.nearest_in_boxes(ranged, radius).withColumnRenamed("box_id", STRUCTURE)
+        boxed = P.in_boxes(ranged).join(kept, ["box_id", "number"], "left_semi").drop(STRUCTURE)
+        return nearest_distances(boxed.withColumnRenamed("box_id", STRUCTURE), radius)
+
+
 register_descriptor("environment_spectrum", EnvironmentDescriptor)
 
 
@@ -133,15 +181,18 @@ def box_descriptors(atoms: DataFrame, descriptor: Descriptor, box: Sequence[floa
                     source: str = "source") -> DataFrame:
     """Descriptor per box of large structures: ``(source, kz, iy, jx, n_atoms, value)``.
 
-    All sources go through together; the atoms are read once, whatever the number of
-    boxes. Boxes with ``min_atoms`` or fewer atoms get NaNs and keep their place.
+    All sources go through together. A descriptor that offers ``calculate_in_boxes`` searches neighbours once in the source
+    and hands each pair to the boxes that hold both ends; others get each box as a structure of its own. Boxes with ``min_atoms`` or fewer atoms get NaNs and keep their place.
     """
     pads = B.axis_padding(atoms, box, padding_ratio, source)
     grid = cut_lineage(B.box_grid(atoms, box, stride, pads, source=source))
     members = B.assign_boxes(atoms, grid, box, stride, source)
     pops = B.box_populations(members, grid, source).withColumn(
         STRUCTURE, F.concat_ws("_", source, *B.BOX))
-    values = descriptor.calculate(B.box_structures(members, source), pops.select(STRUCTURE))
+    if hasattr(descriptor, "calculate_in_boxes"):
+        values = descriptor.calculate_in_boxes(atoms, grid, box, stride, source)
+    else:
+        values = descriptor.calculate(B.box_structures(members, source), pops.select(STRUCTURE))
     empty = F.array_repeat(F.lit(float("nan")), descriptor.length)
     return (pops.join(values, STRUCTURE, "left").withColumn("value", F.coalesce("value", empty))
             .withColumn("value", nan_if_thin(F.col("value"), F.col("n_atoms"), min_atoms)))

@@ -344,3 +344,53 @@ def test_box_sizes_per_source(spark):
     assert got["dense"]["size_id"] != got["thin"]["size_id"]
     none = G.optimal_box_sizes(atoms, (2.0,) * 3, 5000, 4, 4, 3, 0.1, (1.5,) * 3).collect()
     assert len(none) == 2 and all(r["size_id"] is None for r in none)
+
+
+@pytest.mark.parametrize("options", [{"scaling": None}, {"scaling": "avg_nn", "scaling_radii": (8.0,)}, {"scaling": "quantile_nn", "scaling_radii": (1.0, 8.0)},
+                                     {"scaling": None, "min_atoms": 4}, {"scaling": "avg_nn", "scaling_radii": (8.0,), "min_atoms": 4}])
+def test_pairs_handed_to_boxes_give_the_same_descriptors(spark, options):
+    rng = np.random.default_rng(2)
+    rows = [(s, i, int(rng.integers(1, 3)), *map(float, p)) for s, n, w in (("a", 150, 8.0), ("b", 20, 8.0)) for i, p in enumerate(rng.uniform(0, w, (n, 3)))]
+    rows += [("a", 1000 + i, 1, 2.0, 2.0, 2.0) for i in range(3)]                     # atoms at one place
+    atoms = spark.createDataFrame(rows, "source string, atom_id long, number int, x double, y double, z double")
+    desc = EnvironmentDescriptor(2.0, 2, 2, periodic=False, **options)
+
+    class Plain:
+        name, params, length = desc.name, desc.params, desc.length
+        calculate = desc.calculate
+
+    got, want = ({r["structure_id"]: r["value"] for r in box_descriptors(atoms, d, (4.0, 4.0, 4.0), (1.5, 2.0, 3.0), (0.0,) * 3).collect()}
+                 for d in (desc, Plain()))
+    assert got.keys() == want.keys() and len(got) > 60
+    for k in got:
+        assert np.allclose(got[k], want[k], equal_nan=True, atol=1e-9), k
+    assert sum(not np.isnan(v).any() for v in got.values()) > 20
+
+
+def test_periodic_cell_list_equals_images(spark):
+    rng = np.random.default_rng(9)
+    cells = {"cubic": (np.eye(3) * 4.0, (True,) * 3), "skewed": (np.array([[3.0, 0, 0], [2.4, 2.0, 0], [-1.1, 1.3, 1.7]]), (True,) * 3),
+             "slab": (np.array([[2.0, 0, 0], [1.5, 2.5, 0], [0, 0, 0]]), (True, True, False)), "open": (np.eye(3) * 5.0, (False,) * 3),
+             "tiny": (np.diag([0.7, 1.1, 9.0]), (True,) * 3)}
+    rows, place = [], {}
+    for name, (cell, pbc) in cells.items():
+        place[name] = rng.uniform(-6, 6, (7, 3)) if name == "open" else rng.uniform(-2, 2, (7, 3)) @ (cell + np.diag([0, 0, 1.0 if name == "slab" else 0]))
+        rows += [(name, i, 1, *map(float, p)) for i, p in enumerate(place[name])]
+    atoms = spark.createDataFrame(rows, "structure_id string, atom_id long, number int, x double, y double, z double")
+    structures = spark.createDataFrame([(n, c.tolist(), list(p)) for n, (c, p) in cells.items()],
+                                       "structure_id string, cell array<array<double>>, pbc array<boolean>")
+    radius = 2.3
+    got = sorted((r["structure_id"], r["atom_id"], r["other_id"], round(r["r"], 6)) for r in N.neighbour_pairs(atoms, radius, structures).collect())
+    want = []
+    for name, (cell, pbc) in cells.items():
+        steps = [range(-12, 13) if p else (0,) for p in pbc]
+        shifts = np.array([np.array(k) @ cell for k in itertools.product(*steps)])
+        for i, p in enumerate(place[name]):
+            for j, q in enumerate(place[name]):
+                r = np.linalg.norm(q + shifts - p, axis=1)
+                want += [(name, i, j, round(float(v), 6)) for v in r[(r <= radius) & ((r > 1e-12) | (i != j))]]
+    assert got == sorted(want) and len(got) > 500
+    nearest = {(r["structure_id"], r["atom_id"]): r["nn"] for r in N.nearest_distances(atoms, radius, structures).collect()}
+    for k in nearest:
+        close = [r for s, i, _, r in want if (s, i) == k]
+        assert (nearest[k] is None and not close) or nearest[k] == pytest.approx(min(close), abs=1e-6)
