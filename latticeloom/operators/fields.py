@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticeloom.distributed import lookup_join
@@ -256,36 +256,95 @@ def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return chain(pts) + chain(reversed(pts))
 
 
-def convex_hulls(points: DataFrame, label: str, x: str = "x", y: str = "y", groups: int = 64) -> DataFrame:
-    """Hull corners of each class in counter-clockwise order: ``(label, corner, x, y)``.
+#: Directions in counter-clockwise order, from the least x on.
+_ROUND = ((-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1))
 
-    Every task first reduces its own rows of each class to their hull, so a class
-    with a third of all rows reaches the final step as a few corners per task.
-    A class with one distinct point has no hull.
+
+def _side(ax, ay, bx, by, x, y):
+    """Above 0 to the left of the line from a to b."""
+    return (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+
+
+def convex_hulls(points: DataFrame, label: str, x: str = "x", y: str = "y", most: int = 20_000) -> DataFrame:
+    """Hull corners of each class in counter-clockwise order from the least x: ``(label, corner, x, y)``.
+
+    The points of a class that lie farthest in eight directions are corners. Points inside their polygon are dropped; each
+    other one lies beyond one side, and what is hull beyond a side depends on the points there alone. A side with more
+    than ``most`` points is split at its farthest point, which drops the points inside the triangle, until none is left; then each
+    side is finished by itself. So the corners of a class, however many, never meet in one task. A class with one distinct
+    point has no hull; null classes are a class, points with a null coordinate are left out.
     """
-    kind = points.schema[label].dataType.simpleString()
-    schema = f"`{label}` {kind}, x double, y double"
-
-    def partial(batches):
-        kept: dict = {}
-        for pdf in batches:
-            for name, part in pdf.groupby("label", sort=False):
-                kept[name] = _hull(kept.get(name, []) + list(zip(part["x"], part["y"])))
-        for name, hull in kept.items():
-            yield pd.DataFrame({label: pd.Series([name] * len(hull), dtype=object), "x": [p[0] for p in hull], "y": [p[1] for p in hull]})
-
-    def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        hull = _hull(list(zip(pdf["x"], pdf["y"])))
-        if len(hull) < 2:
-            hull = []
-        return pd.DataFrame({label: pd.Series([pdf[label].iloc[0]] * len(hull), dtype=object), "corner": range(len(hull)),
-                             "x": [p[0] for p in hull], "y": [p[1] for p in hull]})
-
-    rows = points.select(F.col(label).alias("label"), F.col(x).cast("double").alias("x"),
-                         F.col(y).cast("double").alias("y"))
-    out = f"`{label}` {kind}, corner int, x double, y double"
-    # two rounds: tasks, then 64 groups per class, then one group of corners per class
-    first = rows.mapInPandas(partial, schema)
-    spread = first.repartition(groups, F.col(label), F.pmod(F.xxhash64("x", "y"), F.lit(groups)))
-    return (spread.select(F.col(label).alias("label"), "x", "y").mapInPandas(partial, schema)
-            .groupBy(label).applyInPandas(final, out))
+    at = points.select(F.struct(F.col(label)).alias("c"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    far = [F.max(F.struct((F.col("x") * u + F.col("y") * v).alias("d"), (F.col("y") * u - F.col("x") * v).alias("t"), "x", "y")).alias(f"e{k}")
+           for k, (u, v) in enumerate(_ROUND)]
+    ends = cut_lineage(at.groupBy("c").agg(*far).select(
+        "c", *[F.col(f"e{k}.{n}").alias(f"{n}{k}") for k in range(8) for n in "xy"]))
+    # one row a class; a class with a third of the points is split by the planner
+    side = F.lit(None).cast("int")
+    for k in reversed(range(8)):
+        n = (k + 1) % 8
+        side = F.when(_side(*(F.col(f"{c}{i}") for i in (k, n) for c in "xy"), F.col("x"), F.col("y")) < 0, k).otherwise(side)
+    beyond = lookup_join(at, ends, "c").select("c", side.alias("k"), "x", "y", *[f"{n}{i}" for i in range(8) for n in "xy"]).where("k IS NOT NULL")
+    pick = lambda n, step: F.get(F.array(*[F.col(f"{n}{(i + step) % 8}") for i in range(8)]), F.col("k"))
+    rows = cut_lineage(beyond.select("c", F.col("k").cast("string").alias("path"), pick("x", 0).alias("ax"), pick("y", 0).alias("ay"),
+                                     pick("x", 1).alias("bx"), pick("y", 1).alias("by"), "x", "y"))
+    same = lambda i, j: (F.col(f"x{i}") == F.col(f"x{j}")) & (F.col(f"y{i}") == F.col(f"y{j}"))
+    start = F.filter(F.array(*[F.when(F.lit(True) if k == 0 else ~same(k, k - 1) & ~same(k, 0), F.struct(
+        F.lit(str(k)).alias("path"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"))) for k in range(8)]), lambda s: s.isNotNull())
+    # a class of one place has one corner and no hull
+    corners = ends.where(F.size(start) > 1).select("c", F.explode(start).alias("s")).select("c", "s.path", F.lit(-1).alias("place"), "s.x", "s.y")
+    sides = ["c", "path", "ax", "ay", "bx", "by"]
+    while True:
+        large = cut_lineage(rows.groupBy(*sides).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(
+            (-_side(*(F.col(n) for n in sides[2:]), F.col("x"), F.col("y"))).alias("d"),
+            ((F.col("bx") - F.col("ax")) * F.col("x") + (F.col("by") - F.col("ay")) * F.col("y")).alias("t"), "x", "y")).alias("f")).where(F.col("n") > most))
+        if large.isEmpty():
+            break
+        split = lookup_join(rows, large.select("c", "path", F.col("f.x").alias("fx"), F.col("f.y").alias("fy")), ["c", "path"], "left")
+        ours, xy = F.col("fx").isNotNull(), (F.col("x"), F.col("y"))
+        first = _side(F.col("ax"), F.col("ay"), F.col("fx"), F.col("fy"), *xy) < 0
+        second = _side(F.col("fx"), F.col("fy"), F.col("bx"), F.col("by"), *xy) < 0
+        part = F.when(~ours, "").when(first, "0").when(second, "1")
+        corners = corners.unionByName(large.select("c", F.concat("path", F.lit("1")).alias("path"), F.lit(-1).alias("place"), "f.x", "f.y"))
+        one, two = ours & first, ours & ~first
+        rows = cut_lineage(split.withColumn("_p", part).where(F.col("_p").isNotNull()).select(
+            "c", F.concat("path", "_p").alias("path"), F.when(two, F.col("fx")).otherwise(F.col("ax")).alias("ax"),
+            F.when(two, F.col("fy")).otherwise(F.col("ay")).alias("ay"), F.when(one, F.col("fx")).otherwise(F.col("bx")).alias("bx"),
+            F.when(one, F.col("fy")).otherwise(F.col("by")).alias("by"), "x", "y"))
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (pdf["ax"].iloc[0], pdf["ay"].iloc[0]), (pdf["bx"].iloc[0], pdf["by"].iloc[0])
+        hull = _hull([a, b, *zip(pdf["x"], pdf["y"])])
+        hull = hull[hull.index(a):] + hull[:hull.index(a)]
+        inner = hull[1:hull.index(b)]
+        return pd.DataFrame({"id": pdf["id"].iloc[0], "path": pdf["path"].iloc[0], "place": range(len(inner)),
+                             "x": [q[0] for q in inner], "y": [q[1] for q in inner]})
+
+    # classes travel as numbers, whatever their type
+    named = ends.select("c", F.monotonically_increasing_id().alias("id"))
+    finished = (lookup_join(rows, named, "c").select("id", *sides[1:], "x", "y").groupBy("id", "path")
+                .applyInPandas(finish, "id long, path string, place int, x double, y double"))
+    every = cut_lineage(lookup_join(corners, named, "c").select("id", "path", "place", "x", "y").unionByName(finished))
+    every = _without_flat_starts(every)
+    per_side = every.groupBy("id", "path").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("low"))
+    before = Window.partitionBy("id").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)      # sides, not points
+    first = per_side.select("id", "path", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("low")).alias("first"))
+    numbered = lookup_join(lookup_join(every, first, ["id", "path"]), named, "id")
+    return numbered.select(F.col(f"c.{label}").alias(label), (F.col("first") + F.col("place")).cast("int").alias("corner"), "x", "y")
+
+
+def _without_flat_starts(corners: DataFrame) -> DataFrame:
+    """Drop starts of sides that rounding made corners though they lie on the line between their neighbours."""
+    ends = corners.groupBy("id", "path").agg(
+        F.min_by(F.struct("x", "y"), F.when(F.col("place") >= 0, F.col("place"))).alias("after"), F.max_by(F.struct("x", "y"), "place").alias("last"),
+        F.min_by(F.struct("x", "y"), F.when(F.col("place") < 0, F.col("place"))).alias("start"), F.max("place").alias("top"))
+    ends = ends.withColumn("head", F.coalesce("start", "after"))
+    around = Window.partitionBy("id").orderBy("path")
+    whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.select("id", "path", "start",
+                       F.coalesce(F.lag("last").over(around), F.last("last").over(whole)).alias("prev"),
+                       F.coalesce(F.when(F.col("top") >= 0, F.col("after")), F.lead("head").over(around), F.first("head").over(whole)).alias("next"))
+    turn = _side(F.col("prev.x"), F.col("prev.y"), F.col("start.x"), F.col("start.y"), F.col("next.x"), F.col("next.y"))
+    # with two corners in all, both ends are neighbours of each other
+    flat = ends.where((turn <= 0) & (F.col("prev") != F.col("next"))).select("id", "path", F.lit(-1).alias("place"))
+    return corners.join(flat, ["id", "path", "place"], "left_anti")

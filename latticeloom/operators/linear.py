@@ -9,26 +9,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DIM = 4096
 MODES = {"mean-variance": (True, True), "mean": (True, False), "variance": (False, True), "none": (False, False)}
 
 
 def dimension(df: DataFrame, vec: str = "vec") -> int:
     """Vector length of the first row; the passes over all rows check the others."""
     first = df.select(F.size(vec)).first()
-    if first is None or not 1 <= first[0] <= MAX_DIM:
-        raise ValueError(f"vectors must have 1 to {MAX_DIM} components")
+    if first is None or first[0] < 1:
+        raise ValueError("vectors must have a component at least")
     return first[0]
 
 
 def column_moments(df: DataFrame, vec: str = "vec", dim: int | None = None) -> tuple[list[float], list[float]]:
-    """Mean and population deviation per component: two numbers each reach the driver."""
+    """Mean and population deviation per component, from one mergeable summary; two numbers each reach the driver."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
     dim = dim or dimension(df, vec)
-    r = df.agg(F.min(F.size(vec)).alias("lo"), F.max(F.size(vec)).alias("hi"), *[f(F.get(vec, F.lit(i))).alias(f"{n}{i}") for i in range(dim)
-                 for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    rows = df.select(F.col(vec).cast("array<double>").alias("_v"))
+    r = rows.agg(F.min(F.size("_v")).alias("lo"), F.max(F.size("_v")).alias("hi"), F.count("_v").alias("n")).first()
     if (r["lo"], r["hi"]) != (dim, dim):
         raise ValueError(f"vector lengths differ: {r['lo']} to {r['hi']}")
-    return [r[f"m{i}"] for i in range(dim)], [r[f"s{i}"] for i in range(dim)]
+    s = rows.select(Summarizer.metrics("mean", "variance").summary(array_to_vector("_v")).alias("s")).select("s.*").first()
+    spread = np.sqrt(np.asarray(s["variance"]) * (r["n"] - 1) / r["n"])
+    return [float(v) for v in s["mean"]], [float(v) for v in spread]
 
 
 def _affine(vec: Column, centre: Sequence[float], spread: Sequence[float]) -> Column:
@@ -69,23 +73,90 @@ def gram_matrix(df: DataFrame, vec: str = "vec", dim: int | None = None) -> tupl
 
     parts = df.select(F.col(vec).cast("array<double>").alias("v")).mapInPandas(
         blocks, "i int, row array<double>, n long")
-    rows = parts.groupBy("i").agg(F.sum("n").alias("n"), *[F.sum(F.col("row")[j]).alias(f"g{j}") for j in range(dim)]) \
-        .orderBy("i").collect() if dim <= 200 else None
-    if rows is None:        # many columns: sum in long form instead of one wide aggregate
-        cells = parts.select("i", F.posexplode("row").alias("j", "g"), "n").groupBy("i", "j").agg(
-            F.sum("g").alias("g"), F.sum("n").alias("n")).toPandas()
-        out = np.zeros((dim, dim))
-        out[cells["i"], cells["j"]] = cells["g"]
-        return int(cells["n"].iloc[0]), out
-    return int(rows[0]["n"]), np.array([[r[f"g{j}"] for j in range(dim)] for r in rows])
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": [pdf["i"].iloc[0]], "row": [np.sum(np.vstack(pdf["row"].to_numpy()), axis=0)], "n": [pdf["n"].sum()]})
+
+    # a row of the matrix from each task
+    rows = parts.groupBy("i").applyInPandas(added, "i int, row array<double>, n long").orderBy("i").collect()
+    if not rows:
+        return 0, np.zeros((dim, dim))
+    return int(rows[0]["n"]), np.array([r["row"] for r in rows])
 
 
-def project(df: DataFrame, basis: np.ndarray, vec: str = "vec", out: str = "coords") -> DataFrame:
-    """Dot products with the columns of ``basis``."""
-    axes = [F.aggregate(F.zip_with(F.col(vec), F.array(*[F.lit(float(b)) for b in basis[:, k]]),
-                                   lambda x, y: x * y), F.lit(0.0), lambda a, v: a + v)
-            for k in range(basis.shape[1])]
-    return df.withColumn(out, F.array(*axes))
+def _power_block(df: DataFrame, vec: str, centre: np.ndarray, spread: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """``X^T X block`` for the rows x = (v - centre) / spread: the sum over tasks of d x l numbers, d x d ones never arise."""
+    shared = df.sparkSession.sparkContext.broadcast((centre, spread, block))
+    wide = block.shape[1]
+
+    def products(batches):
+        mid, by, w = shared.value
+        total, seen = np.zeros(w.shape), False
+        for pdf in batches:
+            for at in range(0, len(pdf), 512):
+                x = (np.vstack(pdf["v"].iloc[at:at + 512].to_numpy()) - mid) / by
+                total += x.T @ (x @ w)
+                seen = True
+        if seen:
+            yield pd.DataFrame({"i": range(len(total)), "row": list(total)})
+
+    parts = df.select(F.col(vec).cast("array<double>").alias("v")).mapInPandas(products, "i int, row array<double>")
+    out = np.zeros(block.shape)
+    for r in parts.groupBy("i").agg(F.array(*[F.sum(F.col("row")[j]) for j in range(wide)]).alias("row")).toLocalIterator():
+        out[r["i"]] = r["row"]
+    return out
+
+
+def top_directions(df: DataFrame, k: int, centre: Sequence[float], spread: Sequence[float], vec: str = "vec", extra: int = 10,
+                   tolerance: float = 1e-10, passes: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest eigenvalues of X^T X and their directions (d x k), by a randomised block Krylov method.
+
+    From a seeded random block of k + ``extra`` columns each pass over the rows multiplies the newest block of an orthonormal
+    basis by X^T X. The products of all blocks with the basis are the small matrix whose eigenvectors are the directions. The
+    passes end when the k eigenvalues settle, or the basis spans all d components. What the driver holds is d x (passes x block).
+    """
+    dim = len(centre)
+    wide = min(dim, k + extra)
+    mid, by = np.asarray(centre, dtype=float), np.asarray(spread, dtype=float)
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, wide)))[0]
+    images, newest, last = np.zeros((dim, 0)), basis, None
+    for _ in range(passes):
+        images = np.hstack([images, _power_block(df, vec, mid, by, newest)])
+        small = basis.T @ images
+        values, turned = np.linalg.eigh((small + small.T) / 2)
+        top = np.argsort(values)[::-1][:k]
+        found = values[top]
+        settled = last is not None and np.all(np.abs(found - last) <= tolerance * max(abs(found[0]), 1e-300))
+        if settled or basis.shape[1] >= dim:
+            return found, basis @ turned[:, top]
+        last = found
+        fresh = images[:, -newest.shape[1]:]
+        for _ in range(2):                                          # twice is enough for an orthonormal basis
+            fresh = fresh - basis @ (basis.T @ fresh)
+        size = np.linalg.norm(fresh, axis=0)
+        fresh = fresh[:, size > 1e-12 * max(abs(found[0]), 1e-300)]
+        if not fresh.shape[1]:
+            return found, basis @ turned[:, top]
+        newest = np.linalg.qr(fresh)[0][:, :dim - basis.shape[1]]
+        newest = np.linalg.qr(newest - basis @ (basis.T @ newest))[0]
+        basis = np.hstack([basis, newest])
+    raise RuntimeError(f"the {k} largest eigenvalues have not settled after {passes} passes")
+
+
+def project(df: DataFrame, basis: np.ndarray, vec: str = "vec", out: str = "coords", centre: Sequence[float] | None = None,
+            spread: Sequence[float] | None = None) -> DataFrame:
+    """Dot products of (vec - centre) / spread with the columns of ``basis``, in Arrow batches."""
+    mid = np.zeros(len(basis)) if centre is None else np.asarray(centre, dtype=float)
+    by = np.ones(len(basis)) if spread is None else np.asarray(spread, dtype=float)
+    shared = df.sparkSession.sparkContext.broadcast((mid, by, basis))
+
+    @F.pandas_udf("array<double>")
+    def dots(vectors: pd.Series) -> pd.Series:
+        centre_, spread_, columns = shared.value
+        rows = vectors.to_numpy()
+        parts = [((np.vstack(rows[at:at + 512]) - centre_) / spread_) @ columns for at in range(0, len(rows), 512)]
+        return pd.Series(list(np.vstack(parts)) if parts else [], dtype=object)
+
+    return df.withColumn(out, dots(F.col(vec).cast("array<double>")))
 
 
 def _fixed_sign(basis: np.ndarray) -> np.ndarray:
@@ -96,26 +167,23 @@ def _fixed_sign(basis: np.ndarray) -> np.ndarray:
 
 def pca(df: DataFrame, k: int = 2, mode: str = "mean-variance", vec: str = "vec") -> tuple[DataFrame, float]:
     """First ``k`` principal coordinates and their share of the variance."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-
-    ready = standardise(df, mode, vec)
-    dim = dimension(ready, vec)
-    mean = [0.0] * dim if MODES[mode][0] else column_moments(ready, vec, dim)[0]
-    centred = ready.withColumn("_x", _affine(F.col(vec), mean, [1.0] * len(mean)))
-    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(centred.select(array_to_vector("_x").alias("_v")))
-    basis = _fixed_sign(model.pc.toArray())
-    return project(centred, basis, "_x").drop("_x"), float(sum(model.explainedVariance))
+    mean, std = column_moments(df, vec)
+    scale = [s if s else 1.0 for s in std] if MODES[mode][1] else [1.0] * len(std)
+    values, vectors = top_directions(df, min(k, len(mean)), mean, scale, vec)
+    total = df.count() * sum((s / w) ** 2 for s, w in zip(std, scale))
+    # after a division alone the coordinates are centred as well, as the directions are those of the covariance
+    return project(df, _fixed_sign(vectors), vec, centre=mean, spread=scale), float(values.sum() / total) if total else 0.0
 
 
 def truncated_svd(df: DataFrame, k: int = 2, mode: str = "mean-variance",
                   vec: str = "vec") -> tuple[DataFrame, np.ndarray]:
     """Projection on the first ``k`` right singular vectors, and the singular values."""
-    ready = standardise(df, mode, vec)
-    _, gram = gram_matrix(ready, vec)
-    values, vectors = np.linalg.eigh(gram)
-    top = np.argsort(values)[::-1][:k]
-    return project(ready, _fixed_sign(vectors[:, top]), vec), np.sqrt(np.maximum(values[top], 0.0))
+    centre, spread = MODES[mode]
+    mean, std = column_moments(df, vec) if centre or spread else ([0.0] * dimension(df, vec), None)
+    mid = mean if centre else [0.0] * len(mean)
+    scale = [s if s else 1.0 for s in std] if spread else [1.0] * len(mean)
+    values, vectors = top_directions(df, min(k, len(mean)), mid, scale, vec)
+    return project(df, _fixed_sign(vectors), vec, centre=mid, spread=scale), np.sqrt(np.maximum(values, 0.0))
 
 
 def table_report(df: DataFrame, vec: str = "vec") -> DataFrame:

@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticeloom.distributed import lookup_join
-from latticeloom.operators.linear import standardise
+from latticeloom.functions.vectors import normalised
+from latticeloom.operators.linear import gram_matrix, project, standardise
 from latticeloom.session import cut_lineage
 
 
@@ -67,12 +69,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             out = out.union(low.select("a", F.col("m").alias("b")))
         return out.where(F.col("a") != F.col("b")).distinct()
 
+    def told(e: DataFrame) -> tuple:
+        # number and two sums of hashes of the edges: equal when the edges are
+        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first())
+
+    last = None
     for _ in range(max_rounds):
-        new = cut_lineage(star(star(edges, True), False))
-        same = new.count() == edges.count() and new.exceptAll(edges).limit(1).count() == 0
-        edges = new
-        if same:
+        edges = cut_lineage(star(star(edges, True), False))
+        now = told(edges)
+        if now == last:
             break
+        last = now
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
@@ -95,8 +102,7 @@ def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 50, key: str = "i
     cells = [f"_c{i}" for i in range(d)]
     places = df.groupBy(*dims).agg(F.min(key).alias("pid"), F.count(F.lit(1)).alias("w"))
     places = cut_lineage(places.select("*", *[F.floor(F.col(c) / edge).alias(k) for c, k in zip(dims, cells)]))
-    crowd = places.groupBy(*cells).agg(F.sum("w").alias("cell_w"))
-    placed = places.join(crowd, cells)
+    crowd = cut_lineage(places.groupBy(*cells).agg(F.sum("w").alias("cell_w"), F.count(F.lit(1)).alias("cell_n"), F.min("pid").alias("cell")))
 
     steps = F.sequence(F.lit(-reach), F.lit(reach))
     offsets = F.transform(steps, lambda i: F.array(i))
@@ -119,60 +125,126 @@ def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 50, key: str = "i
             total = t if total is None else total + t
         return F.sqrt(total) <= eps
 
-    sparse = placed.where(F.col("cell_w") < min_samples)
-    degree = (around_cells(sparse.select("pid", *dims, *cells)).alias("a")
-              .join(placed.select("pid", "w", *dims, *cells).alias("b"), cells).where(near("a", "b"))
-              .groupBy(F.col("a.pid").alias("pid")).agg(F.sum("b.w").alias("deg")))
-    core = cut_lineage(placed.join(degree, "pid", "left").withColumn(
+    # a point of a sparse cell reads the points of cells with few points, and the counted boxes of the others
+    placed = places.join(crowd, cells)
+    packed = F.col("cell_n") > DENSE_CELL
+    looks = around_cells(placed.where(F.col("cell_w") < min_samples).select("pid", *dims, *cells))
+    counted = (looks.alias("a").join(placed.where(~packed).select("pid", "w", *dims, *cells).alias("b"), cells).where(near("a", "b"))
+               .groupBy(F.col("a.pid").alias("pid")).agg(F.sum("b.w").alias("deg")))
+    if not crowd.where(packed).isEmpty():
+        boxes = Boxes(placed.where(packed).select("cell", "pid", "w", *dims), dims, edge)
+        pairs = looks.join(crowd.where(packed).select("cell", *cells), cells).select("pid", *dims, "cell")
+        within = boxes.within(pairs, eps, min_samples, counted)
+        counted = (counted.unionByName(within.select("pid", F.col("n").alias("deg"))).groupBy("pid").agg(F.sum("deg").alias("deg")))
+    core = cut_lineage(placed.join(counted, "pid", "left").withColumn(
         "is_core", (F.col("cell_w") >= min_samples) | (F.col("deg") >= min_samples)).na.fill(False, ["is_core"]))
     cores = core.where("is_core").select("pid", *dims, *cells)
     heads = cut_lineage(cores.groupBy(*cells).agg(F.min("pid").alias("head"), F.count(F.lit(1)).alias("n")))
-    linked = _linked_cells(cores, heads, dims, cells, edge, eps, around_cells, near)
+    inside = cores.join(heads, cells)
+    linked = _linked_cells(inside, heads, dims, cells, edge, eps, around_cells, near)
     comps = connected_components(linked).withColumnsRenamed({"id": "head"})
-    core_cluster = cut_lineage(cores.join(heads, cells).join(comps, "head", "left").select(
-        "pid", *dims, *cells, F.coalesce("component", "head").alias("cluster")))
-    border = core.where(~F.col("is_core")).select("pid", *dims, *cells)
-    joined = (around_cells(border).alias("a").join(core_cluster.alias("b"), cells).where(near("a", "b"))
-              .groupBy(F.col("a.pid").alias("pid"))
-              .agg(F.min_by("b.cluster", "b.pid").alias("cluster")))
-    named = core_cluster.select("pid", "cluster", F.lit(True).alias("is_core")).union(
-        joined.select("pid", "cluster", F.lit(False)))
+    cell_cluster = cut_lineage(heads.join(comps, "head", "left").select(*cells, "head", "n", F.coalesce("component", "head").alias("cluster")))
+    core_cluster = cores.join(cell_cluster, cells)
+    border = around_cells(core.where(~F.col("is_core")).select("pid", *dims, *cells))
+    few = core_cluster.where(F.col("n") <= DENSE_CELL)
+    joined = (border.alias("a").join(few.alias("b"), cells).where(near("a", "b"))
+              .select(F.col("a.pid").alias("pid"), F.struct(F.col("b.pid").alias("low"), F.col("b.cluster").alias("cluster")).alias("best")))
+    many = cell_cluster.where(F.col("n") > DENSE_CELL)
+    if not many.isEmpty():
+        boxes = Boxes(core_cluster.where(F.col("n") > DENSE_CELL).select(F.col("head").alias("cell"), "pid", F.lit(1).alias("w"), *dims), dims, edge)
+        pairs = border.join(many.select(F.col("head").alias("cell"), *cells), cells).select("pid", *dims, "cell")
+        found = boxes.within(pairs, eps).join(many.select(F.col("head").alias("cell"), "cluster"), "cell")
+        joined = joined.unionByName(found.select("pid", F.struct("low", "cluster").alias("best")))
+    joined = joined.groupBy("pid").agg(F.min("best").alias("best")).select("pid", F.col("best.cluster").alias("cluster"))
+    named = core_cluster.select("pid", "cluster", F.lit(True).alias("is_core")).union(joined.select("pid", "cluster", F.lit(False)))
     at = core.select(*dims, "pid").join(named, "pid", "left")
     return df.join(at, list(dims)).select(
         F.col(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
 
 
-DENSE_CELL = 64       # core points; pairs of denser cells are never compared point by point
+DENSE_CELL = 64       # points; denser cells are never read point by point from outside
 
 
-def _linked_cells(cores: DataFrame, heads: DataFrame, dims: Sequence[str], cells: Sequence[str], edge: float,
+class Boxes:
+    """Counted bounding boxes of the points of dense cells, halved level by level.
+
+    ``points`` are ``(cell, pid, w, *dims)``. A box has the number of its points, their smallest id, and the ends of its points
+    along each axis, so a box of one position has no extent and every question about it is decided.
+    """
+
+    def __init__(self, points: DataFrame, dims: Sequence[str], edge: float):
+        self.points, self.dims, self.edge = cut_lineage(points), list(dims), edge
+
+    def level(self, level: int, prefix: str = "") -> DataFrame:
+        size = self.edge / 2 ** level
+        index = [F.floor(F.col(c) / size).alias(f"{prefix}k{i}") for i, c in enumerate(self.dims)]
+        return self.points.groupBy(F.col("cell").alias(f"{prefix}cell"), *index).agg(
+            F.sum("w").alias(f"{prefix}n"), F.min("pid").alias(f"{prefix}low"),
+            *[f(c).alias(f"{prefix}{n}{i}") for i, c in enumerate(self.dims) for n, f in (("lo", F.min), ("hi", F.max))])
+
+    def within(self, pairs: DataFrame, eps: float, stop: int | None = None, known: DataFrame | None = None) -> DataFrame:
+        """``(pid, cell, n, low)``: how many points of a cell lie within ``eps`` of a point, and their smallest id.
+
+        ``pairs`` are ``(pid, *dims, cell)``. Boxes wholly within reach are counted, boxes out of reach are dropped, the others
+        are halved. With ``stop``, a point that has found so many, ``known`` ones ``(pid, deg)`` included, looks no further.
+        """
+        d = len(self.dims)
+        gap = lambda i: F.greatest(F.col(f"lo{i}") - F.col(self.dims[i]), F.col(self.dims[i]) - F.col(f"hi{i}"), F.lit(0.0))
+        span = lambda i: F.greatest(F.abs(F.col(f"lo{i}") - F.col(self.dims[i])), F.abs(F.col(f"hi{i}") - F.col(self.dims[i])))
+        length = lambda part: F.sqrt(sum((part(i) * part(i) for i in range(1, d)), part(0) * part(0)))
+        keep = ["pid", *self.dims, "cell"]
+        active, found, level = pairs.select(*keep), None, 0
+        while True:
+            box = self.level(level)
+            if level == 0:
+                met = active.join(box, "cell")
+            else:
+                up = [F.floor(F.col(f"k{i}") / 2).alias(f"p{i}") for i in range(d)]
+                met = active.join(box.select("*", *up), ["cell", *[f"p{i}" for i in range(d)]])
+            met = cut_lineage(met.select(*keep, *[f"k{i}" for i in range(d)], "n", "low", length(span).alias("far"), length(gap).alias("close"))
+                              .where(F.col("close") <= eps))
+            whole = met.where(F.col("far") <= eps).groupBy("pid", "cell").agg(F.sum("n").alias("n"), F.min("low").alias("low"))
+            found = whole if found is None else found.unionByName(whole)
+            left = met.where(F.col("far") > eps)
+            if stop is not None:
+                so_far = found.select("pid", "n") if known is None else found.select("pid", "n").unionByName(known.toDF("pid", "n"))
+                enough = so_far.groupBy("pid").agg(F.sum("n").alias("n")).where(F.col("n") >= stop)
+                left = left.join(enough, "pid", "left_anti")
+            active = cut_lineage(left.select(*keep, *[F.col(f"k{i}").alias(f"p{i}") for i in range(d)]))
+            if active.isEmpty():
+                return found.groupBy("pid", "cell").agg(F.sum("n").alias("n"), F.min("low").alias("low"))
+            level += 1
+
+
+def _linked_cells(inside: DataFrame, heads: DataFrame, dims: Sequence[str], cells: Sequence[str], edge: float,
                   eps: float, around_cells, near) -> DataFrame:
-    """Pairs of cells ``(a, b)`` (by head) with core points within ``eps`` of each other.
+    """Pairs of cells ``(a, b)`` (by head) with core points within ``eps`` of each other; ``inside`` are core points with ``head, n``.
 
-    If one cell of a pair has few points they are compared with the other cell's. Two
+    Cells with few points are compared point by point, the points of one with the boxes of a dense one. Two
     dense cells are compared by the bounding boxes of ever smaller parts: parts
     entirely within reach link the cells, parts out of reach are dropped, the rest is
     split further. Dense neighbours link after one or two rounds.
     """
     meet = (around_cells(heads.select("head", "n", *cells)).alias("a").join(heads.alias("b"), list(cells))
             .where(F.col("a.head") < F.col("b.head"))
-            .select(F.col("a.head").alias("a"), F.col("b.head").alias("b"), F.least("a.n", "b.n").alias("n")))
+            .select(F.col("a.head").alias("a"), F.col("b.head").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")))
     meet = cut_lineage(meet)
-    at = cut_lineage(cores.join(heads.select("head", *cells), list(cells)).select("head", *dims))
-    light = (meet.where(F.col("n") <= DENSE_CELL).alias("m").join(at.alias("a"), F.col("m.a") == F.col("a.head"))
-             .join(at.alias("b"), F.col("m.b") == F.col("b.head")).where(near("a", "b"))
+    at = inside.select("head", "n", "pid", *dims)
+    few = at.where(F.col("n") <= DENSE_CELL)
+    light = (meet.where((F.col("na") <= DENSE_CELL) & (F.col("nb") <= DENSE_CELL)).alias("m")
+             .join(few.alias("a"), F.col("m.a") == F.col("a.head"))
+             .join(few.alias("b"), F.col("m.b") == F.col("b.head")).where(near("a", "b"))
              .select("m.a", "m.b").distinct())
-    dense = meet.where(F.col("n") > DENSE_CELL).select("a", "b")
-    if dense.limit(1).count() == 0:
+    heavy = meet.where(F.greatest("na", "nb") > DENSE_CELL)
+    if heavy.isEmpty():
         return light
-    inside = at.join(dense.select(F.explode(F.array("a", "b")).alias("head")).distinct(), "head", "left_semi")
-    inside = cut_lineage(inside)
-
-    def boxes(level: int, side: str) -> DataFrame:
-        size = edge / 2 ** level
-        index = [F.floor(F.col(c) / size).alias(f"{side}k{i}") for i, c in enumerate(dims)]
-        return inside.groupBy(F.col("head").alias(side), *index).agg(
-            *[f(c).alias(f"{side}{n}{i}") for i, c in enumerate(dims) for n, f in (("lo", F.min), ("hi", F.max))])
+    packed = Boxes(at.where(F.col("n") > DENSE_CELL).select(F.col("head").alias("cell"), "pid", F.lit(1).alias("w"), *dims), dims, edge)
+    sides = [F.when(F.col("na") <= F.col("nb"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("a", "b", "head"), ("b", "a", "cell"))]
+    one = few.join(heavy.where(F.least("na", "nb") <= DENSE_CELL).select(*sides), "head")
+    mixed = (packed.within(one.select("pid", *dims, "cell"), eps).join(one.select("pid", "cell", "head"), ["pid", "cell"])
+             .select(F.least("head", "cell").alias("a"), F.greatest("head", "cell").alias("b")).distinct())
+    dense = heavy.where(F.least("na", "nb") > DENSE_CELL).select("a", "b")
+    linked = [light, mixed]
 
     def spread(far: bool):
         total = F.lit(0.0)
@@ -183,11 +255,11 @@ def _linked_cells(cores: DataFrame, heads: DataFrame, dims: Sequence[str], cells
         return F.sqrt(total)
 
     keys = [f"{s}k{i}" for s in "ab" for i in range(len(dims))]
-    active, linked, level = dense, [light], 0
-    while True:
+    active, level = cut_lineage(dense), 0
+    while not active.isEmpty():
         met = active
         for side in "ab":
-            part = boxes(level, side)
+            part = packed.level(level, side).withColumnRenamed(f"{side}cell", side)
             if level == 0:
                 met = met.join(part, side)
             else:
@@ -197,9 +269,7 @@ def _linked_cells(cores: DataFrame, heads: DataFrame, dims: Sequence[str], cells
         done = met.where(F.col("far") <= eps).select("a", "b").distinct()
         linked.append(done)
         left = met.where((F.col("far") > eps) & (F.col("close") <= eps)).join(done, ["a", "b"], "left_anti")
-        if left.limit(1).count() == 0:
-            break
-        active = left.select("a", "b", *[F.col(f"{s}k{i}").alias(f"{s}p{i}") for s in "ab" for i in range(len(dims))])
+        active = cut_lineage(left.select("a", "b", *[F.col(f"{s}k{i}").alias(f"{s}p{i}") for s in "ab" for i in range(len(dims))]))
         level += 1
     out = linked[0]
     for part in linked[1:]:
@@ -207,21 +277,81 @@ def _linked_cells(cores: DataFrame, heads: DataFrame, dims: Sequence[str], cells
     return out.distinct()
 
 
-def spectral_clusters(affinity: DataFrame, k: int = 8, max_iter: int = 20, points: DataFrame | None = None) -> DataFrame:
-    """Clusters of a sparse affinity table ``(src, dst, weight)`` by power iteration: ``(id, cluster)``.
+def _times(edges: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """``(id, y array)``: the product of a sparse symmetric matrix ``(src, dst, weight)`` with the rows ``(id, x array)``."""
+    met = edges.join(rows.select(F.col("id").alias("dst"), "x"), "dst")
+    return met.groupBy(F.col("src").alias("id")).agg(F.array(*[F.sum(F.col("weight") * F.col("x")[j]) for j in range(width)]).alias("y"))
+
+
+def spectral_embedding(affinity: DataFrame, k: int, extra: int = 4, powers: int = 4, tolerance: float = 1e-6, rounds: int = 40,
+                       seed: int = 42) -> tuple[DataFrame, list[float]]:
+    """``(id, vec)``: the ``k`` leading eigenvectors of (I + D^-1/2 W D^-1/2) / 2, and their eigenvalues, for a symmetric table
+    ``(src, dst, weight)`` of W.
 
+    A block of k + ``extra`` columns is multiplied ``powers`` times; the best directions within all these products come from
+    their matrix of inner products, which is small, and start the next round, until the eigenvalues settle. Each
+    multiplication is a join of the edges with one row per point, so no task holds a column.
+    """
+    degree = affinity.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("d"))
+    root = cut_lineage(degree.select("id", F.sqrt("d").alias("s")))
+    left, right = root.toDF("src", "_a"), root.toDF("dst", "_b")
+    edges = affinity.join(left, "src").join(right, "dst").select("src", "dst", (F.col("weight") / F.col("_a") / F.col("_b") / 2).alias("weight"))
+    halves = root.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.5).alias("weight"))
+    edges = cut_lineage(edges.unionByName(halves).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    wide = min(k + extra, root.count())
+    uniform = lambda j: F.shiftrightunsigned(F.xxhash64("id", F.lit(seed), F.lit(j)), 11) / F.lit(float(2 ** 53)) - 0.5
+    # the first column is the known leading direction
+    block = root.select("id", F.array("s", *[uniform(j) for j in range(1, wide)]).alias("x"))
+    last = None
+    for _ in range(rounds):
+        whole, newest = block.select("id", F.col("x").alias("all")), block
+        for _ in range(powers):
+            step = _times(edges, newest, wide)
+            whole = cut_lineage(whole.join(step, "id").select("id", F.concat("all", "y").alias("all"), F.col("y").alias("x")))
+            newest, whole = whole.select("id", "x"), whole.select("id", "all")
+        _, gram = gram_matrix(whole, "all", wide * (powers + 1))
+        own, image = gram[:-wide, :-wide], gram[:-wide, wide:]
+        size = np.sqrt(np.maximum(np.diag(own), 1e-300))
+        values, vectors = np.linalg.eigh(own / np.outer(size, size))
+        good = values > 1e-10 * values[-1]
+        white = vectors[:, good] / np.sqrt(values[good]) / size[:, None]
+        small = white.T @ image @ white
+        found, turned = np.linalg.eigh((small + small.T) / 2)
+        top = np.argsort(found)[::-1][:wide]
+        basis = np.zeros((wide * (powers + 1), len(top)))
+        basis[:-wide] = white @ turned[:, top]
+        block = cut_lineage(project(whole, basis, "all", "x").select("id", "x"))
+        wide, now = len(top), found[top][:k]
+        if last is not None and len(now) == len(last) and np.all(np.abs(now - last) <= tolerance * (1.0 + 1e-12 - now + tolerance)):
+            break
+        last = now
+    return block.select("id", F.slice("x", 1, k).alias("vec")), [float(v) for v in now]
+
+
+def spectral_clusters(affinity: DataFrame, k: int = 8, points: DataFrame | None = None, seed: int = 42, **options) -> DataFrame:
+    """Clusters of a sparse affinity table ``(src, dst, weight)``, each pair once or in both directions: ``(id, cluster)``.
+
+    Points are placed by the ``k`` leading eigenvectors of the normalised affinity, brought to length one, and grouped by k-means.
     Only ids of the table can be placed. With ``points``, a table with a column ``id``, each of its rows is kept; the
     cluster of a point without affinity to another is null.
     """
-    from pyspark.ml.clustering import PowerIterationClustering
-
-    pic = PowerIterationClustering(k=k, maxIter=max_iter, initMode="degree", srcCol="src", dstCol="dst",
-                                   weightCol="weight")
+    from pyspark.ml.clustering import KMeans
+
+    one = affinity.where(F.col("src") != F.col("dst")).groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(
+        F.max("weight").alias("weight")).where("weight > 0")
+    both = cut_lineage(one.select(F.explode(F.array(F.struct("src", "dst", "weight"), F.struct(
+        F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))).alias("e")).select("e.*"))
+    placed = None
+    if not both.isEmpty():
+        spots, _ = spectral_embedding(both, k, seed=seed, **options)
+        spots = spots.withColumn("vec", normalised(F.col("vec")))
+        model = KMeans(k=k, seed=seed, initSteps=5, predictionCol="cluster").fit(cut_lineage(_with_vector(spots, "vec")))
+        placed = model.transform(_with_vector(spots, "vec")).select("id", "cluster")
     if points is None:
-        return pic.assignClusters(affinity)
-    if affinity.isEmpty():
+        return placed if placed is not None else affinity.select(F.col("src").alias("id"), F.lit(None).cast("int").alias("cluster")).limit(0)
+    if placed is None:
         return points.select("id", F.lit(None).cast("int").alias("cluster"))
-    return points.select("id").join(pic.assignClusters(affinity), "id", "left")
+    return points.select("id").join(placed, "id", "left")
 
 
 # --- classification ----------------------------------------------------------

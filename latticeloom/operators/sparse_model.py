@@ -12,10 +12,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latticeloom.distributed import lookup_join
 from latticeloom.operators.linear import gram_matrix
+from latticeloom.session import cut_lineage
 
 
 class Moments:
@@ -90,19 +92,76 @@ def lasso_screen(m: Moments, keep: int = 25, grid_points: int = 100, max_factor:
     return sorted(int(j) for j in found[:keep])
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Correlation of two columns, null if one is constant."""
+    # both deviations of the rows that have both values
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y)))
+
+
 def screen_by_correlation(df: DataFrame, features: Sequence[str], residual: str, keep: int) -> list[str]:
     """The ``keep`` features with the largest absolute correlation with a residual."""
-    r = df.agg(*[F.corr(F.col(f"`{c}`").cast("double"), F.col(residual)).alias(c) for c in features]).first()
+    r = df.agg(*[correlation(F.col(f"`{c}`").cast("double"), F.col(residual)).alias(c) for c in features]).first()
     rated = [(-abs(r[c]), c) for c in features if r[c] is not None and not math.isnan(r[c])]
     return [c for _, c in sorted(rated)[:keep]]
 
 
-def screen_long(values: DataFrame, residuals: DataFrame, key: str, residual: str, keep: int) -> DataFrame:
-    """The same for a long ``(key, feature, value)`` table."""
-    return (values.join(residuals.select(key, residual), key)
-            .groupBy("feature").agg(F.corr("value", residual).alias("r"))
-            .where(F.col("r").isNotNull() & ~F.isnan("r"))
-            .withColumn("score", F.abs("r")).orderBy(F.col("score").desc(), "feature").limit(keep))
+def screen_long(values: DataFrame, residuals: DataFrame, names: Sequence[str], keep: int, key: str = "id",
+                known: Sequence[str] = ()) -> list[str]:
+    """The ``keep`` features of a long ``(key, feature, value)`` table with the largest absolute correlation with any of several
+    residuals, the columns ``names`` of ``residuals``; ``known`` features are passed over.
+
+    One pass over the table: a feature's co-moments with every residual are merged from partial ones, and each task holds the best
+    ``keep`` features it has seen. Features that are constant, or of equal score, come last and in order of name.
+    """
+    rows = values.where(~F.col("feature").isin(list(known))) if known else values
+    joined = lookup_join(rows, residuals.select(key, *names), key)
+    score = F.greatest(*[F.coalesce(F.abs(correlation(F.col("value"), F.col(n))), F.lit(0.0)) for n in names], F.lit(0.0))
+    best = joined.groupBy("feature").agg(score.alias("score")).where("score > 0").orderBy(F.desc("score"), "feature").limit(keep)
+    return [r["feature"] for r in best.collect()]
+
+
+def wide_features(values: DataFrame, features: Sequence[str], key: str = "id") -> DataFrame:
+    """One column for each of a few features of a long table, named ``f0, f1, ...`` in their order."""
+    some = values.where(F.col("feature").isin(list(features)))
+    return some.groupBy(key).agg(*[F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f"f{i}") for i, f in enumerate(features)])
+
+
+def best_subsets(df: DataFrame, features: Sequence[str], m: Moments, size: int, n: int = 1) -> list[dict]:
+    """The ``n`` subsets of the given size with the least error, their weights and intercepts."""
+    out = []
+    for row in subset_errors(df, features, m, size).orderBy("mse", "subset").limit(n).collect():
+        s = list(row["subset"])
+        w = np.linalg.solve(m.xx[np.ix_(s, s)], m.xy[s])
+        out.append({"features": [features[j] for j in s], "weights": w.tolist(), "intercept": float(m.y_mean - w @ m.x_mean[s]), "mse": row["mse"]})
+    if not out:
+        raise ValueError(f"every subset of {size} features is singular")
+    return out
+
+
+def fit_by_long_screening(values: DataFrame, targets: DataFrame, max_dim: int = 3, per_step: int = 10, residuals: int = 3,
+                          key: str = "id", target: str = "target") -> list[dict]:
+    """Sure-independence screening of any number of features, kept as rows ``(key, feature, value)``.
+
+    For each dimension the features that correlate best with any of the residuals of the ``residuals`` best models so far (at first
+    with the target) join the pool, and the best subset of the pool of that size is the model. The table of all features is
+    read once a dimension; only the pool, ``per_step`` features a dimension, is ever wide.
+    """
+    work = cut_lineage(targets.select(key, F.col(target).cast("double").alias("_y")))
+    held, names = work.withColumn("_r0", F.col("_y")), ["_r0"]
+    pool: list[str] = []
+    models: list[dict] = []
+    for size in range(1, max_dim + 1):
+        pool += screen_long(values, held, names, per_step, key, pool)
+        wide = cut_lineage(wide_features(values, pool, key).join(work, key))
+        columns = [f"f{i}" for i in range(len(pool))]
+        best = best_subsets(wide, columns, moments(wide, columns, "_y"), min(size, len(pool)), residuals)
+        names = [f"_r{i}" for i in range(len(best))]
+        held = wide
+        for name, model in zip(names, best):
+            held = predict(held, model, "_p").withColumn(name, F.col("_y") - F.col("_p")).drop("_p")
+        held = cut_lineage(held.select(key, *names))
+        models.append({**best[0], "features": [pool[int(f[1:])] for f in best[0]["features"]]})
+    return models
 
 
 def _nth_subset(rank: int, n: int, k: int) -> list[int]:
@@ -146,13 +205,7 @@ def subset_errors(df: DataFrame, features: Sequence[str], m: Moments, size: int)
 
 def best_subset(df: DataFrame, features: Sequence[str], m: Moments, size: int) -> dict:
     """Subset of the given size with the least error, its weights and intercept."""
-    best = subset_errors(df, features, m, size).orderBy("mse", "subset").limit(1).collect()
-    if not best:
-        raise ValueError(f"every subset of {size} features is singular")
-    s = list(best[0]["subset"])
-    w = np.linalg.solve(m.xx[np.ix_(s, s)], m.xy[s])
-    return {"features": [features[j] for j in s], "weights": w.tolist(),
-            "intercept": float(m.y_mean - w @ m.x_mean[s]), "mse": best[0]["mse"]}
+    return best_subsets(df, features, m, size)[0]
 
 
 def fit_sparse_model(df: DataFrame, features: Sequence[str], target: str, max_dim: int = 3,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from latticeloom.functions import vectors as V
 from latticeloom.operators import features, filters, labels, ml, uncertainty
+from latticeloom.plans.queries_vectors import _groups, _named, _split, _split_sql
 from latticeloom.plans.registry import POINTS, SAMPLES, VECTORS, long, points, query, rounded, samples, table, vectors
 from latticeloom.session import cut_lineage, scratch_path
 from latticeloom.sources import readers as R
@@ -234,24 +235,25 @@ def _(spark, d):
     return filters.split_duplicates(table(spark, d, "documents").select("doc_id", "lang", "source"), key, "doc_id").select("doc_id", "is_duplicate")
 
 
-@query("D5_user_estimator")
+@query("D5_user_estimator", "SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY vec_id % 3) AS least FROM embeddings")
 def _(spark, d):
-    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.clustering import BisectingKMeans
 
-    return ml.cluster(vectors(spark, d), estimator=KMeans(k=3, seed=1, initMode="random")).select("id", "cluster")
+    out = ml.cluster(_groups(spark, d, 3), mode="none", estimator=BisectingKMeans(k=3, seed=1)).select("id", "cluster")
+    return _named(out).select("id", "least")
 
 
-@query("D6_user_model_factory")
+@query("D6_user_model_factory", _split_sql(0.25, 2, "SELECT id, label AS target_pred_class, label = 0 AS is_first FROM s WHERE split = 'validation'"))
 def _(spark, d):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
 
     def factory(layers, label, **_):
-        return Pipeline(stages=[LogisticRegression(labelCol=label, featuresCol="features", maxIter=10)])
+        return Pipeline(stages=[LogisticRegression(labelCol=label, featuresCol="features", maxIter=20)])
 
-    rows = cut_lineage(vectors(spark, d).withColumn("label", (F.col("label") % 2).cast("double")))
-    model, _, _ = ml.train_classifier(rows, rows, [[]], factory=factory)
-    return ml.score(rows, model).select("id", "target_pred_class", rounded(F.col("probs")[0], 4).alias("p0"))
+    _, train, held = _split(_groups(spark, d, 2).withColumn("label", F.col("group").cast("double")).select("id", "vec", "label"))
+    model, _, _ = ml.train_classifier(train, held, [[]], factory=factory)
+    return ml.score(held, model).select("id", long("target_pred_class").alias("target_pred_class"), (F.col("probs")[0] > 0.5).alias("is_first"))
 
 
 @query("P8_nan_for_empty_structures", """

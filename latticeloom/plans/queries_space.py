@@ -721,10 +721,45 @@ def _small_descriptor(**options):
     return make_descriptor("environment_spectrum", cutoff=2.5, n_max=2, l_max=2, scaling="avg_nn", scaling_radii=(0.4,), periodic=False, scale_limits=(0.01, 10.0), **options)
 
 
-def _committee(table_, n_classes):
-    from latticeloom.operators import ml
+#: Weights of two linear two-class models on the nine components of the small descriptor, one list a model.
+WEIGHTS = [[(i - 4) / 2 for i in range(9)], [(4 - i) / 3 + 0.5 for i in range(9)]]
 
-    return ml.train_committee(table_, 2, [6], n_classes, key="id", max_iter=8)
+
+class LinearModel:
+    """A user's own model: the logistic function of a weighted sum of the features."""
+
+    def __init__(self, weights):
+        self.weights = weights
+
+    def transform(self, df):
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+
+        x = vector_to_array("features")
+        p = 1 / (1 + F.exp(-sum((x[i] * w for i, w in enumerate(self.weights)), F.lit(0.0))))
+        return df.withColumn("probability", array_to_vector(F.array(1 - p, p)))
+
+
+def _scored_sql(places: str) -> str:
+    """Descriptor, class probabilities of both models and their uncertainty, as ``scored``, of structures ``(structure_id, atom_id, x, y, z)``."""
+    radial = "exp(-pow(rr - {c}, 2) / (2 * pow(1.25, 2))) * 0.5 * (cos(rr * pi() / 2.5) + 1)"
+    logits = ", ".join(f"1 / (1 + exp(-list_dot_product(v, {w}::DOUBLE[]))) AS p{t}" for t, w in enumerate(WEIGHTS))
+    plogp = lambda x: f"greatest({x}, 1e-12) * log2(greatest({x}, 1e-12))"
+    entropy = f"-({plogp('(1 - p0 + 1 - p1) / 2')} + {plogp('(p0 + p1) / 2')})"
+    mean_plogp = f"({' + '.join(plogp(x) for x in ('1 - p0', 'p0', '1 - p1', 'p1'))}) / 2"
+    return f"""near AS MATERIALIZED (SELECT a.structure_id, a.atom_id, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2) + pow(b.z - a.z, 2)) AS r
+ FROM {places} a JOIN {places} b ON a.structure_id = b.structure_id AND a.atom_id <> b.atom_id),
+nn AS (SELECT structure_id, atom_id, min(r) AS r FROM near WHERE r <= 0.4 GROUP BY ALL), sc AS (SELECT structure_id, avg(r) AS scale FROM nn GROUP BY 1),
+nb AS (SELECT structure_id, atom_id, dx / r AS ux, dy / r AS uy, dz / r AS uz, r / scale AS rr FROM near JOIN sc USING (structure_id) WHERE r / scale <= 2.5),
+n AS (SELECT *, {radial.format(c=0.625)} AS g0, {radial.format(c=1.875)} AS g1 FROM nb),
+t AS (SELECT a.structure_id, a.atom_id, a.g0 AS a0, a.g1 AS a1, b.g0 AS b0, b.g1 AS b1, a.ux * b.ux + a.uy * b.uy + a.uz * b.uz AS c
+      FROM n a JOIN n b ON a.structure_id = b.structure_id AND a.atom_id = b.atom_id),
+q AS (SELECT structure_id, atom_id, [sum(a0 * b0), sum(a0 * b0 * c), sum(a0 * b0 * (3 * c * c - 1) / 2), sum(a0 * b1), sum(a0 * b1 * c), sum(a0 * b1 * (3 * c * c - 1) / 2),
+  sum(a1 * b1), sum(a1 * b1 * c), sum(a1 * b1 * (3 * c * c - 1) / 2)] AS l FROM t GROUP BY structure_id, atom_id),
+m AS (SELECT structure_id, component, avg(v) AS v FROM (SELECT structure_id, unnest(l) AS v, unnest(range(9)) AS component FROM q) GROUP BY ALL),
+d AS (SELECT structure_id, list(v ORDER BY component) AS v FROM (SELECT structure_id, component, v / sqrt(sum(v * v) OVER (PARTITION BY structure_id)) AS v FROM m) GROUP BY 1),
+p AS (SELECT structure_id, v, {logits} FROM d),
+scored AS (SELECT structure_id, (p0 + p1) / 2 AS mean_p, CASE WHEN (p0 > 0.5) = (p1 > 0.5) THEN 0.0 ELSE 0.5 END AS variation_ratio,
+ {entropy} AS predictive_entropy, {entropy} + {mean_plogp} AS mutual_information FROM p)"""
 
 
 @query("E17_descriptor_job", f"""
@@ -742,29 +777,36 @@ def _(spark, d):
     return out.select("structure_id", "label", "target", long(F.size("value")).alias("length"), rounded(total, 4).alias("norm"))
 
 
-@query("E15_global_analysis")
+@query("E15_global_analysis", f"""
+WITH {POINTS}, {_scored_sql('points')} SELECT structure_id AS id, CAST(2 AS BIGINT) AS n_samples, round(1 - mean_p, 4) AS p0, round(mean_p, 4) AS p1, variation_ratio,
+ round(predictive_entropy, 4) AS predictive_entropy, round(mutual_information, 4) + 0.0 AS mutual_information FROM scored""")
 def _(spark, d):
-    from latticeloom.plans.analysis import descriptor_table, global_analysis
+    from latticeloom.plans.analysis import global_analysis
 
     p = points(spark, d)
-    s = p.select("structure_id").distinct()
-    desc = _small_descriptor()
-    train = cut_lineage(descriptor_table(desc, p, s).select(F.col("structure_id").alias("id"), F.col("value").alias("vec"),
-                                                            (F.col("structure_id").cast("int") % 2).cast("double").alias("label")))
-    out = global_analysis(p, s, desc, _committee(train, 2), 2)
-    return out.select("id", "n_samples", rounded("predictive_entropy", 3).alias("predictive_entropy"), rounded("mutual_information", 3).alias("mutual_information"))
+    out = global_analysis(p, p.select("structure_id").distinct(), _small_descriptor(), [LinearModel(w) for w in WEIGHTS], 2)
+    return out.select("id", "n_samples", *[rounded(F.col("mean_probs")[i], 4).alias(f"p{i}") for i in range(2)],
+                      *[rounded(c, 4).alias(c) for c in ("variation_ratio", "predictive_entropy", "mutual_information")])
 
 
-@query("E16_local_analysis")
+E16_BOX, E16_STRIDE = (0.4, 0.4, 0.4), (0.3, 0.3, 0.3)
+
+
+@query("E16_local_analysis", f"""
+WITH {_grid_sql(E16_BOX, E16_STRIDE, (0.0, 0.0, 0.0))},
+place AS (SELECT m.source || '_' || m.kz || '_' || m.iy || '_' || m.jx AS structure_id, p.atom_id, x, y, z FROM member m JOIN points p ON p.structure_id = m.source AND p.atom_id = m.atom_id
+ JOIN pops USING (source, kz, iy, jx) WHERE n_atoms > 3),
+{_scored_sql('place')}
+SELECT source, kz, iy, jx, n_atoms, class_id, round(CASE WHEN class_id = 1 THEN mean_p ELSE 1 - mean_p END, 3) + 0.0 AS p, variation_ratio,
+ round(predictive_entropy, 3) + 0.0 AS predictive_entropy, round(mutual_information, 3) + 0.0 AS mutual_information
+FROM pops CROSS JOIN range(2) c(class_id) LEFT JOIN scored ON structure_id = source || '_' || kz || '_' || iy || '_' || jx""")
 def _(spark, d):
-    from latticeloom.plans.analysis import descriptor_table, local_analysis
+    from latticeloom.plans.analysis import local_analysis
 
-    p = points(spark, d)
-    desc = _small_descriptor()
-    train = cut_lineage(descriptor_table(desc, p, p.select("structure_id").distinct()).select(
-        F.col("structure_id").alias("id"), F.col("value").alias("vec"), (F.col("structure_id").cast("int") % 2).cast("double").alias("label")))
-    maps, _ = local_analysis(_sources(spark, d), desc, _committee(train, 2), 2, (0.4, 0.4, 0.4), (0.3, 0.3, 0.3), (0.0, 0.0, 0.0), 3)
-    return maps.select("source", *B.BOX, "class_id", rounded("p", 3).alias("p"))
+    maps, table_ = local_analysis(_sources(spark, d), _small_descriptor(), [LinearModel(w) for w in WEIGHTS], 2, E16_BOX, E16_STRIDE, (0.0, 0.0, 0.0), 3)
+    parts = ("variation_ratio", "predictive_entropy", "mutual_information")
+    both = maps.join(table_.select("source", *B.BOX, "n_atoms", *parts), ["source", *B.BOX])
+    return both.select("source", *[long(c).alias(c) for c in (*B.BOX, "n_atoms", "class_id")], rounded("p", 3).alias("p"), *[rounded(c, 3).alias(c) for c in parts])
 
 
 @query("D7_per_item_errors", """

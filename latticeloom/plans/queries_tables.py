@@ -773,10 +773,9 @@ def _(spark, d):
 
 
 @query("A7_confusion_pivot", f"""
-WITH {_PRED} SELECT label, count(*) FILTER (WHERE p1 = 0) AS pred_0, count(*) FILTER (WHERE p1 = 1) AS pred_1,
- count(*) FILTER (WHERE p1 = 2) AS pred_2 FROM pred GROUP BY label""")
+WITH {_PRED} SELECT label, {', '.join(f'count(*) FILTER (WHERE p1 = {c}) AS pred_{c}' for c in range(10))} FROM pred GROUP BY label""")
 def _(spark, d):
-    return uncertainty.confusion_pivot(_predictions(spark, d), "label", "p1", [0, 1, 2])
+    return uncertainty.confusion_pivot(_predictions(spark, d), "label", "p1", list(range(10)))
 
 
 @query("A8_accuracy_by_configuration", f"""

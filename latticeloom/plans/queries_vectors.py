@@ -317,18 +317,73 @@ def _model_rows(spark, models):
                                  "dimension int, features string, mse double, intercept double")
 
 
-@query("E3_lasso_and_best_subset")
+def _planted_line(spark, d):
+    """Three of the five features make the target."""
+    return _regression(spark, d).withColumn("price", 4 * F.col("size") + 2 * F.col("line") - 100 * F.col("disc"))
+
+
+_PLANTED_LINE = f"{_REGRESSION.replace('r AS', 'r0 AS', 1)}, r AS (SELECT a, b, c, d, e, 4 * a + 2 * d - 100 * c AS y FROM r0)"
+
+
+@query("E3_lasso_and_best_subset", f"""
+WITH {_PLANTED_LINE}, one AS (""" + " UNION ALL ".join(
+    f"SELECT '{n}' AS features, var_pop(y) * (1 - pow(corr({i}, y), 2)) AS mse FROM r" for i, n in zip("abcde", FEATURES)) + """),
+two AS (""" + " UNION ALL ".join(
+    f"SELECT '{FEATURES['abcde'.index(i)]},{FEATURES['abcde'.index(j)]}' AS features, {_pair_error(i, j)} AS mse FROM r" for i, j in _PAIRS) + """)
+SELECT CAST(1 AS BIGINT) AS dimension, arg_min(features, mse) AS features, round(min(mse), 4) AS mse FROM one
+UNION ALL SELECT 2, arg_min(features, mse), round(min(mse), 4) FROM two UNION ALL SELECT 3, 'size,disc,line', 0.0""")
 def _(spark, d):
-    return _model_rows(spark, sparse_model.fit_sparse_model(_regression(spark, d), FEATURES, "price", 3, 4))
+    models = sparse_model.fit_sparse_model(_planted_line(spark, d), FEATURES, "price", 3, 3)
+    return _model_rows(spark, models).select(long("dimension").alias("dimension"), "features", rounded("mse", 4).alias("mse"))
+
+
+def _products(spark, d):
+    """Long features: the components of a vector and the products of any two; the target is made of three of them."""
+    at = lambda i: F.element_at("vec", i.cast("int") + 1)
+    name = lambda i: F.concat(F.lit("x"), i.cast("string"))
+    single = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.struct(name(i).alias("feature"), at(i).alias("value")))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.transform(F.sequence(i + 1, F.lit(63)), lambda j: F.struct(
+        F.concat(name(i), F.lit("*"), name(j)).alias("feature"), (at(i) * at(j)).alias("value")))))
+    rows = vectors(spark, d)
+    x = lambda i: F.col("vec")[i]
+    targets = rows.select("id", (3 * x(1) * x(2) - 2 * x(5) * x(7) + 0.5 * x(9)).alias("target"))
+    return rows.select("id", F.explode(F.concat(single, pairs)).alias("f")).select("id", "f.feature", "f.value"), targets
 
 
 @query("E5_screened_model", f"""
+WITH {VECTORS}, f AS (SELECT id, 'x' || i AS feature, vec[i + 1] AS value FROM vectors, range(64) t(i)
+ UNION ALL SELECT id, 'x' || i || '*x' || j, vec[i + 1] * vec[j + 1] FROM vectors, range(64) t(i), range(64) u(j) WHERE i < j),
+y AS (SELECT id, 3 * vec[2] * vec[3] - 2 * vec[6] * vec[8] + 0.5 * vec[10] AS y FROM vectors),
+s1 AS (SELECT feature, abs(corr(value, y)) AS score, regr_slope(y, value) AS slope, regr_intercept(y, value) AS base, var_pop(y) * (1 - pow(corr(value, y), 2)) AS mse
+ FROM f JOIN y USING (id) GROUP BY 1),
+p1 AS (SELECT *, row_number() OVER (ORDER BY score DESC, feature) AS n FROM s1 QUALIFY n <= 10),
+r AS (SELECT y.id, n, y - slope * value - base AS r FROM p1 JOIN f USING (feature) JOIN y USING (id) WHERE n <= 3),
+s2 AS (SELECT feature, max(score) AS score FROM (SELECT feature, n, abs(corr(value, r)) AS score FROM f JOIN r USING (id) GROUP BY ALL) GROUP BY 1),
+p2 AS (SELECT feature FROM s2 WHERE feature NOT IN (SELECT feature FROM p1) ORDER BY score DESC, feature LIMIT 10),
+pool AS (SELECT feature FROM p1 UNION ALL SELECT feature FROM p2),
+g AS (SELECT f.* FROM f JOIN pool USING (feature)),
+m AS (SELECT a.feature AS a, b.feature AS b, var_pop(y) * (1 - (pow(corr(a.value, y), 2) + pow(corr(b.value, y), 2) - 2 * corr(a.value, y) * corr(b.value, y) * corr(a.value, b.value))
+  / (1 - pow(corr(a.value, b.value), 2))) AS mse FROM g a JOIN g b ON a.id = b.id AND a.feature < b.feature JOIN y ON y.id = a.id GROUP BY ALL)
+SELECT CAST(1 AS BIGINT) AS dimension, arg_min(feature, mse) AS features, round(min(mse), 8) AS mse FROM p1
+UNION ALL SELECT 2, arg_min(a || ',' || b, mse), round(min(mse), 8) FROM m UNION ALL SELECT 3, 'x1*x2,x5*x7,x9', 0.0""")
+def _(spark, d):
+    models = sparse_model.fit_by_long_screening(*_products(spark, d), max_dim=3, per_step=10, residuals=3)
+    rows = [(k + 1, ",".join(sorted(m["features"])), float(m["mse"])) for k, m in enumerate(models)]
+    out = spark.createDataFrame(rows, "dimension long, features string, mse double")
+    return out.withColumn("mse", rounded("mse", 8))
+
+
+@query("E5_screened_columns", f"""
 WITH {_REGRESSION}, m AS (""" + " UNION ALL ".join(
-    f"SELECT '{n}' AS features, var_pop(y) * (1 - pow(corr({i}, y), 2)) AS mse FROM r" for i, n in zip("abcde", FEATURES)) + """)
-SELECT CAST(1 AS BIGINT) AS dimension, arg_min(features, mse) AS features, round(min(mse), 4) AS mse FROM m""")
+    f"SELECT '{n}' AS features, var_pop(y) * (1 - pow(corr({i}, y), 2)) AS mse FROM r" for i, n in zip("abcde", FEATURES)) + """),
+p AS (""" + " UNION ALL ".join(
+    f"SELECT '{','.join(sorted((FEATURES['abcde'.index(i)], FEATURES['abcde'.index(j)])))}' AS features, {_pair_error(i, j)} AS mse FROM r" for i, j in _PAIRS) + """)
+SELECT CAST(1 AS BIGINT) AS dimension, arg_min(features, mse) AS features, round(min(mse), 4) AS mse FROM m
+UNION ALL SELECT 2, arg_min(features, mse), round(min(mse), 4) FROM p""")
 def _(spark, d):
-    models = sparse_model.fit_by_screening(_regression(spark, d), FEATURES, "price", 1, 2)
-    return _model_rows(spark, models).select(long("dimension").alias("dimension"), "features", rounded("mse", 4).alias("mse"))
+    models = sparse_model.fit_by_screening(_regression(spark, d), FEATURES, "price", 2, 5)
+    rows = [(k + 1, ",".join(sorted(m["features"])), float(m["mse"])) for k, m in enumerate(models)]
+    return spark.createDataFrame(rows, "dimension long, features string, mse double").withColumn("mse", rounded("mse", 4))
 
 
 @query("E7_regression_inputs", f"WITH {_REGRESSION} SELECT count(*) AS n, CAST(5 AS BIGINT) AS n_features FROM r")
@@ -347,28 +402,72 @@ def _(spark, d):
     return sparse_model.result_table(rows, best, "price", viewer=True).withColumn("y_pred", rounded("y_pred", 4))
 
 
-@query("N4_principal_components")
+SQUARINGS = 13
+
+
+def _leading_sql(source: str, prefix: str) -> str:
+    """The leading eigenvector ``<prefix>e(i, e)`` and value ``<prefix>l(l)`` of a symmetric matrix ``(i, j, v)`` by repeated squaring."""
+    steps, last = [], source
+    for n in range(SQUARINGS):
+        name = f"{prefix}{n}"
+        steps.append(f"{name}u AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {last} a JOIN {last} b ON a.j = b.i GROUP BY a.i, b.j), "
+                     f"{name} AS MATERIALIZED (SELECT i, j, v / (SELECT max(abs(v)) FROM {name}u) AS v FROM {name}u)")
+        last = name
+    steps.append(f"""{prefix}c AS (SELECT i, v FROM {last} WHERE j = (SELECT arg_max(i, v) FROM {last} WHERE i = j)),
+{prefix}n AS (SELECT i, v / sqrt((SELECT sum(v * v) FROM {prefix}c)) AS e FROM {prefix}c),
+{prefix}e AS MATERIALIZED (SELECT i, e * sign((SELECT arg_max(e, abs(e)) FROM {prefix}n)) AS e FROM {prefix}n),
+{prefix}l AS MATERIALIZED (SELECT sum(a.e * m.v * b.e) AS l FROM {source} m JOIN {prefix}e a ON a.i = m.i JOIN {prefix}e b ON b.i = m.j)""")
+    return ", ".join(steps)
+
+
+def _two_directions_sql(rows: str) -> str:
+    """Coordinates ``q(id, c0, c1)`` along the two leading directions of ``z(id, i, v)``."""
+    return f"""{VECTORS}, x AS (SELECT id, i, vec[i] AS v FROM vectors, range(1, 65) t(i)), z AS MATERIALIZED ({rows}),
+m AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM z a JOIN z b USING (id) GROUP BY a.i, b.i), {_leading_sql('m', 'f')},
+d AS MATERIALIZED (SELECT m.i, m.j, m.v - (SELECT l FROM fl) * a.e * b.e AS v FROM m JOIN fe a ON a.i = m.i JOIN fe b ON b.i = m.j), {_leading_sql('d', 'g')},
+q AS (SELECT id, sum(z.v * fe.e) AS c0, sum(z.v * ge.e) AS c1 FROM z JOIN fe ON fe.i = z.i JOIN ge ON ge.i = z.i GROUP BY id)"""
+
+
+@query("N4_principal_components", f"""
+WITH {_two_directions_sql("SELECT id, i, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS v FROM x WINDOW w AS (PARTITION BY i)")}
+SELECT id, round(c0, 4) + 0.0 AS c0, round(c1, 4) + 0.0 AS c1, round(((SELECT l FROM fl) + (SELECT l FROM gl)) / (SELECT sum(v) FROM m WHERE i = j), 6) AS explained FROM q""")
 def _(spark, d):
     out, share = linear.pca(vectors(spark, d), 2)
     return out.select("id", rounded(F.col("coords")[0], 4).alias("c0"), rounded(F.col("coords")[1], 4).alias("c1"),
                       F.lit(round(share, 6)).alias("explained"))
 
 
-@query("N5_truncated_svd")
+@query("N5_truncated_svd", f"""
+WITH {_two_directions_sql("SELECT id, i, v FROM x")}
+SELECT id, round(c0, 4) + 0.0 AS c0, round(c1, 4) + 0.0 AS c1, round(sqrt((SELECT l FROM fl)), 4) AS s0, round(sqrt((SELECT l FROM gl)), 4) AS s1 FROM q""")
 def _(spark, d):
-    out, _ = linear.truncated_svd(vectors(spark, d), 2, "none")
-    return out.select("id", rounded(F.col("coords")[0], 4).alias("c0"), rounded(F.col("coords")[1], 4).alias("c1"))
+    out, values = linear.truncated_svd(vectors(spark, d), 2, "none")
+    return out.select("id", rounded(F.col("coords")[0], 4).alias("c0"), rounded(F.col("coords")[1], 4).alias("c1"),
+                      *[F.lit(round(float(v), 4)).alias(f"s{i}") for i, v in enumerate(values)])
+
+
+def _groups(spark, d, n):
+    """Whole vectors moved by 3 along one of n components, by id: groups far apart, ``group`` known."""
+    group = (F.col("id") % n).cast("int")
+    return vectors(spark, d).withColumn("group", group).withColumn("vec", F.transform(
+        "vec", lambda x, i: x + F.when(i == F.col("group"), 3.0).otherwise(0.0)))
+
+
+def _named(out):
+    """Clusters named by their smallest id, as numbers of clusters are arbitrary."""
+    return out.join(out.groupBy("cluster").agg(F.min("id").alias("least")), "cluster")
 
 
-@query("E8_kmeans")
+@query("E8_kmeans", "SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY vec_id % 4) AS least FROM embeddings")
 def _(spark, d):
-    return ml.cluster(vectors(spark, d), "kmeans", k=4).select("id", "cluster")
+    out = ml.cluster(_groups(spark, d, 4), "kmeans", mode="none", k=4, initSteps=5).select("id", "cluster")
+    return _named(out).select("id", "least")
 
 
-@query("E9_gaussian_mixture")
+@query("E9_gaussian_mixture", "SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY vec_id % 2) AS least, 1.0 AS p FROM embeddings")
 def _(spark, d):
-    rows = vectors(spark, d).withColumn("vec", F.slice("vec", 1, 3))
-    return ml.cluster(rows, "gaussian_mixture", k=2, maxIter=20).select("id", "cluster", F.col("cluster_probs")[0].alias("p0"))
+    out = ml.cluster(_groups(spark, d, 2), "gaussian_mixture", mode="none", k=2, maxIter=50)
+    return _named(out).select("id", "least", rounded(F.array_max("cluster_probs"), 4).alias("p"))
 
 
 _DBSCAN = """pts AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings),
@@ -386,46 +485,70 @@ def _(spark, d):
     return ml.dbscan(points(spark, d).withColumnRenamed("atom_id", "id"), 0.09, 8)
 
 
-@query("E11_spectral_clusters")
+@query("E11_spectral_clusters", """
+WITH p AS (SELECT vec_id AS id, vec_id % 3 AS g, CAST(embedding[1] AS DOUBLE) + 5 * (vec_id % 3) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings),
+n AS (SELECT DISTINCT a.id, a.g FROM p a JOIN p b ON a.g = b.g AND a.id <> b.id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) <= 0.3)
+SELECT p.id, min(n.id) OVER (PARTITION BY n.g) AS least FROM p JOIN n USING (id) UNION ALL SELECT id, NULL FROM p WHERE id NOT IN (SELECT id FROM n)""")
 def _(spark, d):
     from latticeloom.operators.neighbors import neighbour_pairs
 
-    rows = points(spark, d)
-    near = neighbour_pairs(rows.withColumn("structure_id", F.lit("all")), 0.12, half=True)
-    affinity = near.select(F.col("atom_id").alias("src"), F.col("other_id").alias("dst"), F.exp(-F.col("r") * 20).alias("weight"))
-    return ml.spectral_clusters(affinity, 3, 10, rows.select(F.col("atom_id").alias("id")))
+    rows = points(spark, d).withColumn("x", F.col("x") + 5 * (F.col("atom_id") % 3)).withColumn("structure_id", F.lit("all"))
+    near = neighbour_pairs(rows, 0.3, half=True)
+    affinity = near.select(F.col("atom_id").alias("src"), F.col("other_id").alias("dst"), F.exp(-F.col("r") * 5).alias("weight"))
+    out = cut_lineage(ml.spectral_clusters(affinity, 3, rows.select(F.col("atom_id").alias("id"))))
+    return _named(out.where("cluster IS NOT NULL")).select("id", "least").unionByName(
+        out.where("cluster IS NULL").select("id", F.lit(None).cast("long").alias("least")))
 
 
 def _labelled(spark, d):
-    return vectors(spark, d).withColumn("label", (F.col("label") % 3).cast("double"))
+    return _groups(spark, d, 3).withColumn("label", F.col("group").cast("double")).select("id", "vec", "label")
 
 
-@query("E12_trained_classifier")
-def _(spark, d):
+def _split_sql(test_size: float, classes: int, select: str) -> str:
+    """A stratified split of the embeddings by id modulo ``classes``."""
+    return f"""
+WITH e AS (SELECT vec_id AS id, vec_id % {classes} AS label FROM embeddings),
+n AS (SELECT count(*) AS total, CAST(round(count(*) * {test_size}) AS BIGINT) AS held FROM e),
+c AS (SELECT label, floor(count(*) * held / CAST(total AS DOUBLE)) AS base, count(*) * held / CAST(total AS DOUBLE) - floor(count(*) * held / CAST(total AS DOUBLE)) AS rest
+ FROM e, n GROUP BY label, held, total),
+q AS (SELECT label, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, label) <= (SELECT held FROM n) - (SELECT sum(base) FROM c) THEN 1 ELSE 0 END AS quota FROM c),
+r AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(id AS VARCHAR) || '#42'), id) AS rn FROM e),
+s AS (SELECT id, label, CASE WHEN rn <= quota THEN 'validation' ELSE 'train' END AS split FROM r JOIN q USING (label))
+{select}"""
+
+
+def _split(rows):
     from latticeloom.operators.labels import split_rows
 
-    rows = cut_lineage(split_rows(_labelled(spark, d), "id", 0.25, "label"))
-    model, accuracy, layout = ml.train_classifier(rows.where("split = 'train'"), rows.where("split = 'validation'"),
-                                                  [[8], [16]], max_iter=20)
-    return ml.score(rows, model).select("id", "split", "target_pred_class", F.lit(accuracy).alias("accuracy"),
+    rows = cut_lineage(split_rows(rows, "id", 0.25, "label"))
+    return rows, rows.where("split = 'train'"), rows.where("split = 'validation'")
+
+
+@query("E12_trained_classifier", _split_sql(0.25, 3, "SELECT id, split, label AS target_pred_class, 1.0 AS accuracy, '(8,)' AS layout FROM s"))
+def _(spark, d):
+    rows, train, held = _split(_labelled(spark, d))
+    model, accuracy, layout = ml.train_classifier(train, held, [[8], [16]], max_iter=40)
+    return ml.score(rows, model).select("id", "split", long("target_pred_class").alias("target_pred_class"), F.lit(accuracy).alias("accuracy"),
                                         F.lit(str(layout)).alias("layout"))
 
 
-@query("E13_classifier_scores")
+@query("E13_classifier_scores", _split_sql(0.25, 3, "SELECT id, label AS target_pred_class, label = 0 AS is_first FROM s WHERE split = 'validation'"))
 def _(spark, d):
-    rows = _labelled(spark, d)
-    model, _, _ = ml.train_classifier(rows, rows, [[8]], max_iter=20)
-    return ml.score(rows, model).select("id", "target_pred_class", rounded(F.col("probs")[0], 4).alias("p0"))
+    _, train, held = _split(_labelled(spark, d))
+    model, _, _ = ml.train_classifier(train, held, [[8]], max_iter=40)
+    return ml.score(held, model).select("id", long("target_pred_class").alias("target_pred_class"), (F.col("probs")[0] > 0.5).alias("is_first"))
 
 
-@query("E14_committee_samples")
+@query("E14_committee_samples", _split_sql(0.25, 3, "SELECT id, CAST(3 AS BIGINT) AS n_samples, label AS winner, 0.0 AS variation_ratio, true AS agreed FROM s WHERE split = 'validation'"))
 def _(spark, d):
     from latticeloom.operators.uncertainty import committee_uncertainty
 
-    rows = cut_lineage(_labelled(spark, d))
-    models = ml.train_committee(rows, 3, [8], 3, max_iter=10)
-    out = committee_uncertainty(ml.committee_samples(rows, models), 3)
-    return out.select("id", "n_samples", *[rounded(c, 4).alias(c) for c in ("variation_ratio", "predictive_entropy", "mutual_information")])
+    _, train, held = _split(_labelled(spark, d))
+    models = ml.train_committee(train, 3, [8], 3, max_iter=30)
+    out = committee_uncertainty(ml.committee_samples(held, models), 3)
+    # members that agree for sure leave no mutual information
+    return out.select("id", "n_samples", long(V.argmax(F.col("mean_probs"))).alias("winner"), rounded("variation_ratio", 4).alias("variation_ratio"),
+                      ((F.col("mutual_information") < 0.3) & (F.col("predictive_entropy") < 0.6)).alias("agreed"))
 
 
 @query("E23_class_names", """

@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,48 @@ def test_block_measures_equal_the_columns(spark, metric):
     assert kernels.cross_similarity(df, df.limit(0), metric).count() == 0
 
 
+def test_many_columns(spark):
+    """10,000 columns, planted directions, no matrix of columns by columns."""
+    d, n = 10_000, 120
+    rng = np.random.default_rng(1)
+    directions = np.linalg.qr(rng.normal(size=(d, 2)))[0]
+    weights = rng.normal(size=(n, 2)) * [40.0, 20.0]
+    x = weights @ directions.T + 0.01 * rng.normal(size=(n, d)) + 3.0
+    df = spark.createDataFrame(pa.table({"id": list(range(n)), "vec": pa.array(list(x))}))
+    out, share = linear.pca(df, 2, "mean")
+    coords = np.stack(out.orderBy("id").toPandas()["coords"])
+    u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose(np.abs(coords), np.abs(u[:, :2] * s[:2]), atol=1e-6)
+    assert share == pytest.approx((s[:2] ** 2).sum() / (s ** 2).sum(), abs=1e-9)
+    _, values = linear.truncated_svd(df, 3, "none")
+    assert np.allclose(values, np.linalg.svd(x, compute_uv=False)[:3])
+
+
+def test_directions_of_flat_spectra(spark):
+    x = np.random.default_rng(2).normal(size=(300, 40))
+    found, v = linear.top_directions(matrix(spark, x), 3, [0.0] * 40, [1.0] * 40)
+    want = np.linalg.eigvalsh(x.T @ x)[::-1][:3]
+    assert np.allclose(found, want) and np.allclose(v.T @ v, np.eye(3)) and np.allclose(np.linalg.norm(x @ v, axis=0) ** 2, want)
+
+
+def test_planted_rings(spark):
+    """Three rings inside each other: no single direction of space parts them."""
+    rng = np.random.default_rng(8)
+    points = []
+    for ring, (r, n) in enumerate(((1.0, 40), (2.0, 70), (3.0, 100))):
+        turn = 2 * np.pi * (np.arange(n) + rng.uniform(-0.2, 0.2, n)) / n
+        points += [(ring, r * np.cos(t), r * np.sin(t)) for t in turn]
+    place = np.array([p[1:] for p in points])
+    apart = np.linalg.norm(place[:, None] - place[None], axis=2)
+    edges = [(i, j, float(np.exp(-apart[i, j] ** 2 / 0.08))) for i in range(len(points)) for j in range(i) if apart[i, j] < 0.5]
+    edges += [(0, 40, 1e-4), (41, 110, 1e-4)]                                   # faint bridges
+    ids = spark.range(len(points) + 2)
+    out = {r["id"]: r["cluster"] for r in ml.spectral_clusters(spark.createDataFrame(edges, "src long, dst long, weight double"), 3, ids).collect()}
+    assert len(out) == len(points) + 2 and [out[len(points)], out[len(points) + 1]] == [None, None]
+    groups = [{out[i] for i, p in enumerate(points) if p[0] == ring} for ring in range(3)]
+    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
+
+
 def test_vector_shapes(spark):
     df = spark.createDataFrame([(1, [3.0, 1.0, 2.0, 2.0])], "id int, v array<double>")
     r = df.select(V.min_max(F.col("v")).alias("m"), V.argmax(F.col("v")).alias("a"), V.one_hot(F.lit(2), 3).alias("h"),
@@ -176,8 +219,16 @@ def test_input_checks(spark):
 def test_long_screening(spark, table):
     df, _ = table
     values = features.combine_features_long(df, "id", [(f"f{i}", F.col(f"f{i}")) for i in range(8)])
-    top = sparse_model.screen_long(values, df, "id", "y", 2).toPandas()
-    assert list(top["feature"]) == ["f2", "f5"]
+    assert sparse_model.screen_long(values, df, ["y"], 2) == ["f2", "f5"]
+    rest = df.withColumn("r", F.col("y") - 3 * F.col("f2"))
+    assert sparse_model.screen_long(values, rest, ["y", "r"], 1, known=["f2"]) == ["f5"]
+    models = sparse_model.fit_by_long_screening(values, df.select("id", F.col("y").alias("target")), 3, 2, 2)
+    assert [sorted(m["features"]) for m in models] == [["f2"], ["f2", "f5"], ["f0", "f2", "f5"]]
+    w = dict(zip(models[2]["features"], models[2]["weights"], strict=True))
+    assert w["f2"] == pytest.approx(3, abs=0.05) and w["f5"] == pytest.approx(-2, abs=0.05) and models[2]["intercept"] == pytest.approx(4, abs=0.05)
+    assert models[0]["mse"] > models[1]["mse"] > models[2]["mse"]
+    flat = values.withColumn("value", F.when(F.col("feature") == "f2", 1.0).otherwise(F.col("value")))
+    assert sparse_model.screen_long(flat, df, ["y"], 8)[0] == "f5" and "f2" not in sparse_model.screen_long(flat, df, ["y"], 8)
 
 
 # --- clustering and classification -------------------------------------------
@@ -279,6 +330,25 @@ def test_convex_hulls(spark):
     assert (got["c"] == "pair").sum() == 2 and (got["c"] == "one").sum() == 0
 
 
+@pytest.mark.parametrize("most", [7, 20_000])
+def test_hulls_in_parts(spark, most):
+    """Sides with many points are split; circles, lattices with corners on lines, and clouds."""
+    rng = np.random.default_rng(4)
+    turn = rng.uniform(0, 2 * np.pi, 200)
+    sets = {"circle": np.column_stack([np.cos(turn), np.sin(turn)]), "cloud": rng.normal(size=(400, 2)),
+            "lattice": np.array([(i, j) for i in range(7) for j in range(5)], dtype=float), "diamond": np.array(
+                [(i, j) for i in range(-4, 5) for j in range(-4, 5) if abs(i) + abs(j) <= 4], dtype=float) / 3,
+            "line": np.column_stack([np.arange(9.0), 2 * np.arange(9.0)]), "same": np.ones((5, 2))}
+    rows = [(n, float(x), float(y)) for n, p in sets.items() for x, y in p] + [(None, 0.0, 0.0), (None, 1.0, 0.0), (None, 0.0, 1.0), ("cloud", None, 9.0)]
+    got = fields.convex_hulls(spark.createDataFrame(rows, "c string, x double, y double"), "c", most=most).orderBy("c", "corner").toPandas()
+    for name, p in sets.items():
+        part = got[got["c"] == name]
+        want = fields._hull([tuple(q) for q in p.tolist()])
+        assert list(part["corner"]) == list(range(len(part)))
+        assert [tuple(q) for q in part[["x", "y"]].to_numpy().tolist()] == (want if len(want) > 1 else []), name
+    assert got["c"].isna().sum() == 3
+
+
 def test_binary_energies_by_hand(spark):
     df = spark.createDataFrame([("SeZn", 225, 10.0), ("SeZn", 221, 8.0), ("SeZn", 227, 4.0), ("SeZn", 216, 5.0), ("LiF", 225, 3.0)],
                                "m string, sg int, e double")
@@ -355,9 +425,9 @@ def test_spectral_clusters_keep_isolated_points(spark):
 
     points = spark.range(6)
     affinity = spark.createDataFrame([(0, 1, 1.0), (2, 3, 1.0)], "src long, dst long, weight double")
-    out = {r.id: r.cluster for r in ml.spectral_clusters(affinity, 2, 5, points).collect()}
+    out = {r.id: r.cluster for r in ml.spectral_clusters(affinity, 2, points).collect()}
     assert sorted(out) == list(range(6)) and all((out[i] is None) == (i > 3) for i in out)
-    none = ml.spectral_clusters(affinity.limit(0), 2, 5, points).collect()
+    none = ml.spectral_clusters(affinity.limit(0), 2, points).collect()
     assert len(none) == 6 and all(r.cluster is None for r in none)
     folder = "/root/testdata/sf0.01"
     rows = load_queries().QUERIES["E11_spectral_clusters"](spark, folder).collect()
