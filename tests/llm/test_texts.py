@@ -174,20 +174,51 @@ def test_boilerplate_family_against_brute_force(spark):
     assert got == want
 
 
-def test_many_texts_of_a_key_meet_their_centre():
+def test_many_texts_of_a_key_meet_their_centre(monkeypatch):
     r = np.random.default_rng(3)
     centre = r.integers(0, 1 << 62)
     prints = np.array([centre] + [centre ^ (1 << int(a)) ^ (1 << int(b)) for a, b in r.choice(60, (900, 2))], dtype=np.int64)
     one = np.unique(prints.view(np.uint64))
-    pairs, middle = neartexts.near_in_part(one)
-    assert middle == centre and set(one.tolist()) == set(pairs.ravel().tolist()) and len(pairs) <= 2 * len(one)
+    pairs, middle, whole = neartexts.near_in_part(one, 5)
+    other = neartexts.near_in_part(one, 6)[0]
+    # under every second key each, and the key is told as not wholly compared
+    assert middle == centre and not whole and 0.3 * len(one) < len(pairs) < 0.7 * len(one)
+    assert set(map(tuple, pairs.tolist())) != set(map(tuple, other.tolist()))
+    monkeypatch.setattr(neartexts, "CROWD", 10_000)
+    pairs, middle, whole = neartexts.near_in_part(one, 5)
+    assert middle == centre and set(one.tolist()) == set(pairs.ravel().tolist()) and len(pairs) <= 2 * len(one) and not whole
+    few, _, whole = neartexts.near_in_part(one[:4], 5)
+    assert whole and len(few) == 6
+
+
+@pytest.mark.parametrize("part", [5, 2048])
+@pytest.mark.parametrize("batch", [3, 5000])
+def test_nodes_still_apart(monkeypatch, part, batch):
+    """Texts with a near one of another component, whatever the batches; all of them where a key has too many."""
+    monkeypatch.setattr(neartexts, "PART", part)
+    r = np.random.default_rng(5)
+    rows = []
+    for key, n in enumerate([1, 2, 40, 3, 60]):
+        centre = int(r.integers(0, 1 << 62))
+        for i in range(n):
+            bits = r.choice(60, 5 if i % 3 else 30, replace=False)
+            rows.append((key, centre ^ int(sum(1 << int(b) for b in bits)), 100 * key + i, int(r.integers(0, 2))))
+    rows.sort(key=lambda x: (x[0], x[1]))
+    batches = (pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows[i:i + batch]], pa.int32() if c == 0 else pa.int64()) for c in range(4)],
+                                          names=["key", "print", "node", "root"]) for i in range(0, len(rows), batch))
+    got = {x["node"] for b in neartexts._still_apart(batches) for x in b.to_pylist()}
+    close = {x[2] for x in rows for y in rows if x[0] == y[0] and x[3] != y[3] and (x[1] ^ y[1]).bit_count() <= neartexts.MOST_BITS}
+    large = {x[2] for x in rows if sum(y[0] == x[0] for y in rows) > part}
+    assert got == close | large and len(close) > 20
 
 
 @pytest.mark.parametrize("batch", [1, 7, 5000])
 @pytest.mark.parametrize("part", [2, 16, 4096])
 def test_parts_of_a_key_stay_linked(monkeypatch, part, batch):
-    """Near fingerprints of one key are one component, whatever the parts and batches; other keys stay apart."""
-    monkeypatch.setattr(neartexts.KeyPairs.__init__, "__defaults__", (part,))
+    """Near fingerprints of one key are one component, whatever the parts and batches; other keys stay apart. Keys of which not
+    all near pairs are given are told."""
+    monkeypatch.setattr(neartexts.KeyPairs.__init__, "__defaults__", (0, part))
+    monkeypatch.setattr(neartexts, "CROWD", 10_000)
     r = np.random.default_rng(4)
     rows, groups = [], []
     for key, n in enumerate([1, 2, 3, 300, 2, 1]):
@@ -198,7 +229,11 @@ def test_parts_of_a_key_stay_linked(monkeypatch, part, batch):
     batches = (pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[i:i + batch]], pa.int32()),
                                            pa.array([p for _, p in rows[i:i + batch]], pa.int64())], names=["key", "print"])
                for i in range(0, len(rows), batch))
-    pairs = {(x["a"], x["b"]) for b in neartexts._candidates(batches) for x in b.to_pylist()}
+    out = [x for b in neartexts._candidates(batches) for x in b.to_pylist()]
+    pairs = {(x["a"], x["b"]) for x in out if x["key"] is None}
+    told = {x["key"] for x in out if x["key"] is not None}
+    # keys in parts are always told; with parts of two, a key of two may be one
+    assert told == {3} if part > 3 else {2, 3} <= told <= {1, 2, 3, 4}
     root = {p: p for g in groups for p in g}
 
     def top(p):
