@@ -228,7 +228,7 @@ def fit_by_screening(df: DataFrame, features: Sequence[str], target: str, max_di
     work = df.withColumn("_residual", F.col(target).cast("double"))
     for k in range(1, max_dim + 1):
         fresh = [c for c in features if c not in pool]
-        pool += screen_by_correlation(work, fresh, "_residual", per_step)
+        pool += screen_by_correlation(work, fresh, "_residual", per_step) if fresh else []
         models.append(best_subset(df, pool, moments(df, pool, target), min(k, len(pool))))
         work = predict(df, models[-1], "_p").withColumn("_residual", F.col(target) - F.col("_p")).drop("_p")
     return models

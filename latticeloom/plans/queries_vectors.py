@@ -466,7 +466,10 @@ def _(spark, d):
 
 @query("E9_gaussian_mixture", "SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY vec_id % 2) AS least, 1.0 AS p FROM embeddings")
 def _(spark, d):
-    out = ml.cluster(_groups(spark, d, 2), "gaussian_mixture", mode="none", k=2, maxIter=50)
+    # three sums that use every component, the two groups moved apart in each
+    third = lambda k: F.aggregate(F.filter("vec", lambda x, i: i % 3 == k), F.lit(0.0), lambda a, x: a + x) + 9.0 * F.col("group")
+    apart = _groups(spark, d, 2).withColumn("vec", F.array(*[third(k) for k in range(3)]))
+    out = ml.cluster(apart, "gaussian_mixture", mode="none", k=2, maxIter=300, tol=1e-9)
     return _named(out).select("id", "least", rounded(F.array_max("cluster_probs"), 4).alias("p"))
 
 
