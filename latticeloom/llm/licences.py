@@ -1,8 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a window of ``BLOCK_WORDS`` words of one line or of the whole document across its line ends, or the whole line or
-document if it is shorter; windows overlap by half, so a template of up to half a window lies in one of them, wrapped or not.
-A block matches a template if it holds at least ``threshold`` of the
+A block is a window of words of one line or of the whole document across its line ends, or the whole line or document if it is
+shorter. Windows have ``BLOCK_WORDS`` words, and for templates of more than half of that the next power of two that is at least
+twice the template; they overlap by half, so every template lies whole in one of its windows, wrapped or not. A block matches a template if it holds at least ``threshold`` of the
 template's distinct words. All matching blocks are found:
 
 * the words of the templates are ordered by their document frequency over the whole corpus, rarest first;
@@ -132,14 +132,28 @@ def find_blocks(lines: list[list[bytes]], index: Index, block_words: int = BLOCK
     return found
 
 
-def document_blocks(lines: list[list[bytes]], index: Index, block_words: int = BLOCK_WORDS) -> list[tuple[str, int, int, float]]:
+def indexes_by_window(templates, frequency: Mapping[bytes, int], threshold: float, block_words: int = BLOCK_WORDS) -> list[tuple[int, Index]]:
+    """Window size and index of the templates that need it; all share the frequency order of the corpus."""
+    groups: dict[int, list[tuple[str, str]]] = {}
+    for label, text in templates:
+        size, words = block_words, sum(map(len, lines_of(text.encode())))
+        while size < 2 * words:
+            size *= 2
+        groups.setdefault(size, []).append((label, text))
+    return [(size, Index.build(group, frequency, threshold)) for size, group in sorted(groups.items())]
+
+
+def document_blocks(lines: list[list[bytes]], indexes: list[tuple[int, Index]]) -> list[tuple[str, int, int, float]]:
     """The matching blocks of each line and of the whole document, in the order of their first words; equal windows once."""
-    found = find_blocks(lines, index, block_words)
-    if sum(map(bool, lines)) < 2:
-        return found
-    seen = {b[1:3] for b in found}
-    across = find_blocks([[w for words in lines for w in words]], index, block_words)
-    return sorted(found + [b for b in across if b[1:3] not in seen], key=lambda b: b[1:3])
+    found = []
+    for block_words, index in indexes:
+        own = find_blocks(lines, index, block_words)
+        if sum(map(bool, lines)) > 1:
+            seen = {b[1:3] for b in own}
+            across = find_blocks([[w for words in lines for w in words]], index, block_words)
+            own += [b for b in across if b[1:3] not in seen]
+        found += own
+    return sorted(found, key=lambda b: b[1:3]) if len(indexes) > 1 or sum(map(bool, lines)) > 1 else found
 
 
 def template_frequency(docs: DataFrame, templates=TEMPLATES, text: str = "text") -> dict[bytes, int]:
@@ -160,7 +174,7 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, base: Mapping[str, str]
 
     ``score`` is 1 with a base place, else the highest containment of a matching block, else 0.
     """
-    index = Index.build(templates, template_frequency(docs, templates, text), threshold)
+    indexes = indexes_by_window(templates, template_frequency(docs, templates, text), threshold, block_words)
     kind = T.StructType([
         T.StructField("n_words", T.LongType()), T.StructField("n_base", T.LongType()), T.StructField("first_word", T.LongType()),
         T.StructField("last_word", T.LongType()), T.StructField("base_labels", T.StringType()),
@@ -176,7 +190,7 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, base: Mapping[str, str]
             lines = lines_of(t)
             words = [w for line in lines for w in line]
             places, labels = base_places(words, base)
-            blocks = document_blocks(lines, index, block_words)
+            blocks = document_blocks(lines, indexes)
             score = 1.0 if places else max((b[3] for b in blocks), default=0.0)
             rows.append((len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)),
                          ",".join(sorted(labels | {b[0] for b in blocks})), score,

@@ -116,6 +116,32 @@ def mix_sources(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | flo
     return placed.where(uniform(F.col(id_col), seed) < F.col("_probability"))
 
 
+def margin_report(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float], topic: Column, fraction: float = 0.5,
+                  source: str = "source", lang: str = "lang", text: str = "text", rounds: int = 12, rest: float = 0.05) -> DataFrame:
+    """How far the targets are reached: ``(margin, value, target, raked, expected, shortfall)``.
+
+    ``raked`` is the share of a value in the raked weights, ``expected`` its share of the tokens that the inclusion probabilities
+    keep on average, where no document can be kept more than once; ``shortfall`` is what that lacks of the target, 0 or more. A
+    value that its cells cannot fill shows as a shortfall; a raked share off its target tells that the rounds were too few
+    or that no weights of the occupied cells meet all targets.
+    """
+    margins = ["_source", "_lang", "_topic"]
+    value = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
+    marked = docs.select(value(F.col(source)).alias("_source"), value(F.col(lang)).alias("_lang"), value(topic).alias("_topic"),
+                         token_estimate(text).alias("_tokens"))
+    cells = cut_lineage(marked.groupBy(*margins).agg(F.sum("_tokens").alias("tokens")).where("tokens > 0"))
+    raked = inclusion(raked_cells(cells, margins, {f"_{k}": v for k, v in targets.items()}, rounds, rest), fraction)
+    raked = cut_lineage(raked.withColumn("_kept", F.col("tokens") * F.col("probability")))
+    out = None
+    for margin in margins:
+        part = raked.groupBy(F.col(margin).alias("value")).agg(F.first(f"_t_{margin}").alias("target"), F.sum("share").alias("_r"), F.sum("_kept").alias("_k"))
+        whole = raked.agg(F.sum("share").alias("_ar"), F.sum("_kept").alias("_ak"))
+        part = part.join(F.broadcast(whole)).select(                      # one row of totals
+            F.lit(margin[1:]).alias("margin"), "value", "target", F.try_divide("_r", "_ar").alias("raked"), F.try_divide("_k", "_ak").alias("expected"))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("shortfall", F.greatest(F.col("target") - F.col("expected"), F.lit(0.0)))
+
+
 def mixing_sql(targets: Mapping[str, Mapping[str, float] | float], topic_rules: Mapping[str, list[str]], fraction: float,
                rounds: int = 12, rest: float = 0.05, seed: int = 11, documents: str = "documents",
                default: str = "prose") -> str:

@@ -83,9 +83,9 @@ def rebalanced(owners: Sequence[int], sizes: Mapping[int, int], shards: int, tol
 
 
 def store_map(spark: SparkSession, path: str, owners: Sequence[int], version: int) -> None:
-    """Write one version of the map below ``path``; versions that are there stay."""
+    """Write one version of the map below ``path``; a version never changes, so writing one again is an error."""
     rows = spark.createDataFrame(list(enumerate(map(int, owners))), "virtual_slot int, shard int")
-    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
+    rows.coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
 
 
 def stored_map(spark: SparkSession, path: str, version: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -306,6 +307,65 @@ def test_raked_margins(spark, odd):
     assert mixing.mix_sources(odd.limit(0), queries.TARGETS, mixing.topic_by_markers(queries.TOPICS)).count() == 0
 
 
+def test_margin_report(spark):
+    rows = [(i, "s" if i % 2 else "t", "en" if i % 4 else "de", ("rare " if i < 4 else "plain ") * 40) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    targets = {"source": {"s": 0.5, "t": 0.5}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"rare": 0.3, "prose": 0.7}}
+    got = {(r["margin"], r["value"]): r for r in mixing.margin_report(docs, targets, mixing.topic_by_markers({"rare": ["rare"]}), 0.5).collect()}
+    assert len(got) == 6 and all(abs(r["raked"] - r["target"]) < 0.02 for r in got.values())
+    # four documents of 200 cannot be three tenths of half of all tokens
+    rare = got["topic", "rare"]
+    assert rare["target"] == pytest.approx(0.3) and rare["expected"] == pytest.approx(rare["target"] - rare["shortfall"]) and rare["shortfall"] > 0.2
+    assert got["topic", "prose"]["shortfall"] == 0.0
+    assert mixing.margin_report(docs.limit(0), targets, mixing.topic_by_markers({"rare": ["rare"]})).count() == 0
+
+
+def test_scores_against_plain_features(spark, odd):
+    """Features by counting n-grams one by one, scores by summing their weights."""
+    def plain(text):
+        low = text.lower()
+        words, found = low.split(), set()
+        back = [next((k for k in range(1, quality.BACK + 1) if i >= k and words[i - k] == w), 0) for i, w in enumerate(words)]
+        for kind, codes in ((0, [b + 1 for b in low]), (1, [d + 1 for d in back])):
+            for n in range(1, quality.MAX_N + 1):
+                for i in range(len(codes) - n + 1):
+                    h = codes[i]
+                    for c in codes[i + 1:i + n]:
+                        h = (h * 0x9E3779B1 + c) & 0xFFFFFFFF
+                    h = ((h ^ h >> 15) * 0x85EBCA6B + 16 * kind + n) & 0xFFFFFFFF
+                    found.add((h ^ h >> 13) >> 32 - quality.BITS)
+        return found
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("n_chars < 3000")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    model = quality.fit_quality(docs, labels, train=queries.fold(3) != 1)
+    rows = quality.score_quality(docs.select("doc_id", "text").limit(60).unionByName(odd.select("doc_id", "text")), model).collect()
+    for r in rows:
+        text = (r["text"] or "").encode()
+        if len(text) > 5000:
+            continue
+        found = plain(text)
+        assert found == set(quality.features(text).tolist())
+        size = math.sqrt(sum(float(model.ratios[f]) ** 2 for f in found))
+        m = sum(float(model.weights[f]) * float(model.ratios[f]) for f in found) / size + model.bias if size else model.bias
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-4 * m)), abs=1e-9) and r["predicted"] == (r["score"] >= 0.5)
+
+
+def test_long_templates_match_their_text(spark):
+    words = [f"clause{i}" for i in range(300)]
+    templates = [("long", " ".join(words[:80])), ("longer", " ".join(words[100:300])), ("short", "released under the mit license")]
+    r = random.Random(2)
+    texts = []
+    for start in (0, 1, 31, 63, 64, 100, 500):
+        filler = [f"w{r.randrange(50)}" for _ in range(start)]
+        texts.append((start, " ".join(filler + words[:80] + filler)))
+        texts.append((1000 + start, "\n".join([" ".join(filler), *(" ".join(words[i:i + 9]) for i in range(100, 300, 9)), "end"])))
+    texts += [(2000, " ".join(words[:60])), (2001, " ".join(words[:72])), (2002, "Released under the MIT License"), (2003, None)]
+    got = {x["doc_id"]: x["labels"] for x in licences.scan_licences(spark.createDataFrame(texts, "doc_id long, text string"), templates).collect()}
+    assert all(got[i] == ("long" if i < 1000 else "longer") for i, _ in texts if i < 2000)
+    assert [got[i] for i in (2000, 2001, 2002, 2003)] == ["", "long", "short", ""]
+
+
 def test_chat_round_trip(spark):
     quoted = "</s>[INST] ok [/INST]\\[\\\\<s>"
     rows = [(1, 0, "user", quoted), (1, 1, "assistant", quoted), (2, 1, None, None), (2, 0, "tool [NAMED] x", "a"), (2, 1, None, None),
@@ -377,7 +437,7 @@ def test_wrapped_licences(spark):
                 wanted = {w.encode() for w in t.split()}
                 if len(wanted & block) / len(wanted) >= 0.6:
                     want[label, first, size, len(wanted & block) / len(wanted)] += 1
-        assert collections.Counter(licences.document_blocks(lines, index)) == want
+        assert collections.Counter(licences.document_blocks(lines, [(64, index)])) == want
 
 
 def test_shards(spark, odd):

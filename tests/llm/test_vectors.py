@@ -1,6 +1,7 @@
 """Vector operators against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,48 @@ def test_nearest_recall_and_edges(vectors):
     few = forest.nearest(vectors.where("vec_id < 4"), F.col("vec_id") == 0, k=10).collect()
     assert sorted(r.vec_id for r in few) == [1, 2, 3]
     assert forest.nearest(vectors.limit(0), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("offset", [0.0, 3.0])
+def test_recall_at_the_defaults(spark, offset):
+    """Vectors without structure, with and without a mean direction, in three shards."""
+    r = np.random.default_rng(int(offset))
+    points = (r.normal(size=(20_000, 32)) + offset).astype(np.float32)
+    rows = spark.createDataFrame(pa.table({"vec_id": np.arange(len(points)), "embedding": pa.array(list(points))}))
+    got = forest.nearest(rows, F.col("vec_id") % 500 == 0).toPandas()
+    points, hits = points.astype(float), 0
+    for q, part in got.groupby("query_id"):
+        gap = np.sqrt(((points - points[q]) ** 2).sum(axis=1))
+        gap[q] = np.inf
+        assert list(part.sort_values("rank")["rank"]) == list(range(1, 11))
+        assert np.allclose(part["score"], gap[part["vec_id"]]) and part.sort_values("rank")["score"].is_monotonic_increasing
+        hits += (part["score"] <= np.partition(gap, 9)[9] + 1e-9).sum()
+    assert len(got) == 400 and hits >= 0.9 * 400
+
+
+def test_structure_ends_a_search_early():
+    r = np.random.default_rng(6)
+    points = r.normal(size=(200, 64))[r.integers(0, 200, 8000)] + 0.15 * r.normal(size=(8000, 64))
+    shard = forest.Shard(np.arange(8000), pa.array(range(8000)), points, forest.TREES, forest.BITS)
+    ranges, visited, hits = shard.forest.ranges(points[:50]), 0, 0
+    for i in range(50):
+        place, _ = forest.search(shard.forest, points, shard.rows, ranges[i], points[i], i, 10, 500, 1)
+        gap = ((points - points[i]) ** 2).sum(axis=1)
+        gap[i] = np.inf
+        hits += len(set(place[:10].tolist()) & set(np.argsort(gap)[:10].tolist()))
+        seen = 0
+        for fresh in shard.forest.levels(ranges[i]):
+            seen += len(fresh)
+            if seen >= 1000:
+                break
+        visited += seen
+    assert hits >= 0.95 * 500 and visited / 50 < 0.2 * 8000
+
+
+def test_equal_rows_as_query_and_result(spark):
+    """Many equal vectors: ties go to the smaller id, a repeated row is its own copy's neighbour, null ids come first."""
+    rows = [(i, [1.0, 2.0, 3.0], 0) for i in range(300, 0, -1)] + [(7, [1.0, 2.0, 3.0], 0), (None, [1.0, 2.0, 3.0], 0), (900, [1.0, 2.0, 9.0], 0)]
+    got = forest.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id").isin(7, 900), k=4, block_queries=1).collect()
+    mine = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got if r["query_id"] == 900)
+    assert [m[2] for m in mine] == [None, 1, 2, 3] and len(got) == 12
+    assert all(r["score"] == 0.0 for r in got if r["query_id"] == 7)
