@@ -98,19 +98,18 @@ def read_geometry(spark: SparkSession, folder: str, suffix: str = ".in") -> tupl
     files = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
              .text(folder, wholetext=True)
              .select(F.col("_metadata.file_path").alias("source"), "value"))
-    lines = files.select("source", F.posexplode(F.split("value", "\n")).alias("line_no", "value")).select(
-        "source", "line_no", _tokens(F.col("value")).alias("t"))
-    lines = lines.where(F.col("t")[0].isin("lattice_vector", "atom", "atom_frac")).select(
-        "source", "line_no", F.col("t")[0].alias("kind"),
-        F.array(*[F.col("t")[i].cast("double") for i in (1, 2, 3)]).alias("v"), F.get("t", F.lit(4)).alias("symbol"))
-    # a file is one wholetext row, so its three cell lines are a bounded group
-    cell = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "lattice_vector", F.struct("line_no", "v")))),
-                       lambda s: s["v"])
-    structures = lines.groupBy("source").agg(cell.alias("cell")).select(
-        _stem(F.col("source")).alias("label"), F.col("source").alias(STRUCTURE), "cell",
-        F.array_repeat(F.size("cell") == 3, 3).alias("pbc"))
-    rows = lookup_join(lines.where(F.col("kind") != "lattice_vector"),
-                       structures.select(F.col(STRUCTURE).alias("source"), "cell"), "source", "left")
+    # a file is one row, so its cell and its atoms come from one expression each and nothing is shuffled
+    parsed = F.filter(F.transform(F.split("value", "\n"), lambda line, i: F.struct(i.alias("line_no"), _tokens(line).alias("t"))),
+                      lambda x: F.get(x["t"], F.lit(0)).isin("lattice_vector", "atom", "atom_frac"))
+    files = files.select("source", parsed.alias("p")).where(F.size("p") > 0)
+    is_cell = lambda x: x["t"][0] == "lattice_vector"
+    vector = lambda t: F.array(*[t[i].cast("double") for i in (1, 2, 3)])
+    files = files.select("source", F.transform(F.filter("p", is_cell), lambda x: vector(x["t"])).alias("cell"),
+                         F.filter("p", lambda x: ~is_cell(x)).alias("places"))
+    structures = files.select(_stem(F.col("source")).alias("label"), F.col("source").alias(STRUCTURE), "cell",
+                              F.array_repeat(F.size("cell") == 3, 3).alias("pbc"))
+    rows = files.select("source", "cell", F.explode("places").alias("p")).select(
+        "source", "cell", "p.line_no", F.col("p.t")[0].alias("kind"), vector(F.col("p.t")).alias("v"), F.get("p.t", F.lit(4)).alias("symbol"))
     xyz = [F.when(F.col("kind") == "atom", F.col("v")[k]).otherwise(
         sum((F.col("v")[i] * F.get(F.get("cell", F.lit(i)), F.lit(k)) for i in (1, 2)),
             F.col("v")[0] * F.get(F.get("cell", F.lit(0)), F.lit(k)))) for k in range(3)]
