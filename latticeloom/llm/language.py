@@ -7,8 +7,10 @@ own. A phrase costs as many bits as it takes to point into the sample, so
     cost(language) = phrases * log2(bytes of the sample) / bytes of the document
 
 and the language of the least cost wins; ties go to the smallest name. Text is normalised to lower-case UTF-8 bytes in which
-each run of ASCII non-letters is one space. Phrases do not cross the borders of blocks of ``BLOCK`` bytes, so that long
-texts parse in parallel; whole texts are always parsed.
+each run of ASCII non-letters is one space. Long texts are cut into blocks of ``BLOCK`` bytes that are parsed side by side, each as
+if a phrase began with it. Then the phrase that runs into a block is carried on from the block before, until one of its ends falls on
+an end of the block's own parse, after which both are the same. So phrases cross the borders, and the count is that of
+the whole text parsed from its first byte.
 
 Automata are dense tables (states x distinct bytes), so any script takes the same space per byte of sample: at most
 ``2 * sample_bytes`` states. All documents of a batch advance together, one byte a step, in NumPy.
@@ -79,18 +81,36 @@ class Automaton:
         self.table[places] = [v for t in nexts for v in t.values()]
         self.bits = float(np.log2(len(text) + 1))
 
-    def phrases(self, lanes: np.ndarray, active: np.ndarray) -> np.ndarray:
-        """Phrases of each lane; ``lanes`` is (steps, lanes), and the first ``active[t]`` lanes have a byte at step t."""
-        count = np.zeros(lanes.shape[1], dtype=np.int64)
+    def step(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a phrase begins with this byte, and the state after it; -1 after a byte that the sample lacks."""
+        after = self.table[np.maximum(state, 0) * self.width + code]
+        begins = (state < 0) | (after < 0)
+        return begins, np.where(begins, self.table[:self.width][code], after)
+
+    def parse(self, lanes: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where phrases begin in each lane (steps, lanes), and the last state of each; the first ``active[t]`` lanes have a
+        byte at step t."""
+        begins = np.zeros(lanes.shape, dtype=bool)
         state = np.full(lanes.shape[1], -1, dtype=np.int32)
-        start = self.table[:self.width]
         for t, n in enumerate(active):
-            code = self.codes[lanes[t, :n]]
-            step = self.table[np.maximum(state[:n], 0) * self.width + code]
-            ended = (state[:n] < 0) | (step < 0)
-            count[:n] += ended
-            state[:n] = np.where(ended, start[code], step)      # -1 after an unknown byte: the next byte begins a phrase
-        return count
+            begins[t, :n], state[:n] = self.step(state[:n], self.codes[lanes[t, :n]])
+        return begins, state
+
+    def carried(self, lanes: np.ndarray, begins: np.ndarray, last: np.ndarray, held: np.ndarray, columns: np.ndarray,
+                state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parse the lanes ``columns`` again from the states before them, as far as they differ from ``begins``: how many more
+        phrases begin there (or fewer, below 0), and the last state of each."""
+        more, state, open_ = np.zeros(len(columns), dtype=np.int64), state.copy(), np.arange(len(columns))
+        t = 0
+        while len(open_):
+            at = columns[open_]
+            starts, after = self.step(state[open_], self.codes[lanes[t, at]])
+            met = starts & begins[t, at]
+            more[open_] += np.where(met, 0, starts.astype(np.int64) - begins[t, at])
+            state[open_] = np.where(met, last[at], after)
+            t += 1
+            open_ = open_[~met & (held[at] > t)]
+        return more, state
 
 
 @lru_cache(maxsize=1)
@@ -115,8 +135,21 @@ def phrase_counts(texts: list[bytes], automata: list[Automaton], block: int = BL
     data = np.frombuffer(b"".join(texts) + bytes(block), dtype=np.uint8)
     lanes = data[first[None, :] + np.arange(held[0])[:, None]]
     active = np.searchsorted(-held, -np.arange(held[0]), side="left")
+    column = np.empty(len(owner), dtype=np.int64)                   # lane of each block in the order of the text
+    column[order] = np.arange(len(owner))
+    begin = np.cumsum(blocks) - blocks
     for k, automaton in enumerate(automata):
-        counts[:, k] = np.bincount(owner, weights=automaton.phrases(lanes, active), minlength=len(texts))
+        begins, last = automaton.parse(lanes, active)
+        counts[:, k] = np.bincount(owner, weights=begins.sum(axis=0), minlength=len(texts))
+        long = np.flatnonzero(blocks > 1)
+        state = last[column[begin[long]]]
+        nth = 1
+        while len(long):
+            more, state = automaton.carried(lanes, begins, last, held, column[begin[long] + nth], state)
+            counts[long, k] += more
+            nth += 1
+            goes_on = blocks[long] > nth
+            long, state = long[goes_on], state[goes_on]
     return counts
 
 

@@ -25,12 +25,17 @@ def fold(folds: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
 
 
+def held_out(folds: int, remainder: int):
+    """Whether a row is held out; a row without an id is in no fold, is not learned from and not held out."""
+    return F.coalesce(fold(folds) == remainder, F.lit(False)).alias("held_out")
+
+
 @query
 def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document, learned outside the held-out third."""
     docs = table(spark, folder, "documents")
     model = quality.fit_quality(docs, table(spark, folder, "labels"), train=fold(3) != 1)
-    return quality.score_quality(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+    return quality.score_quality(docs, model).select("doc_id", held_out(3, 1), "score", "predicted")
 
 
 @query
@@ -45,7 +50,7 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     samples = language.training_samples(docs, fold(5) != 0)
     return language.identify_language(docs, samples).select(
-        "doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score", "entropy")
+        "doc_id", held_out(5, 0), "lang_pred", "score", "entropy")
 
 
 @query

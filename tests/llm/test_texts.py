@@ -58,15 +58,13 @@ def test_quality_edges(spark, odd):
     assert quality.score_quality(odd.limit(0), quality.fit_quality(odd, one)).count() == 0
 
 
-def brute_phrases(text, sample, block=language.BLOCK):
-    count = 0
-    for at in range(0, len(text), block):
-        part, i = text[at:at + block], 0
-        while i < len(part):
-            n = 0
-            while i + n < len(part) and part[i:i + n + 1] in sample:
-                n += 1
-            i, count = i + max(n, 1), count + 1
+def brute_phrases(text, sample):
+    count = i = 0
+    while i < len(text):
+        n = 0
+        while i + n < len(text) and text[i:i + n + 1] in sample:
+            n += 1
+        i, count = i + max(n, 1), count + 1
     return count
 
 
@@ -351,6 +349,18 @@ def test_scores_against_plain_features(spark, odd):
         assert r["score"] == pytest.approx(1 / (1 + math.exp(-4 * m)), abs=1e-9) and r["predicted"] == (r["score"] >= 0.5)
 
 
+@pytest.mark.parametrize("block", [4, 7, 512])
+def test_phrases_cross_blocks(block):
+    """Phrases of blocks equal those of a text parsed byte by byte from its start by looking for the longest match."""
+    r = random.Random(block)
+    sample = "".join(r.choice("abc ") for _ in range(400)).encode()
+    texts = [b"", b"a", b"zz"] + ["".join(r.choice("abc z") for _ in range(r.randrange(1, 60))).encode() for _ in range(40)]
+    texts += [sample[50:350], sample[3:200] + b"z" + sample[100:300], bytes(r.choice(b"abcz ") for _ in range(3000))]
+
+    got = language.phrase_counts(texts, [language.Automaton(sample), language.Automaton(b"ab")], block)
+    assert got.tolist() == [[brute_phrases(t, s) for s in (sample, b"ab")] for t in texts]
+
+
 def test_long_templates_match_their_text(spark):
     words = [f"clause{i}" for i in range(300)]
     templates = [("long", " ".join(words[:80])), ("longer", " ".join(words[100:300])), ("short", "released under the mit license")]
