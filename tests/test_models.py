@@ -81,6 +81,16 @@ def test_kernel_blocks_give_the_whole_matrix(spark):
         assert len(sym) == 10_000 and np.allclose(sym.pivot(index="row_id", columns="col_id", values="score"), RANDOM @ RANDOM.T)
 
 
+def test_kernel_blocks_are_stored_once(spark):
+    """No vector is shuffled for every block of the other set; several parts of blocks a side."""
+    df = matrix(spark, RANDOM)
+    for got in (kernels.rectangular_kernel(df, df, block_rows=3), kernels.symmetric_kernel(df, block_rows=3)):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan and "Generate" not in plan
+        assert got.select("row_id", "col_id").distinct().count() == got.count() == 10_000
+        assert np.allclose(got.toPandas().pivot(index="row_id", columns="col_id", values="score"), RANDOM @ RANDOM.T)
+
+
 @pytest.mark.parametrize("metric", sorted(V.METRICS))
 def test_block_measures_equal_the_columns(spark, metric):
     rows = [(i, v) for i, v in enumerate([[1.0, 2.0, -1.0], [0.0, 0.0, 0.0], None, [1.0, None, 2.0], [1.0, 2.0], [], [1.0, 2.0, -1.0], [0.5, 1e-9, 3.0]])]
