@@ -172,6 +172,30 @@ def test_fcc_bonds_have_one_signature(spark):
     assert full > 0 and inner >= 1 and inner <= full
 
 
+def test_signatures_of_repeated_and_missing_rows(spark, monkeypatch):
+    """As the bonds joined give them: repeated rows, ids at two places, null ids and places, cells cut into several groups."""
+    rng = np.random.default_rng(3)
+    rows = [(s, i, 1, *map(float, rng.normal(size=3) * 0.15)) for s in "ab" for i in range(40)]
+    rows += rows[:6] + rows[:2] + [("a", None, 1, 0.0, 0.0, 0.0), ("a", 90, 1, None, 0.0, 0.0), (None, 91, 1, 0.0, 0.0, 0.0)]
+    schema = "structure_id string, atom_id long, number int, x double, y double, z double"
+    for group, held, more in ((256, 4_000_000, []), (3, 50, [("b", 5, 1, 0.05, 0.0, 0.0)])):
+        monkeypatch.setattr(N, "CENTRES", group)
+        monkeypatch.setattr(N, "HELD_BONDS", held)
+        atoms = spark.createDataFrame(rows + more, schema)
+        got, want = N.common_neighbour_signatures(atoms, 0.2), N._signatures_by_join(atoms, 0.2)
+        assert got.dtypes == want.dtypes
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
+
+
+def test_signatures_shuffle_no_cliques(spark):
+    """What is stored and shuffled grows with the atoms, never with their triangles and cliques."""
+    atoms = spark.range(60).selectExpr("'s' AS structure_id", "id AS atom_id", "1 AS number", "id / 1000 AS x", "0D AS y", "0D AS z")
+    got = N.common_neighbour_signatures(atoms, 0.2)
+    assert {tuple(r) for r in got.select("n_common", "n_bonds").distinct().collect()} == {(58, 58 * 57 // 2)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "FlatMapCoGroupsInArrow" in plan
+
+
 # --- descriptors -------------------------------------------------------------
 
 def spectrum(atoms, cells=None, r=4.5):
