@@ -176,9 +176,10 @@ def test_signatures_of_repeated_and_missing_rows(spark, monkeypatch):
     """As the bonds joined give them: repeated rows, ids at two places, null ids and places, cells cut into several groups."""
     rng = np.random.default_rng(3)
     rows = [(s, i, 1, *map(float, rng.normal(size=3) * 0.15)) for s in "ab" for i in range(40)]
-    rows += rows[:6] + rows[:2] + [("a", None, 1, 0.0, 0.0, 0.0), ("a", 90, 1, None, 0.0, 0.0), (None, 91, 1, 0.0, 0.0, 0.0)]
+    rows += [("c", *r[1:]) for r in rows[:40]]
+    rows += rows[:40:5] + rows[:2] + [("a", None, 1, 0.0, 0.0, 0.0), ("a", 90, 1, None, 0.0, 0.0), (None, 91, 1, 0.0, 0.0, 0.0)]
     schema = "structure_id string, atom_id long, number int, x double, y double, z double"
-    for group, held, more in ((256, 4_000_000, []), (3, 50, [("b", 5, 1, 0.05, 0.0, 0.0)])):
+    for group, held, more in ((256, 4_000_000, []), (3, 50, [("b", 5, 1, 0.05, 0.0, 0.0)])):     # "c" has no repeated row
         monkeypatch.setattr(N, "CENTRES", group)
         monkeypatch.setattr(N, "HELD_BONDS", held)
         atoms = spark.createDataFrame(rows + more, schema)
