@@ -156,7 +156,8 @@ def fingerprint_links(prints: DataFrame, name: str = "_print", max_errors: int =
     files = one.select(F.col("p").alias("a"), F.explode(filed("p")).alias("key"))
     looks = one.select(F.col("p").alias("b"), F.explode(looked_up("p")).alias("key"))
     near = (F.col("a") != F.col("b")) & (distance(F.col("a"), F.col("b")) <= max_errors)
-    return (files.join(looks, (files["key"] == looks["key"]) & near)
+    # the planner does not know that a fingerprint becomes some 80 rows here, and would broadcast them as a small table
+    return (files.hint("merge").join(looks.hint("merge"), (files["key"] == looks["key"]) & near)
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 

@@ -467,3 +467,11 @@ def test_shards(spark, odd):
         weight[s] += sizes[slot]
     assert max(weight.values()) <= 1.03 * sum(weight.values()) / 40
     assert sharding.shard(records.limit(0), 5).count() == 0
+
+
+def test_lookups_of_fingerprints_are_never_broadcast(spark):
+    prints = spark.createDataFrame([(i * 0x9E3779B97F4A7C15 % 2 ** 63,) for i in range(50)] + [(1,), (3,)], "_print long")
+    links = simhash.fingerprint_links(prints)
+    assert {(1, 3)} <= {tuple(r) for r in links.collect()}
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
