@@ -65,6 +65,30 @@ def ranged_pairs(centres: DataFrame, targets: DataFrame, radius: float) -> DataF
     return rows.where((F.col("r") <= radius) & F.expr(" AND ".join(f"f_{a} <= l_{a}" for a in AXES)))
 
 
+def pairs_by_reach(ranged: DataFrame, reaches: DataFrame, levels: int = 16) -> DataFrame:
+    """Pairs ``(box_id, atom_id, number, other_number, dx, dy, dz, r)`` in each box of ``reaches (box_id, reach)``, both directions: all
+    within the box's reach, and some beyond.
+
+    One search as wide as the widest reach would meet, in crowded boxes, the pairs that only sparse ones need. So boxes whose
+    reach is within a factor of two are a level, and each level is searched among the atoms of its boxes.
+    """
+    reaches = reaches.where("reach > 0")
+    most = reaches.agg(F.max("reach")).first()[0]
+    level = F.least(F.floor(F.log2(F.lit(most) / F.col("reach"))), F.lit(levels - 1)).cast("int")
+    boxes = cut_lineage(reaches.select("box_id", "reach", level.alias("_level")))
+    widest = boxes.groupBy("_level").agg(F.max("reach").alias("reach")).orderBy("_level").collect()
+    held = lookup_join(in_boxes(ranged.select(STRUCTURE, "atom_id", *ENDS)), boxes, "box_id")
+    marked = cut_lineage(ranged.join(held.groupBy(STRUCTURE, "atom_id").agg(F.collect_set("_level").alias("_levels")), [STRUCTURE, "atom_id"]))
+    found = None
+    for row in widest:
+        atoms = marked.where(F.array_contains("_levels", row["_level"])).drop("_levels")
+        pairs = in_boxes(ranged_pairs(atoms, atoms, row["reach"] * (1 + 1e-9)).drop("other_id"))
+        pairs = lookup_join(pairs, boxes.where(F.col("_level") == row["_level"]), "box_id").select(
+            "box_id", "atom_id", "number", "other_number", "dx", "dy", "dz", "r")
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
 def nearest_in_boxes(ranged: DataFrame, radius: float) -> DataFrame:
     """Nearest neighbour within ``radius`` inside each box, per distinct position and box:
     ``(box_id, atom_id, number, n_atoms, nn, nn_any)``, null where the box has none in reach.

@@ -108,7 +108,10 @@ class EnvironmentDescriptor:
                 reach *= factors.agg(F.max("scale_factor")).first()[0] or 0.0
             if not reach:
                 return ranged.limit(0).select(STRUCTURE, F.array().cast("array<double>").alias("value"))
-            pairs = P.in_boxes(P.ranged_pairs(ranged, ranged, reach).drop("other_id"))
+            if factors is None:
+                pairs = P.in_boxes(P.ranged_pairs(ranged, ranged, reach).drop("other_id"))
+            else:
+                pairs = P.pairs_by_reach(ranged, factors.select("box_id", (F.lit(p["cutoff"]) * F.col("scale_factor")).alias("reach")))
             if kept is not None:
                 pairs = (pairs.join(kept, ["box_id", "number"], "left_semi")
                          .join(kept.withColumnRenamed("number", "other_number"), ["box_id", "other_number"], "left_semi"))

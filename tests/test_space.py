@@ -419,3 +419,46 @@ def test_periodic_cell_list_equals_images(spark):
     for k in nearest:
         close = [r for s, i, _, r in want if (s, i) == k]
         assert (nearest[k] is None and not close) or nearest[k] == pytest.approx(min(close), abs=1e-6)
+
+
+def test_pairs_by_reach(spark, monkeypatch):
+    """Crowded boxes are not searched as wide as sparse ones, and every box has the pairs within its own reach."""
+    from latticeloom.operators import boxes as B
+    from latticeloom.operators import boxpairs as P
+
+    rng = np.random.default_rng(5)
+    place = np.concatenate([rng.uniform(0, 0.4, (60, 3)), rng.uniform(1.0, 3.0, (40, 3))])
+    atoms = spark.createDataFrame([("s", i, 1, *map(float, x)) for i, x in enumerate(place)], "source string, atom_id long, number int, x double, y double, z double")
+    box, stride = (1.0, 1.0, 1.0), (0.7, 0.7, 0.7)
+    grid = B.box_grid(atoms, box, stride, B.axis_padding(atoms, box, (0.0, 0.0, 0.0))).localCheckpoint()
+    ranged = P.with_box_range(atoms, grid, box, stride).localCheckpoint()
+    held = {}
+    for r in P.in_boxes(ranged).collect():
+        held.setdefault(r.box_id, []).append(r.atom_id)
+    reach = {b: 0.1 if len(ids) > 20 else 0.9 for b, ids in held.items()}
+    assert set(reach.values()) == {0.1, 0.9}
+    searched = []
+    once = P.ranged_pairs
+    monkeypatch.setattr(P, "ranged_pairs", lambda a, b, radius: searched.append((a.count(), radius)) or once(a, b, radius))
+    rows = P.pairs_by_reach(ranged, spark.createDataFrame(list(reach.items()), "box_id string, reach double")).collect()
+    apart = np.linalg.norm(place[:, None] - place[None], axis=2)
+    wanted = sorted((b, i, apart[i, j]) for b, ids in held.items() for i in ids for j in ids if i != j and apart[i, j] <= reach[b])
+    got = sorted((r.box_id, r.atom_id, r.r) for r in rows if r.r <= reach[r.box_id])
+    assert [w[:2] for w in wanted] == [g[:2] for g in got] and np.allclose([w[2] for w in wanted], [g[2] for g in got])
+    assert len(searched) == 2 and all(n < len(place) for n, radius in searched if radius > 0.5)
+
+
+def test_local_analysis_searches_boxes_by_their_own_reach(spark, monkeypatch):
+    from latticeloom.operators import boxpairs as P
+    from latticeloom.plans.analysis import make_descriptor
+
+    seen = []
+    once = P.ranged_pairs
+    monkeypatch.setattr(P, "ranged_pairs", lambda a, b, radius: seen.append(radius) or once(a, b, radius))
+    rng = np.random.default_rng(6)
+    place = np.concatenate([rng.uniform(0, 0.3, (80, 3)), rng.uniform(2.0, 4.0, (12, 3))])
+    atoms = spark.createDataFrame([("s", i, 1, *map(float, x)) for i, x in enumerate(place)], "source string, atom_id long, number int, x double, y double, z double")
+    grid = spark.createDataFrame([("s", 0.0, 0.0, 0.0, 4, 4, 4)], "source string, start_x double, start_y double, start_z double, n_x int, n_y int, n_z int")
+    maker = make_descriptor("environment_spectrum", cutoff=2.5, n_max=2, l_max=2, scaling="avg_nn", scaling_radii=(0.9,), periodic=False, scale_limits=(0.01, 10.0))
+    assert maker.calculate_in_boxes(atoms, grid, (1.0, 1.0, 1.0), (1.0, 1.0, 1.0)).count() > 1
+    assert len({r for r in seen if r > 0.9}) >= 1 and min(seen[-2:]) < 0.5
