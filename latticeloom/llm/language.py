@@ -23,7 +23,6 @@ With nothing to learn from, every text is ``und``. Repeated rows get equal resul
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -113,12 +112,6 @@ class Automaton:
         return more, state
 
 
-@lru_cache(maxsize=1)
-def automata_of(known: tuple[tuple[str, bytes], ...]) -> list[Automaton]:
-    """Built once for each worker process. A function of the module, so that tasks do not bring a copy of their own."""
-    return [Automaton(text) for _, text in known]
-
-
 def phrase_counts(texts: list[bytes], automata: list[Automaton], block: int = BLOCK) -> np.ndarray:
     """Phrases of each text (rows) under each automaton (columns)."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
@@ -133,7 +126,9 @@ def phrase_counts(texts: list[bytes], automata: list[Automaton], block: int = BL
     order = np.argsort(-held, kind="stable")
     owner, held, first = owner[order], held[order], first[order]
     data = np.frombuffer(b"".join(texts) + bytes(block), dtype=np.uint8)
-    lanes = data[first[None, :] + np.arange(held[0])[:, None]]
+    lanes = np.empty((held[0], len(owner)), dtype=np.uint8)
+    for t in range(len(lanes)):
+        lanes[t] = data[first + t]
     active = np.searchsorted(-held, -np.arange(held[0]), side="left")
     column = np.empty(len(owner), dtype=np.int64)                   # lane of each block in the order of the text
     column[order] = np.arange(len(owner))
@@ -161,16 +156,19 @@ def decide(texts: list[str | None], langs: list[str], automata: list[Automaton])
     names, scores, entropy = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     if not langs:
         return names, scores, entropy
-    low = [normalised(t) for t in texts]
-    ends = np.searchsorted(np.cumsum([len(t) for t in low]), np.arange(STRIDE, sum(map(len, low)) + STRIDE, STRIDE), "left") + 1
-    counts = np.concatenate([np.zeros((0, len(langs)), dtype=np.int64)] + [
-        phrase_counts(low[a:b], automata) for a, b in zip([0, *ends[:-1]], ends) if low[a:b]])
-    costs = counts * np.array([a.bits for a in automata])
-    for i, t in enumerate(low):
-        if t:
-            best = int(np.argmin(costs[i]))
-            second = np.min(np.delete(costs[i], best)) if len(langs) > 1 else np.inf
-            names[i], scores[i], entropy[i] = langs[best], 1.0 - costs[i, best] / second, costs[i, best] / len(t)
+    bits, at = np.array([a.bits for a in automata]), 0
+    while at < len(texts):
+        low, size = [], 0                                       # only what is parsed together is held normalised
+        while at + len(low) < len(texts) and size < STRIDE:
+            low.append(normalised(texts[at + len(low)]))
+            size += len(low[-1])
+        costs = phrase_counts(low, automata) * bits
+        for i, t in enumerate(low):
+            if t:
+                best = int(np.argmin(costs[i]))
+                second = np.min(np.delete(costs[i], best)) if len(langs) > 1 else np.inf
+                names[at + i], scores[at + i], entropy[at + i] = langs[best], 1.0 - costs[i, best] / second, costs[i, best] / len(t)
+        at += len(low)
     return names, scores, entropy
 
 
@@ -215,8 +213,8 @@ def identify_language(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double, entropy double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = tuple(shared.value)
-        automata = automata_of(known)
+        known = shared.value
+        automata = [Automaton(text) for _, text in known]       # they go with the task: a worker serves later steps too
         for texts in batches:
             names, scores, entropy = decide(list(texts), [lang for lang, _ in known], automata)
             yield pd.DataFrame({"lang_pred": names, "score": scores, "entropy": entropy})

@@ -14,7 +14,7 @@ Packing works within partitions: no shuffle, memory for ``run_tokens`` ids. The
 carried into the next run, so only the end of a partition can leave a loosely filled sequence.
 
 Tokenizing: where the vocabulary allows it, blank-separated pieces of text are tokenized one by one and remembered (up to
-``CACHE`` pieces in a worker, then it starts anew; this changes nothing but speed).
+``CACHE`` pieces in a worker, of which those not met for long are forgotten; this changes nothing but speed).
 
 Defined cases: a null or empty text is the end id alone. Repeated rows are packed as often as they occur. Every id of every
 document lies in exactly one piece. Columns other than the id and the text are ignored.
@@ -25,6 +25,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections import deque
 from collections.abc import Iterator
 from functools import cache
@@ -38,7 +39,7 @@ from pyspark.sql import types as T
 
 CAPACITY = 4096
 END_ID = 2
-CACHE = 600_000
+CACHE = 400_000
 _APART = re.compile(rb"(?<=[a-z])([.,!?;:]+)(?=\s|$)")
 _PLAIN = re.compile(rb"[!-&(-;=-@\[-~]+")                      # printable ASCII without capitals, apostrophe and <
 _RUNS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
@@ -68,7 +69,8 @@ class Pieces:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}                     # pieces met lately, and before them
+        self.older: dict[bytes, bytes] = {}
         ends = [i for t, i in self.tokenizer.get_vocab().items() if re.fullmatch(r"[.!?]+[\"')\]]*(</w>)?", t)]
         self.sentence_end = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
         self.sentence_end[ends] = True
@@ -76,8 +78,9 @@ class Pieces:
         self.by_piece = [told["normalizer"], told["pre_tokenizer"]] == BY_PIECE
 
     def _plain(self, piece: bytes) -> bytes:
-        return np.array([t.id for run in _RUNS.findall(piece.decode()) for t in self.tokenizer.model.tokenize(run)],
-                        dtype="<u4").tobytes()
+        runs = [piece.decode()] if piece.isalpha() else _RUNS.findall(piece.decode())
+        ids = [t.id for run in runs for t in self.tokenizer.model.tokenize(run)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _full(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
@@ -89,12 +92,14 @@ class Pieces:
         # signs between a letter and a blank are runs of their own; the names of special ids keep their case
         split = [(t if b"<|" in t else _APART.sub(rb" \1", t.lower())).split() for t in texts]
         new = {p for pieces in split for p in pieces if p not in self.known}
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
+        if len(self.known) + len(new) > CACHE // 2:
+            self.known, self.older = {}, self.known
             new = {p for pieces in split for p in pieces}
         rest = []
         for p in new:
-            if _PLAIN.fullmatch(p):
+            if p in self.older:
+                self.known[p] = self.older[p]
+            elif _PLAIN.fullmatch(p):
                 self.known[p] = self._plain(p)
             else:
                 rest.append(p)

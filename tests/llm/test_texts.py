@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from latticeloom.llm import chat, language, licences, mixing, neartexts, packing, quality, queries, sharding, simhash
 
@@ -475,3 +476,29 @@ def test_lookups_of_fingerprints_are_never_broadcast(spark):
     assert {(1, 3)} <= {tuple(r) for r in links.collect()}
     plan = links._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_few_pieces_are_remembered(monkeypatch):
+    """Pieces met again stay when others are forgotten, and forgetting changes no id."""
+    coder, whole = packing.Pieces(None), packing.Pieces(None)
+    texts = [f"stay here {' '.join(f'w{chr(97 + i % 26)}{chr(97 + j)}' for j in range(20))}".encode() for i in range(30)]
+    wanted = whole.encode(texts)
+    monkeypatch.setattr(packing, "CACHE", 60)
+    for text, ids in zip(texts, wanted):
+        assert coder.encode([text]) == [ids]
+        assert len(coder.known) + len(coder.older) <= 60 and b"stay" in coder.known
+    assert np.array_equal(np.frombuffer(wanted[0], "<u4"), np.frombuffer(whole._full([texts[0]])[0], "<u4"))
+
+
+def test_automata_go_with_their_task(spark, odd):
+    samples = {"en": b"red blue green stone river", "de": b"rot blau gelb stein fluss"}
+    language.identify_language(odd.coalesce(1), samples).collect()
+
+    @F.udf("int")
+    def held(_):
+        import gc
+
+        from latticeloom.llm import language as module
+        return sum(isinstance(o, module.Automaton) for o in gc.get_objects())
+
+    assert max(r[0] for r in spark.range(64).select(held("id")).collect()) == 0
