@@ -25,13 +25,13 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 from collections import deque
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +40,12 @@ from pyspark.sql import types as T
 CAPACITY = 4096
 END_ID = 2
 CACHE = 400_000
-_APART = re.compile(rb"(?<=[a-z])([.,!?;:]+)(?=\s|$)")
-_PLAIN = re.compile(rb"[!-&(-;=-@\[-~]+")                      # printable ASCII without capitals, apostrophe and <
-_RUNS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+_APART = r"([a-z])([!-&(-/:;=-@\[-`{-~]+)([ \t\n\v\f\r]|$)"     # signs between a letter and a blank
+_PLAIN = re.compile(r"[!-&(-;=-@\[-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")     # ASCII and Latin-1 letters without apostrophe and <
+_RUNS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The sign that byte-level vocabularies have for each byte.
+BYTE_SIGNS = {b: chr(b) for b in _OWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _OWN)}
 #: The normalizer and pre-tokenizer for which white space and such runs separate tokens.
 BY_PIECE = [
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
@@ -57,7 +60,8 @@ class Pieces:
     """Token ids (little-endian uint32 bytes) of texts.
 
     A vocabulary that lowers case and splits text into runs of letters, single digits and runs of other signs is applied to
-    blank-separated pieces, which are remembered; runs of printable ASCII go straight to its merges. Others see whole texts.
+    blank-separated pieces, which are remembered and looked up once for all texts of a call; runs of printable ASCII and Latin-1
+    letters go straight to its merges. Others see whole texts.
     """
 
     def __init__(self, path: str | None):
@@ -75,12 +79,14 @@ class Pieces:
         self.sentence_end = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
         self.sentence_end[ends] = True
         told = json.loads(self.tokenizer.to_str())
+        self.merge = self.tokenizer.model.tokenize
         self.by_piece = [told["normalizer"], told["pre_tokenizer"]] == BY_PIECE
 
-    def _plain(self, piece: bytes) -> bytes:
-        runs = [piece.decode()] if piece.isalpha() else _RUNS.findall(piece.decode())
-        ids = [t.id for run in runs for t in self.tokenizer.model.tokenize(run)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _plain(self, piece: str) -> bytes:
+        runs = [piece] if piece.isalpha() else _RUNS.findall(piece)
+        if not piece.isascii():
+            runs = [r.encode().decode("latin-1").translate(BYTE_SIGNS) for r in runs]
+        return np.array([t.id for r in runs for t in self.merge(r)], dtype="<u4").tobytes()
 
     def _full(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
@@ -89,23 +95,32 @@ class Pieces:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_piece:
             return self._full(texts)
+        if not texts:
+            return []
         # signs between a letter and a blank are runs of their own; the names of special ids keep their case
-        split = [(t if b"<|" in t else _APART.sub(rb" \1", t.lower())).split() for t in texts]
-        new = {p for pieces in split for p in pieces if p not in self.known}
+        told = pa.array(texts, pa.large_binary()).view(pa.large_string())
+        told = pc.if_else(pc.match_substring(told, "<|"), told, pc.replace_substring_regex(pc.ascii_lower(told), _APART, r"\1 \2\3"))
+        split = pc.ascii_split_whitespace(told)
+        met = split.flatten().dictionary_encode()
+        words = met.dictionary.view(pa.large_binary()).to_pylist()
+        new = [p for p in words if p not in self.known]
         if len(self.known) + len(new) > CACHE // 2:
             self.known, self.older = {}, self.known
-            new = {p for pieces in split for p in pieces}
+            new = words
         rest = []
         for p in new:
             if p in self.older:
                 self.known[p] = self.older[p]
-            elif _PLAIN.fullmatch(p):
-                self.known[p] = self._plain(p)
+            elif _PLAIN.fullmatch(word := p.decode("utf-8", "replace").lower()) and (p.islower() or not p.isalpha()):
+                self.known[p] = self._plain(word)
             else:
                 rest.append(p)
         for at in range(0, len(rest), 20_000):
             self.known.update(zip(rest[at:at + 20_000], self._full(rest[at:at + 20_000])))
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
+        ids = pa.array([self.known[p] for p in words], pa.large_binary()).take(met.indices)
+        ends = np.append(0, np.cumsum(pc.binary_length(ids).to_numpy()))[split.offsets.to_numpy()].tolist()
+        data = b"".join(ids.buffers()[2:]) if len(ids) else b""
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
 
 
 @cache

@@ -277,6 +277,16 @@ def test_pieces_equal_whole_texts():
         assert np.frombuffer(coder.encode([t.encode()])[0], "<u4").tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_latin_words_go_to_the_merges(monkeypatch):
+    """Words of Latin-1 letters and signs at a word's end do not go through the whole tokenizer, and ids stay the same."""
+    coder = packing.Pieces(None)
+    texts = [t.encode() for t in ("schöne Wörter&&& Été, ÉTÉ. x#$%", "words&&& a`` b.\v c.\f 12ß3!! déjà-vu", "")]
+    wanted = coder._full(texts)
+    monkeypatch.setattr(coder, "_full", lambda pieces: pytest.fail(f"{pieces}"))
+    assert coder.encode(texts[:2]) == wanted[:2] and wanted[2] == b""
+    assert b"words" in coder.known and b"words&&&" not in coder.known
+
+
 def test_cuts_cost_least():
     r = random.Random(6)
     for _ in range(60):
