@@ -443,3 +443,53 @@ def test_spectral_clusters_keep_isolated_points(spark):
     rows = load_queries().QUERIES["E11_spectral_clusters"](spark, folder).collect()
     ids = [r.vec_id for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
     assert sorted(r.id for r in rows) == sorted(ids)
+
+
+def test_neighbour_sums_equal_those_of_pairs(spark):
+    """Blocks of a few points, ids with several positions, far points and rows that have no place."""
+    from latticeloom.operators.neighbors import neighbour_pairs
+    from latticeloom.operators.neighborsums import NeighbourWeights
+
+    rng = np.random.default_rng(3)
+    rows = [(i, *map(float, rng.normal(size=3))) for i in range(60)] + [(i, *map(float, rng.normal(size=3))) for i in (3, 3, 40, 59)]
+    rows += [rows[5], rows[5], (70, 50.0, 0.0, 0.0), (71, None, 0.0, 0.0), (72, float("nan"), 0.0, 0.0), (None, 0.0, 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    near = neighbour_pairs(points.select(F.lit("all").alias("structure_id"), F.col("id").alias("atom_id"), F.lit(1).alias("number"), "x", "y", "z"),
+                           0.9, half=True).toPandas()
+    want = np.zeros((80, 80))
+    for a, b, r in zip(near["atom_id"], near["other_id"], near["r"]):
+        want[a, b] = want[b, a] = max(want[a, b], np.exp(-5 * r))
+    x = rng.normal(size=(80, 2))
+    given = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "id long, x array<double>")
+    for size in (7, 1024):
+        weights = NeighbourWeights(points, 0.9, 5.0, size)
+        got = {r.id: r.y for r in weights.sums(given, 2).collect()}
+        assert sorted(got) == [*range(60), 70] and all(np.allclose(got[i], (want @ x)[i]) for i in got)
+        degrees = {r.id: r.d for r in weights.degrees.collect()}
+        assert degrees.keys() == set(np.flatnonzero(want.sum(0)).tolist()) and all(np.isclose(d, want[i].sum()) for i, d in degrees.items())
+    none = ml.spectral_clusters(NeighbourWeights(points.limit(0), 0.9, 5.0), 2, points.select("id")).collect()
+    assert len(none) == len(rows) and all(r.cluster is None for r in none)
+
+
+def test_spectral_clusters_store_no_pairs(spark, tmp_path, monkeypatch):
+    """What is written on the way grows with the points of a crowd, not with its pairs."""
+    from latticeloom.operators import neighborsums
+    from latticeloom.plans import load_queries
+
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"vec_id": range(150), "label": 0, "embedding": [list(map(float, v)) for v in rng.uniform(0, 0.1, (150, 3))]})
+    spark.createDataFrame(pdf, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    written = []
+
+    def counted(kept):
+        def keep(df, *name):
+            out = kept(df, *name)
+            written.append(out.count())
+            return out
+        return keep
+
+    for module, name in ((ml, "cut_lineage"), (ml, "stored"), (neighborsums, "cut_lineage")):
+        monkeypatch.setattr(module, name, counted(getattr(module, name)), raising=False)
+    rows = load_queries().QUERIES["E11_spectral_clusters"](spark, str(tmp_path)).collect()
+    assert {r.id: r.least for r in rows} == {i: i % 3 for i in range(150)}
+    assert written and max(written) <= 150
