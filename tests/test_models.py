@@ -417,6 +417,46 @@ def test_zero_divisors_give_null(spark):
     assert df.select(algebra.UNARY["^-2"](F.col("a"))).first()[0] is None
 
 
+def test_half_up_rounds_like_spark(spark):
+    rng = np.random.default_rng(4)
+    odd = [0.0, -0.0, 5e-7, -5e-7, 1e-300, 1e300, 2.0 ** 52 + 0.5, 4e9 + 2.5e-6, float("inf"), float("-inf"), float("nan")]
+    values = np.concatenate([rng.normal(size=3000), (2 * rng.integers(-10 ** 6, 10 ** 6, 3000) + 1) / 2e6, rng.normal(size=500) * 10 ** rng.uniform(-9, 18, 500), odd])
+    df = spark.createDataFrame(pd.DataFrame({"i": range(len(values)), "v": values}))
+    for digits in (6, 4):
+        want = df.select("i", (F.round("v", digits) + F.lit(0.0)).alias("w")).toPandas().sort_values("i")["w"].to_numpy()
+        got = kernels.half_up(values, digits)
+        assert np.array_equal(got, want, equal_nan=True) and np.array_equal(np.signbit(got), np.signbit(want))
+
+
+KERNEL_SCORES = {
+    "J10_cross_similarity": (6, lambda x, y: x @ y / (x @ x + y @ y - x @ y)),
+}
+
+
+@pytest.mark.parametrize("name", list(KERNEL_SCORES))
+def test_kernel_scores_are_rounded_in_blocks(spark, tmp_path, name):
+    """No decimal number is made of each score: the plan rounds no column."""
+    from latticeloom.plans import load_queries
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(230, 64)).astype(np.float32)
+    rows = [(i, i % 10, list(map(float, v))) for i, v in enumerate(x)] + [(230, 1, None), (231, 1, [1.0, None])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = load_queries().QUERIES[name](spark, str(tmp_path))
+    assert "round(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    digits, score = KERNEL_SCORES[name]
+    got = out.collect()
+    unit = x.astype(float)
+    for r in got[::97]:
+        if max(r.row_id, r.col_id) > 229:
+            assert r.score is None
+        else:
+            assert r.score == round(r.score, digits) and abs(r.score - score(unit[r.row_id], unit[r.col_id])) <= 0.6 * 10 ** -digits
+    keys = {(r.row_id, r.col_id) for r in got}
+    cols = {"J10_cross_similarity": range(1, 232, 2), "J11_symmetric_kernel": range(232), "J12_rectangular_kernel": [i for i in range(232) if i > 229 or i % 10 < 5]}[name]
+    assert len(got) == len(keys) and keys == set(itertools.product(range(0, 232, 2) if name == "J10_cross_similarity" else range(232), cols))
+
+
 def test_dense_cells_link_like_points(spark, monkeypatch):
     """Dense neighbouring cells are linked by boxes of their parts."""
     monkeypatch.setattr(ml, "DENSE_CELL", 4)
