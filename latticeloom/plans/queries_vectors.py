@@ -115,7 +115,7 @@ WITH {VECTORS}, u AS (SELECT id, list_transform(vec, lambda x: x / sqrt({_D}(vec
 SELECT a.id AS row_id, b.id AS col_id, round(sqrt(abs(1 - pow({_D}(a.v, b.v), 2) + 1e-10)), 4) AS score FROM u a, u b""")
 def _(spark, d):
     unit = vectors(spark, d).select("id", V.normalised(F.col("vec")).alias("vec"))
-    return kernels.symmetric_kernel(unit, distance=True, block_rows=BLOCK).withColumn("score", rounded("score", 4))
+    return kernels.symmetric_kernel(unit, distance=True, block_rows=BLOCK, digits=4)
 
 
 @query("J12_rectangular_kernel", f"""
