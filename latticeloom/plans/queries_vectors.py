@@ -123,7 +123,7 @@ WITH {VECTORS} SELECT a.id AS row_id, b.id AS col_id, round(pow({_D}(a.vec, b.ve
 FROM vectors a, vectors b WHERE b.label < 5""")
 def _(spark, d):
     some = vectors(spark, d).where("label < 5")
-    return kernels.rectangular_kernel(vectors(spark, d), some, xi=2.0, block_rows=BLOCK).withColumn("score", rounded("score"))
+    return kernels.rectangular_kernel(vectors(spark, d), some, xi=2.0, block_rows=BLOCK, digits=6)
 
 
 # --- shape and scale ---------------------------------------------------------

@@ -431,6 +431,7 @@ def test_half_up_rounds_like_spark(spark):
 KERNEL_SCORES = {
     "J10_cross_similarity": (6, lambda x, y: x @ y / (x @ x + y @ y - x @ y)),
     "J11_symmetric_kernel": (4, lambda x, y: np.sqrt(abs(1 - (x @ y) ** 2 / (x @ x) / (y @ y) + 1e-10))),
+    "J12_rectangular_kernel": (6, lambda x, y: (x @ y) ** 2),
 }
 
 
