@@ -188,6 +188,26 @@ def test_signatures_of_repeated_and_missing_rows(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
 
 
+@pytest.mark.parametrize("few,held", [(1_000, 4_000_000), (0, 4_000_000), (0, 500), (1_000, 500)])
+def test_counts_of_one_atom_against_brute_force(monkeypatch, few, held):
+    """Products and words of bits, in one part and in several; places far from the origin, and distances of just the radius."""
+    monkeypatch.setattr(N, "FEW_NEIGHBOURS", few)
+    monkeypatch.setattr(N, "HELD_BONDS", held)
+    rng = np.random.default_rng(8)
+    for n, grid, origin in itertools.product((1, 64, 65, 300), (False, True), (0.0, 1e5)):
+        v = rng.normal(size=(n, 3))
+        v *= 0.2 * rng.uniform(size=(n, 1)) ** (1 / 3) / np.linalg.norm(v, axis=1, keepdims=True)
+        at = origin + (np.round(v * 20) / 20 if grid else v)
+        apart = np.square(at[:, None, 0] - at[None, :, 0]) + np.square(at[:, None, 1] - at[None, :, 1]) + np.square(at[:, None, 2] - at[None, :, 2])
+        bonded = np.sqrt(apart) <= 0.2
+        np.fill_diagonal(bonded, False)
+        counts = bonded.astype(float)
+        for above in {0, n // 2}:
+            shared, inner = N._shared_and_inner(at, np.full(3, origin), above, 0.2)
+            assert np.array_equal(shared, counts[above:].sum(axis=1))
+            assert np.array_equal(inner, ((counts[above:] @ counts) * counts[above:]).sum(axis=1) / 2)
+
+
 def test_signatures_shuffle_no_cliques(spark):
     """What is stored and shuffled grows with the atoms, never with their triangles and cliques."""
     atoms = spark.range(60).selectExpr("'s' AS structure_id", "id AS atom_id", "1 AS number", "id / 1000 AS x", "0D AS y", "0D AS z")
