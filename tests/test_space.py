@@ -208,6 +208,16 @@ def test_counts_of_one_atom_against_brute_force(monkeypatch, few, held):
             assert np.array_equal(inner, ((counts[above:] @ counts) * counts[above:]).sum(axis=1) / 2)
 
 
+def test_signature_counts_of_crowded_atoms(spark, monkeypatch):
+    """Atoms with more neighbours than a product is made for are counted as the joined bonds are."""
+    monkeypatch.setattr(N, "FEW_NEIGHBOURS", 20)
+    rng = np.random.default_rng(9)
+    rows = [(s, i, 1, *map(float, rng.normal(size=3) * 0.08)) for s in "ab" for i in range(90)]
+    atoms = spark.createDataFrame(rows, "structure_id string, atom_id long, number int, x double, y double, z double")
+    got, want = (N.signature_counts(f(atoms, 0.18)) for f in (N.common_neighbour_signatures, N._signatures_by_join))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 1000
+
+
 def test_signatures_shuffle_no_cliques(spark):
     """What is stored and shuffled grows with the atoms, never with their triangles and cliques."""
     atoms = spark.range(60).selectExpr("'s' AS structure_id", "id AS atom_id", "1 AS number", "id / 1000 AS x", "0D AS y", "0D AS z")
