@@ -174,6 +174,24 @@ def test_boilerplate_family_against_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("texts,common", [(10_000, 1_000_000), (30, 1_000_000), (1, 1_000_000), (10_000, 0), (30, 5)])
+def test_rest_pairs_are_all_found_whatever_is_counted(spark, monkeypatch, texts, common):
+    """How many texts' shingles are counted, and how many counts are told, decides the order of shingles; every close pair of two roots is there."""
+    monkeypatch.setattr(neartexts, "COUNTED_TEXTS", texts)
+    monkeypatch.setattr(neartexts, "COMMON_SHINGLES", common)
+    rng = np.random.default_rng(12)
+    sets = [frozenset(rng.choice(60, size=rng.integers(1, 40), replace=False).tolist()) for _ in range(60)]
+    for s in sets[:60]:
+        some = sorted(s)
+        sets += [frozenset(some[len(some) // k:]) for k in (5, 6, 9)] + [s | {100, 101}, s]    # some at just 0.8
+    hashed = rng.integers(-2 ** 63, 2 ** 63 - 1, size=200, dtype=np.int64).astype("<u8")
+    rows = [(i, i % 50, bytearray(np.sort(hashed[sorted(s)]).tobytes())) for i, s in enumerate(sets)] + [(1000, 1000, bytearray()), (1001, 1001, bytearray())]
+    got = {tuple(sorted(r)) for r in neartexts.rest_pairs(spark.createDataFrame(rows, "node long, root long, s binary"), 0.8).collect()}
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
+            if i % 50 != j % 50 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert len(want) > 300 and want <= got
+
+
 def test_many_texts_of_a_key_meet_their_centre(monkeypatch):
     r = np.random.default_rng(3)
     centre = r.integers(0, 1 << 62)
