@@ -513,6 +513,42 @@ def test_neighbour_sums_equal_those_of_pairs(spark):
     assert len(none) == len(rows) and all(r.cluster is None for r in none)
 
 
+def test_spectral_rounds_go_on_from_what_is_left(spark, monkeypatch):
+    """Three parts of a graph are told to the tolerance in three rounds of four products, after one for the degrees."""
+    from latticeloom.operators.neighborsums import NeighbourWeights
+
+    rng = np.random.default_rng(2)
+    at = rng.normal(size=(240, 3)) * 0.12 + 5.0 * np.arange(240)[:, None] % 15
+    rows = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(at)], "id long, x double, y double, z double")
+    widths, product = [], NeighbourWeights.sums
+    monkeypatch.setattr(NeighbourWeights, "sums", lambda self, rows, width: (widths.append(width), product(self, rows, width))[1])
+    weights = NeighbourWeights(rows, 0.3, 5.0)
+    found, values = ml.spectral_embedding(weights, 3)
+    got = found.toPandas().set_index("id")["vec"]
+    assert widths == [1] + [7] * 12 and np.allclose(values, 1.0, atol=1e-11)
+    apart = np.sqrt(((at[:, None] - at[None]) ** 2).sum(axis=2))
+    near = np.where(apart <= 0.3, np.exp(-5 * apart), 0.0)
+    np.fill_diagonal(near, 0.0)
+    root = np.sqrt(near.sum(axis=0))[got.index]
+    a = near[np.ix_(got.index, got.index)] / root[:, None] / root[None]
+    x = np.stack(got.to_numpy())
+    assert np.allclose(a @ x, x, atol=1e-5) and np.allclose(x.T @ x, np.eye(3), atol=1e-9)
+
+
+@pytest.mark.parametrize("origin", [0.0, 1e4, 1e9])
+def test_neighbours_in_blocks_are_those_of_differences(origin):
+    """Distances of just the radius, equal places, and blocks that reach far or lie far from the origin."""
+    from latticeloom.operators import neighborsums
+
+    rng = np.random.default_rng(7)
+    grid = rng.integers(-6, 7, size=(300, 3)) / 20
+    for at, to in ((origin + grid[:170], origin + grid[130:]), (origin + grid, origin + grid[::-1] * [1, 1, 40]), (origin + grid[:5], origin + grid[:1])):
+        for s, r, near in neighborsums._strips(at, to, 0.25):
+            apart = np.square(at[s:s + len(r), None] - to[None])
+            apart = np.sqrt(apart[..., 0] + apart[..., 1] + apart[..., 2])
+            assert np.array_equal(near, apart <= 0.25) and np.allclose(r[near] * 0.25, apart[near], atol=1e-7, rtol=0)
+
+
 def test_spectral_clusters_store_no_pairs(spark, tmp_path, monkeypatch):
     """What is written on the way grows with the points of a crowd, not with its pairs."""
     from latticeloom.operators import neighborsums
